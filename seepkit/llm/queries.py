@@ -20,6 +20,21 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, path)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from seepkit.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seepkit.llm.quality import BASE, score
+
+    scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"), staged=True)
+    return scored.select("doc_id", *(scored.m[c].alias(c) for c in BASE), "base_failed", "kept", "quality")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

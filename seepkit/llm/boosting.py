@@ -8,7 +8,7 @@ import numpy as np
 class Booster:
     """Complete binary trees in arrays: split feature and bin per inner node, value per leaf."""
 
-    def __init__(self, trees: int = 30, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0):
+    def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0):
         self.n_trees, self.depth, self.rate, self.bins, self.ridge = trees, depth, rate, bins, ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Booster:

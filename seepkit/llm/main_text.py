@@ -25,7 +25,7 @@ from seepkit.llm.boosting import Booster
 from seepkit.llm.html_tree import features, measure, parse, walk
 
 #: Pages that the boosters learn from, and the generator's seed.
-PAGES, SEED = 400, 2024
+PAGES, SEED = 500, 2024
 MARK = ""  # in generated pages, before text that belongs to the article
 
 

@@ -65,6 +65,12 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seepkit.llm.substrings import substring_digest
+
+    return substring_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 

@@ -33,12 +33,20 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, at.astype(np.int64)
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """A-Z folded, every other byte left alone (Arrow's ascii_lower changes bytes beyond ASCII)."""
+    raw = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = raw.buffers()
+    folded = pa.py_buffer(data.to_pybytes().lower() if data is not None else b"")
+    return pa.LargeStringArray.from_buffers(len(raw), offsets, folded, offset=raw.offset)
+
+
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word, and n + 1 offsets. ``lower`` folds A-Z alone."""
-    flat, at = split_words(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())) if lower else texts)
+    flat, at = split_words(lowered(texts) if lower else texts)
     coded = flat.dictionary_encode()
     digest = xxhash.xxh3_64_intdigest
-    each = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    each = np.fromiter((digest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
     return each[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64), at
 
 

@@ -320,3 +320,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     rows = found.rows.select("id", "n", "d1", "d2")
     labelled = rows.join(found.labels, ["d1", "d2"], "left")
     return labelled.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that have the least id of their component, once each; all columns.
+
+    Rows with a null id take no part and stay.
+    """
+    best = near_duplicates(docs, key, text, percent).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__best")).distinct()
+    kept = docs.join(best, F.col(key) == F.col("__best")).withColumn("__h", F.xxhash64(text))
+    kept = kept.dropDuplicates(["__best", "__h"]).select(*docs.columns)
+    return kept.union(docs.filter(F.col(key).isNull()))

@@ -208,3 +208,27 @@ def substring_digest(docs: DataFrame) -> DataFrame:
         F.when(whole, F.col("n")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, NOTHING).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
+
+
+def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with duplicate spans cut from the text; every row stays.
+
+    What is kept keeps its own spacing, with a newline at each cut. Texts without duplicates, null
+    and empty ones too, stay as they are; other columns are passed on.
+    """
+    found = Duplicates(docs, key, text)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column("__t").cast(pa.binary()).to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist())
+            made = [kept_text(t, a, b).decode() for t, a, b in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(made, pa.string())], ["uid", "__new"])
+
+    new = found.partial().mapInArrow(cut, "uid long, __new string")
+    long = found.seen.filter((F.col("n") >= WINDOW) & F.col("carries")).select("k1", "k2").distinct()
+    whole = found.blocks.filter("cnt > 1").join(long, ["k1", "k2"], "left_semi").select("k1", "k2", F.lit("").alias("__new"))
+    changed = found.blocks.join(new, "uid").select("k1", "k2", "__new").union(whole)
+    changed = changed.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__new")
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.withColumns({"__k1": F.xxhash64(t), "__k2": F.xxhash64(F.lit(11), t)}).join(changed, ["__k1", "__k2"], "left")
+    return rows.withColumn(text, F.coalesce("__new", text)).select(*docs.columns)

@@ -75,7 +75,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_shouts": F.length("__t") - F.length(_without(F.col("__t"), "!")),
     }
     found = {k: c.cast("long") for k, c in found.items()}
-    step = step.withColumn("m", F.struct(*(c.alias(k) for k, c in found.items())))
+    # the row's number in the struct keeps the optimizer from copying these expressions into filters
+    step = step.withColumn("m", F.struct(*(c.alias(k) for k, c in found.items()), F.monotonically_increasing_id().alias("row")))
     return step.drop(*(c for c in step.columns if c.startswith("__")))
 
 

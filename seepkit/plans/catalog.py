@@ -1,4 +1,291 @@
-"""Registered queries of the simulation and inference operators, with their DuckDB counterparts."""
+"""Registered queries of the simulation and inference operators, with their DuckDB counterparts.
 
+The tables at hand have no particles, so events and embeddings stand in: each user is a trial, each
+event a point placed by its id, each embedding a cylinder placed by its id.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seepkit.functions.geometry import capsule_gap, support
+from seepkit.functions.inference import z_value
+from seepkit.functions.rng import u01
+from seepkit.operators import contact, inference, optimise, percolation
+from seepkit.operators.connectivity import components
+from seepkit.plans.steps import audit
+from seepkit.sources.tables import table
+
+SEED, REACH, CLOSE = 42, 0.25, 0.05
+FILLS = list(range(10, 71, 10))
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _r(c: Column | str, digits: int = 8) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+def _sql_u(key: str) -> str:
+    return f"(('0x' || substr(md5('{SEED}:' || {key}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+Z = z_value(0.05)
+_WILSON = "round((k / n + {z} * {z} / (2 * n) - {z} * sqrt(k / n * (1 - k / n) / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n), 8) AS lo, round((k / n + {z} * {z} / (2 * n) + {z} * sqrt(k / n * (1 - k / n) / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n), 8) AS hi"
+_TAIL = "list_sum(list_transform(range({a}, {b}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(mid) + (n - i) * ln(1 - mid))))"
+
+
+def _sql_exact(counts: str, by: str, alpha: float) -> str:
+    """Clopper-Pearson by 60 halvings in SQL."""
+    low, high = _TAIL.format(a="k", b="n + 1"), _TAIL.format(a="0", b="k + 1")
+    return f"""WITH RECURSIVE c AS ({counts}),
+    lows AS (SELECT {by}, k, n, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0 AS t FROM c UNION ALL
+      SELECT {by}, k, n, CASE WHEN {low} >= {alpha / 2} THEN a ELSE mid END, CASE WHEN {low} >= {alpha / 2} THEN mid ELSE b END, t + 1
+      FROM (SELECT *, (a + b) / 2 AS mid FROM lows WHERE t < 60)),
+    highs AS (SELECT {by}, k, n, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0 AS t FROM c UNION ALL
+      SELECT {by}, k, n, CASE WHEN {high} <= {alpha / 2} THEN a ELSE mid END, CASE WHEN {high} <= {alpha / 2} THEN mid ELSE b END, t + 1
+      FROM (SELECT *, (a + b) / 2 AS mid FROM highs WHERE t < 60))
+    SELECT c.{by}, c.k, c.n, CASE WHEN c.k = 0 THEN 0.0 ELSE round((l.a + l.b) / 2, 7) END AS lo, CASE WHEN c.k = c.n THEN 1.0 ELSE round((h.a + h.b) / 2, 7) END AS hi
+    FROM c JOIN lows l ON l.t = 60 AND l.{by} = c.{by} JOIN highs h ON h.t = 60 AND h.{by} = c.{by}"""
+
+
+@query(f"SELECT event_id, {_sql_u('event_id::VARCHAR')} AS u FROM events")
+def seeded_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events", "event_id").select("event_id", u01(SEED, "event_id").alias("u"))
+
+
+_FLAGS = "SELECT l_returnflag, count(*) FILTER (l_discount >= 0.05) AS k, count(*) AS n FROM lineitem GROUP BY l_returnflag"
+
+
+@query(f"SELECT l_returnflag, k, n, {_WILSON.format(z=repr(Z))} FROM ({_FLAGS})")
+def wilson_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = inference.proportions(table(spark, sf_dir, "lineitem", "l_returnflag", "l_discount"), ["l_returnflag"], F.col("l_discount") >= 0.05)
+    return inference.with_wilson(counts).withColumns({"lo": _r("lo"), "hi": _r("hi")})
+
+
+_USERS = "SELECT user_id, count(*) FILTER (event_type = 'purchase') AS k, count(*) AS n FROM events GROUP BY user_id"
+
+
+@query(_sql_exact(_USERS, "user_id", 0.05))
+def clopper_pearson_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = inference.proportions(table(spark, sf_dir, "events", "user_id", "event_type"), ["user_id"], F.col("event_type") == "purchase")
+    return inference.with_clopper_pearson(counts).withColumns({"lo": _r("lo", 7), "hi": _r("hi", 7)})
+
+
+_TYPES = "SELECT event_type, count(*) FILTER (value > 50) AS k, count(*) AS n FROM events GROUP BY event_type"
+
+
+@query(f"SELECT event_type, k, n, {_WILSON.format(z=repr(z_value(0.05 / 5)))}, 0.01::DOUBLE AS alpha_each FROM ({_TYPES})")
+def bonferroni_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = inference.proportions(table(spark, sf_dir, "events", "event_type", "value"), ["event_type"], F.col("value") > 50)
+    return inference.with_bonferroni(counts, 0.05, 5).withColumns({"lo": _r("lo"), "hi": _r("hi"), "alpha_each": _r("alpha_each")})
+
+
+@query(_sql_exact("SELECT quality, count(*) FILTER (toxic = 1) AS k, count(*) AS n FROM labels GROUP BY quality", "quality", 0.05))
+def label_toxic_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = inference.proportions(table(spark, sf_dir, "labels", "quality", "toxic"), ["quality"], F.col("toxic") == 1)
+    return inference.with_clopper_pearson(counts).withColumns({"lo": _r("lo", 7), "hi": _r("hi", 7)})
+
+
+@query("SELECT p_partkey, p_retailprice, p_size FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_retailprice <= a.p_retailprice AND b.p_size >= a.p_size AND (b.p_retailprice < a.p_retailprice OR b.p_size > a.p_size))")
+def pareto_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimise.pareto_2d(table(spark, sf_dir, "part", "p_partkey", "p_retailprice", "p_size"), "p_retailprice", "p_size")
+
+
+_SUPPLIERS = "SELECT l_suppkey, round(avg(l_discount), 8) AS discount, round(avg(l_tax), 8) AS tax, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_suppkey"
+
+
+@query(f"WITH s AS ({_SUPPLIERS}) SELECT * FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.tax <= a.tax AND b.discount >= a.discount AND b.quantity >= a.quantity AND (b.tax < a.tax OR b.discount > a.discount OR b.quantity > a.quantity))")
+def pareto_kd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem", "l_suppkey", "l_discount", "l_tax", "l_quantity")
+    per = rows.groupBy("l_suppkey").agg(_r(F.avg("l_discount")).alias("discount"), _r(F.avg("l_tax")).alias("tax"), F.sum("l_quantity").alias("quantity"))
+    return optimise.pareto_kd(per, ["tax"], ["discount", "quantity"])
+
+
+_WORST = "SELECT l_suppkey, max(tax) AS worst, max(idle) AS other FROM (SELECT l_suppkey, date_trunc('month', l_shipdate) AS m, round(avg(l_tax), 8) AS tax, round(100 - avg(l_quantity), 8) AS idle FROM lineitem GROUP BY 1, 2) GROUP BY 1"
+
+
+def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_tax", "l_quantity")
+    return rows.groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("m")).agg(_r(F.avg("l_tax")).alias("tax"), _r(100 - F.avg("l_quantity")).alias("idle"))
+
+
+@query(f"WITH w AS ({_WORST}) SELECT * FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.worst <= a.worst AND b.other <= a.other AND (b.worst < a.worst OR b.other < a.other))")
+def minimax_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimise.minimax_front(_scenarios(spark, sf_dir), ["l_suppkey"], "tax", "idle")
+
+
+@query(f"""WITH w AS ({_WORST}), r AS (SELECT min(worst) a, max(worst) b, min(other) c, max(other) d FROM w)
+SELECT l_suppkey, worst, other, round(greatest((worst - a) / (b - a), (other - c) / (d - c)), 8) AS minimax FROM w, r ORDER BY minimax, l_suppkey LIMIT 1""")
+def minimax_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    worst = optimise.worst_case(_scenarios(spark, sf_dir), ["l_suppkey"], ["tax", "idle"]).select("l_suppkey", F.col("tax").alias("worst"), F.col("idle").alias("other"))
+    return optimise.minimax_point(worst, ["worst", "other"], ["l_suppkey"]).withColumn("minimax", _r("minimax"))
+
+
+_COSTS = (7.0, 11.5, 18.25)
+_BOUND = 150.0
+
+
+@query(f"SELECT a.x::INT AS x1, b.x::INT AS x2, c.x::INT AS x3, round(a.x * {_COSTS[0]} + b.x * {_COSTS[1]} + c.x * {_COSTS[2]}, 8)::DOUBLE AS cost FROM range(30) a(x), range(30) b(x), range(30) c(x) WHERE a.x * {_COSTS[0]} + b.x * {_COSTS[1]} + c.x * {_COSTS[2]} <= {_BOUND}")
+def int_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimise.int_scan(spark, list(_COSTS), _BOUND).withColumn("cost", _r("cost"))
+
+
+@query(f"""WITH p AS (SELECT count(*) FILTER (p_size <= 10) AS small, count(*) FILTER (p_size > 40) AS large, count(*) AS n FROM part)
+SELECT a.x::INT AS x1, b.x::INT AS x2, round(a.x * 3.0 + b.x * 5.0, 8)::DOUBLE AS cost FROM range(100) a(x), range(100) b(x), p
+WHERE a.x * 3.0 + b.x * 5.0 <= 200 AND a.x * small / n + b.x * large / n >= 10 ORDER BY cost, x1, x2 LIMIT 1""")
+def design_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    yields = table(spark, sf_dir, "part", "p_size").agg((F.count(F.when(F.col("p_size") <= 10, 1)) / F.count("*")).alias("y1"), (F.count(F.when(F.col("p_size") > 40, 1)) / F.count("*")).alias("y2"))
+    designs = optimise.int_scan(spark, [3.0, 5.0], 200.0).join(F.broadcast(yields))  # one row
+    return optimise.min_cost(designs, F.col("x1") * F.col("y1") + F.col("x2") * F.col("y2") >= 10, ["x1", "x2"]).select("x1", "x2", _r("cost").alias("cost"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events", "event_id", "user_id")
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return rows.select(F.col("user_id").alias("trial"), i.alias("i"), "event_id", u01(SEED, "event_id", F.lit("x")).alias("x"), u01(SEED, "event_id", F.lit("y")).alias("y"))
+
+
+_POINTS = f"SELECT user_id AS trial, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, event_id, {_sql_u('event_id::VARCHAR || ' + chr(39) + ':x' + chr(39))} AS x, {_sql_u('event_id::VARCHAR || ' + chr(39) + ':y' + chr(39))} AS y FROM events"
+_PAIRS = f"SELECT a.event_id AS src, b.event_id AS dst FROM pts a JOIN pts b ON a.trial = b.trial AND a.event_id < b.event_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {CLOSE * CLOSE!r}"
+
+
+def _close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir).withColumns({"p": F.floor(F.col("x") / CLOSE), "q": F.floor(F.col("y") / CLOSE)})
+    around = p.select("trial", F.col("event_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.array(*(F.struct((F.col("p") + i).alias("p"), (F.col("q") + j).alias("q")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c"))
+    joined = p.join(around.select("trial", "dst", "bx", "by", "c.p", "c.q"), ["trial", "p", "q"]).filter(F.col("event_id") < F.col("dst"))
+    dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
+    return joined.filter(dx * dx + dy * dy <= CLOSE * CLOSE).select(F.col("event_id").alias("src"), "dst")
+
+
+@query(f"WITH pts AS ({_POINTS}) {_PAIRS}")
+def contact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _close(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE pts AS ({_POINTS}), e AS ({_PAIRS}), both_ways AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+reach AS (SELECT src AS node, src AS other FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON b.src = r.other)
+SELECT node, min(other) AS comp FROM reach GROUP BY node""")
+def components_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(_close(spark, sf_dir))
+
+
+_CRIT = f"""pts AS ({_POINTS}), e AS (SELECT a.trial, a.i AS s, b.i AS d FROM pts a JOIN pts b ON a.trial = b.trial AND a.i <> b.i AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {REACH * REACH!r}),
+walk AS (SELECT trial, i AS node, i AS m FROM pts WHERE x <= {REACH} UNION SELECT w.trial, e.d, greatest(w.m, e.d) FROM walk w JOIN e ON e.trial = w.trial AND e.s = w.node),
+crit AS (SELECT t.trial, c.crit FROM (SELECT DISTINCT trial FROM pts) t LEFT JOIN (SELECT w.trial, min(w.m) + 1 AS crit FROM walk w JOIN pts p ON p.trial = w.trial AND p.i = w.node AND p.x >= {1 - REACH} GROUP BY w.trial) c ON c.trial = t.trial)"""
+
+
+@query(f"WITH RECURSIVE {_CRIT} SELECT trial, crit FROM crit")
+def critical_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percolation.critical_fill(_points(spark, sf_dir), REACH)
+
+
+@query(f"WITH RECURSIVE {_CRIT} SELECT trial, coalesce(crit <= 30, false) AS hit FROM crit")
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percolation.spans(critical_fill(spark, sf_dir), 30)
+
+
+_CURVE = f"SELECT n_fill, count(*) FILTER (crit <= n_fill) AS k, count(*) AS trials FROM crit, unnest({FILLS}::BIGINT[]) f(n_fill) GROUP BY n_fill"
+
+
+@query(f"WITH RECURSIVE {_CRIT} SELECT *, round(k / trials, 8) AS p_hat FROM ({_CURVE})")
+def percolation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percolation.percolation_curve(critical_fill(spark, sf_dir), FILLS).withColumn("p_hat", _r("p_hat"))
+
+
+_LEVEL = 0.05 / len(FILLS)
+
+
+@query(f"""WITH RECURSIVE {_CRIT}, c AS (SELECT n_fill, k, trials AS n FROM ({_CURVE})),
+lows AS (SELECT n_fill, k, n, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0 AS t FROM c WHERE k > 0 UNION ALL
+SELECT n_fill, k, n, CASE WHEN p >= {_LEVEL} THEN a ELSE mid END, CASE WHEN p >= {_LEVEL} THEN mid ELSE b END, t + 1
+FROM (SELECT *, {_TAIL.format(a="k", b="n + 1")} AS p FROM (SELECT *, (a + b) / 2 AS mid FROM lows WHERE t < 60)))
+SELECT min(n_fill) AS n_fill FROM lows WHERE t = 60 AND (a + b) / 2 >= 0.5""")
+def min_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.min_fill(percolation.percolation_curve(critical_fill(spark, sf_dir), FILLS), 0.5)
+
+
+def _bodies(spark: SparkSession, sf_dir: str, r: float = 0.05, h: float = 0.15) -> DataFrame:
+    ids = table(spark, sf_dir, "embeddings", "vec_id", "label")
+
+    def u(k: str) -> Column:
+        return u01(SEED, "vec_id", F.lit(k))
+
+    z, phi = 2 * u("u") - 1, 2 * math.pi * u("v")
+    s = F.sqrt(1 - z * z)
+    fields = {"cx": u("x"), "cy": u("y"), "cz": u("z"), "ax": s * F.cos(phi), "ay": s * F.sin(phi), "az": z, "r": F.lit(r), "h": F.lit(h)}
+    return ids.select(F.col("label").alias("trial"), F.col("vec_id").alias("i"), F.struct(*(v.alias(k) for k, v in fields.items())).alias("body"))
+
+
+def _sql_v(k: str) -> str:
+    return _sql_u(f"vec_id::VARCHAR || ':{k}'")
+
+
+_BODIES = f"""bodies AS (SELECT trial, i, cx, cy, cz, sqrt(1 - z * z) * cos(phi) AS ax, sqrt(1 - z * z) * sin(phi) AS ay, z AS az, 0.05 AS r, 0.15 AS h
+FROM (SELECT label AS trial, vec_id AS i, {_sql_v('x')} AS cx, {_sql_v('y')} AS cy, {_sql_v('z')} AS cz, 2 * {_sql_v('u')} - 1 AS z, 2 * {math.pi!r} * {_sql_v('v')} AS phi FROM embeddings))"""
+
+
+@query(f"""WITH {_BODIES}, s AS (SELECT *, 0.6 * ax + 0.8 * az AS g FROM bodies), t AS (SELECT *, 0.6 - g * ax AS px, 0.0 - g * ay AS py, 0.8 - g * az AS pz FROM s)
+SELECT i, round(cx + (CASE WHEN g >= 0 THEN h ELSE -h END) * ax + r / sqrt(px * px + py * py + pz * pz) * px, 6) AS x,
+round(cy + (CASE WHEN g >= 0 THEN h ELSE -h END) * ay + r / sqrt(px * px + py * py + pz * pz) * py, 6) AS y,
+round(cz + (CASE WHEN g >= 0 THEN h ELSE -h END) * az + r / sqrt(px * px + py * py + pz * pz) * pz, 6) AS z FROM t""")
+def support_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = support(F.col("body"), F.lit(0.6), F.lit(0.0), F.lit(0.8))
+    return _bodies(spark, sf_dir).withColumn("p", p).select("i", *(_r(f"p.{a}", 6).alias(a) for a in "xyz"))
+
+
+_AT = "(ww + ({s}) * ({s}) + ({t}) * ({t}) - 2 * ({s}) * ({t}) * ab + 2 * ({s}) * aw - 2 * ({t}) * bw)"
+
+
+@query(f"""WITH {_BODIES}, d AS (SELECT a.i, b.i AS j, a.h, a.r, a.ax * b.ax + a.ay * b.ay + a.az * b.az AS ab,
+a.ax * (a.cx - b.cx) + a.ay * (a.cy - b.cy) + a.az * (a.cz - b.cz) AS aw, b.ax * (a.cx - b.cx) + b.ay * (a.cy - b.cy) + b.az * (a.cz - b.cz) AS bw,
+(a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.cz - b.cz) ** 2 AS ww FROM bodies a JOIN bodies b ON b.i = a.i + 1),
+e AS (SELECT *, (ab * bw - aw) / (1 - ab * ab) AS s0, (bw - ab * aw) / (1 - ab * ab) AS t0,
+least({_AT.format(s='h', t='greatest(-h, least(h, bw + h * ab))')}, {_AT.format(s='-h', t='greatest(-h, least(h, bw - h * ab))')}, {_AT.format(s='greatest(-h, least(h, h * ab - aw))', t='h')}, {_AT.format(s='greatest(-h, least(h, -h * ab - aw))', t='-h')}) AS ends FROM d)
+SELECT i, j, round(sqrt(greatest(0, CASE WHEN abs(s0) <= h AND abs(t0) <= h THEN least(ends, {_AT.format(s='s0', t='t0')}) ELSE ends END)) - 2 * r, 6) AS gap FROM e""")
+def capsule_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _bodies(spark, sf_dir).select("i", F.col("body").alias("a"))
+    b = _bodies(spark, sf_dir).select((F.col("i") - 1).alias("i"), F.col("i").alias("j"), F.col("body").alias("b"))
+    return a.join(b, "i").select("i", "j", _r(capsule_gap(F.col("a"), F.col("b")), 6).alias("gap"))
+
+
+@query()
+def cylinder_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contact.contacts(_bodies(spark, sf_dir), 0.0, 0.2).withColumn("dist", _r("dist", 6))
+
+
+@query(f"""WITH {_BODIES} SELECT trial, i FROM bodies WHERE cx + h * abs(ax) + r * sqrt(greatest(0, 1 - ax * ax)) >= 0.95""")
+def touching_face(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contact.touches(_bodies(spark, sf_dir), "x", 0.95, 1)
+
+
+@query()
+def cylinder_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = _bodies(spark, sf_dir)
+    return contact.connected(contact.contacts(bodies, 0.02, 0.2), contact.touches(bodies, "x", 0.1, -1), contact.touches(bodies, "x", 0.9, 1))
+
+
+@query("""SELECT 'discount' AS "check", count(*) AS rows, count(*) FILTER (NOT (l_discount BETWEEN 0 AND 0.1)) AS broken FROM lineitem UNION ALL
+SELECT 'quantity', count(*), count(*) FILTER (NOT (l_quantity BETWEEN 1 AND 40)) FROM lineitem UNION ALL SELECT 'keys', count(*), count(*) FILTER (l_orderkey IS NULL) FROM lineitem""")
+def audit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_discount", "l_quantity")
+    return audit(rows, discount=F.col("l_discount").between(0, 0.1), quantity=F.col("l_quantity").between(1, 40), keys=F.col("l_orderkey").isNotNull())
+
+
+@query("SELECT 'region' AS name, count(*) AS rows FROM region UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def freeze_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("rows")) for t in ("region", "orders", "lineitem")]
+    return counts[0].union(counts[1]).union(counts[2])

@@ -150,13 +150,16 @@ class Duplicates:
         owned = self.seen.filter("anchors is not null").select("k1", "k2", F.coalesce("id", least).alias("rep"), "anchors")
         owned = owned.join(self.blocks.select("k1", "k2", "rep", "uid"), ["k1", "k2", "rep"]).dropDuplicates(["uid"])
         places = owned.select("uid", F.posexplode("anchors").alias("i", "g"))
-        twice = places.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
+        # written apart, so that both sides of the join are plain exchanges, which Spark can split where a
+        # frequent passage makes one long
+        twice = materialize(places.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "repeated-anchors")
         hits = places.join(twice, "g").groupBy("uid").agg(F.sort_array(F.collect_set("i")).alias("picked"))
         hits = materialize(hits.join(self.blocks.select("uid", "k1", "k2", "rep"), "uid"), "hits")
         mine = source.select("__t", "k1", "k2", F.coalesce("__id", least).alias("rep"))
         self.texts = materialize(mine.join(hits, ["k1", "k2", "rep"]).select("uid", "__t", "picked").dropDuplicates(["uid"]), "texts")
         windows = materialize(self.texts.mapInArrow(_windows, "uid long, p int, w long"), "windows")
         repeated = windows.groupBy("w").agg(F.count("*").alias("c"), F.min("uid").alias("block")).filter("c > 1").select("w", "block")
+        repeated = materialize(repeated, "repeated-windows")
         found = windows.join(repeated, "w").groupBy("uid").agg(F.collect_list(F.struct("p", "block")).alias("found"))
         self.spans = materialize(found.mapInArrow(_spans, "uid long, a array<int>, b array<int>"), "spans")
 

@@ -7,7 +7,7 @@ Sets with the same digest are one *class*. Classes are joined with token-combina
   removing tau tokens shares a signature with every partner.
 * Frequency splits tokens in classes: class 1 is indexed by single tokens, class k by combinations
   of k tokens, of which the first k - 1 add no cover; the prefix is extended until its cover
-  exceeds tau. Combinations are used for sets of up to ``SMALL`` tokens, where they are few.
+  exceeds tau. Combinations are used for sets with a size in ``SMALL``, where they are few.
 * Frequencies are needed for the tokens with a hash below a level only. ``LEVELS`` names the
   sampled share by set size; both ends of a pair index the level of the larger set, where each
   has all its tokens below the level, so the argument holds within the level as it stands. A set
@@ -40,8 +40,9 @@ WORDS, PERCENT = 5, 80
 #: (least set size, share of hashes that are sampled), falling.
 LEVELS = ((0, 1.0), (256, 0.5), (1024, 0.3), (4096, 0.25))
 FULL = ((0, 1.0),)
-#: Sets of at most so many tokens use combinations; frequencies from which 2 and 3 tokens are combined.
-SMALL, OFTEN = 64, (64, 4096)
+#: Least and largest sets that use combinations (below, too few tokens are left when the first of
+#: each class give no cover; above, combinations are too many), and frequencies from which 2 and 3 tokens are combined.
+SMALL, OFTEN = (10, 64), (64, 4096)
 #: Bits of the filter of repeated tokens: a power of two near 8 a token, at most 2^27 (16 MB).
 MOST_BITS = 27
 #: Tokens in a block of a family.
@@ -140,8 +141,8 @@ def _signed(levels: tuple, percent: int):
                 df = np.asarray([x["df"] for x in found], np.int64)
                 for level, count in zip(sizes(n, levels, percent), counts, strict=True):
                     below = h < limit(levels[level][1]) if levels[level][1] < 1 else np.ones(len(h), bool)
-                    # a small set near the limit also meets larger ones, which use single tokens
-                    for small in {level == 0 and n <= SMALL, level == 0 and n * 100 // percent <= SMALL}:
+                    # a pair does as its larger set does; near a limit a set meets both kinds
+                    for small in {level == 0 and SMALL[0] <= m <= SMALL[1] for m in (n, n * 100 // percent)}:
                         made = signatures(df[below], h[below], n, count, level, small, percent)
                         if made is None:
                             ids.append(i)

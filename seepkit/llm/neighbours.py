@@ -162,7 +162,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     sample, asked = _matrix(fitted), _matrix(tried)
     leaf_points = max(4, int(np.ceil(len(sample) / max(1, n / LEAF))))
     tree = Tree(augmented(sample, norm), leaf_points)
-    visits = calibrate(tree, sample, asked, k, norm, target) if len(asked) else tree.leaves
+    visits = calibrate(tree, sample, asked, k + 1, norm, target) if len(asked) else tree.leaves
     shared = spark.sparkContext.broadcast(tree)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,7 +46,7 @@ SMALL, OFTEN = (10, 64), (64, 4096)
 #: Bits of the filter of repeated tokens: a power of two near 8 a token, at most 2^27 (16 MB).
 MOST_BITS = 27
 #: Tokens in a block of a family.
-BLOCK = 1_000_000
+BLOCK = 400_000
 
 
 def shingles(h: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -237,6 +237,7 @@ class Classes:
             return
         signed = signed.filter("s is not null")
         first = signed.groupBy("s").agg(F.min("id").alias("pivot"), F.count("*").alias("c")).filter("c > 1").select("s", "pivot")
+        first = materialize(first, "pivots")  # so that the join's sides are plain exchanges, which can be split
         edges = signed.join(first, "s").filter("id <> pivot").select("id", "pivot").distinct()
         families = materialize(components(edges, "id", "pivot").select(F.col("node").alias("id"), F.col("comp").alias("family")), "families")
         linked = self._verified(source, families, owner, rows, percent)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seepkit.llm.staging import materialize
+from seepkit.llm.staging import discard, materialize
 from seepkit.llm.words import grams, mix, slices, word_hashes
 from seepkit.operators.connectivity import components
 
@@ -232,7 +232,9 @@ class Classes:
         counted = self._counts(tokens.join(owner, ["id", "d1", "d2"]), levels, percent)
         ready = counted.join(found, "id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<df:bigint,h:bigint>>")))
         signed = materialize(ready.select("id", "n", "counts", "found").mapInArrow(_signed(levels, percent), "id long, s long"), "signatures")
+        discard(repeated)
         if len(levels) > 1 and not signed.filter("s is null").isEmpty():
+            discard(rows, signed)
             self.__init__(docs, key, text, percent, FULL)
             return
         signed = signed.filter("s is not null")
@@ -240,11 +242,14 @@ class Classes:
         first = materialize(first, "pivots")  # so that the join's sides are plain exchanges, which can be split
         edges = signed.join(first, "s").filter("id <> pivot").select("id", "pivot").distinct()
         families = materialize(components(edges, "id", "pivot").select(F.col("node").alias("id"), F.col("comp").alias("family")), "families")
-        linked = self._verified(source, families, owner, rows, percent)
+        discard(signed, first)
+        linked = self._verified(source, families, rows, percent)
         joined = components(linked, "a", "b")
         by_class = owner.join(joined, owner.id == joined.node, "left").select("d1", "d2", F.coalesce("comp", "id").alias("root"))
         least = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("least"))
         by_class = materialize(by_class.join(least, ["d1", "d2"]), "classes")
+        self.rows = materialize(rows.select("id", "n", "d1", "d2"), "sizes")
+        discard(rows, families, linked)
         self.labels = by_class.select("d1", "d2", "root").join(by_class.groupBy("root").agg(F.min("least").alias("comp")), "root").select("d1", "d2", "comp")
 
     @staticmethod
@@ -292,7 +297,7 @@ class Classes:
         return tokens.select("id", "n", "tokens").mapInArrow(run, "id long, n long, counts array<long>")
 
     @staticmethod
-    def _verified(source: DataFrame, families: DataFrame, owner: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    def _verified(source: DataFrame, families: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         """(a, b) links within families, by blocks of bounded size."""
         members = families.join(rows.filter("tokens is not null").select("id", "n").distinct(), "id")
         total = members.groupBy("family").agg(F.sum("n").alias("all")).select("family", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))

@@ -32,7 +32,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_staged", None):
+            delete(t.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seepkit.llm.staging import materialize
+from seepkit.llm.staging import discard, materialize
 from seepkit.llm.words import grams, long_grams, slices, word_hashes
 
 WINDOW, ANCHOR = 35, 8
@@ -162,6 +162,7 @@ class Duplicates:
         repeated = materialize(repeated, "repeated-windows")
         found = windows.join(repeated, "w").groupBy("uid").agg(F.collect_list(F.struct("p", "block")).alias("found"))
         self.spans = materialize(found.mapInArrow(_spans, "uid long, a array<int>, b array<int>"), "spans")
+        discard(twice, hits, windows, repeated)
 
     def partial(self) -> DataFrame:
         """uid, text and spans of the blocks that lose some words and are no copies."""

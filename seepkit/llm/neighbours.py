@@ -7,9 +7,10 @@ walks the tree through a priority queue ordered by the distance to centres and v
 it has seen as many as calibration asks for: leaf visits are doubled, then refined, until sample
 queries find ``TARGET`` of their true neighbours within the sample.
 
-Equal vectors are one point of the index with the ids that can matter (the k + 1 least). A leaf
-with more than ``LEAF_BLOCK`` vectors or more than ``QUERY_BLOCK`` queries is split in blocks, so
-no leaf is gathered in one task. The tree, of bounded size, is broadcast.
+Equal vectors are one point of the index with the ids that can matter (the k + 1 least). Neighbouring
+leaves are searched together in bundles of up to ``LEAF_BLOCK`` vectors; a larger leaf, or a bundle
+with more than ``QUERY_BLOCK`` queries, is split in parts, so no leaf is gathered in one task. The
+tree and the leaves' bundles, of bounded size, are broadcast.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from seepkit.llm.staging import materialize
 
 #: Vectors that the tree is fitted on, those that calibrate it, the share of true neighbours they
 #: must find, branches of a node, rows aimed at per leaf, and the sizes of blocks.
-SAMPLE, CALIBRATE, TARGET, BRANCHES, LEAF, LEAF_BLOCK, QUERY_BLOCK = 20_000, 300, 0.97, 8, 200, 4_096, 2_048
+SAMPLE, CALIBRATE, TARGET, BRANCHES, LEAF, LEAF_BLOCK, QUERY_BLOCK = 20_000, 300, 0.97, 8, 200, 8_192, 2_048
 
 
 class Tree:
@@ -123,6 +124,20 @@ def calibrate(tree: Tree, points: np.ndarray, queries: np.ndarray, k: int, norm:
     return min(tree.leaves, visits)
 
 
+def bundles(counts: dict[int, int], leaves: int, most: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Bundle of each leaf - runs of leaves with ``most`` vectors at most, or one larger leaf - and the
+    parts that each bundle's vectors are split in."""
+    bundle, parts, at, held = np.zeros(max(1, leaves), np.int64), {0: 1}, 0, 0
+    for leaf in range(leaves):
+        n = counts.get(leaf, 0)
+        if held and held + n > most:
+            at, held = at + 1, 0
+        bundle[leaf] = at
+        held += n
+        parts[at] = max(1, -(-held // most))
+    return bundle, parts
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -172,37 +187,58 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
 
     indexed = materialize(points.select("id", "v").mapInArrow(index, "id long, v array<double>, leaf long"), "indexed")
 
+    # leaves in tree order share bundles, so that a query returns one list a bundle and not a leaf;
+    # there are at most as many as the tree has leaves
+    counts = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    bundle, parts = bundles(counts, tree.leaves, LEAF_BLOCK)
+    shared_bundle = spark.sparkContext.broadcast(bundle)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("v"))
-            bins = [shared.value.best_bins(q, visits) for q in np.concatenate([x, np.zeros((len(x), 1))], 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("v"), pa.array(bins, pa.list_(pa.int64()))], ["k1", "k2", "v", "bins"])
+            who, where, leaves = [], [], []
+            for i, q in enumerate(np.concatenate([x, np.zeros((len(x), 1))], 1)):
+                bins = np.sort(shared.value.best_bins(q, visits))
+                at = shared_bundle.value[bins]
+                for u in np.unique(at):
+                    who.append(i)
+                    where.append(int(u))
+                    leaves.append(bins[at == u])
+            rows = batch.select(["k1", "k2", "v"]).take(pa.array(who, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(where, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], ["k1", "k2", "v", "bundle", "leaves"])
 
     asked_once = queries.dropDuplicates(["k1", "k2"]).select("k1", "k2", "v")
-    visiting = materialize(asked_once.mapInArrow(walk, "k1 long, k2 long, v array<double>, bins array<long>"), "visits")
-    # a row per leaf: as many as the tree has
-    held = indexed.groupBy("leaf").agg(F.count("*").alias("n")).join(visiting.select(F.explode("bins").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("m")), "leaf")
-    held = held.select("leaf", F.ceil(F.col("n") / LEAF_BLOCK).cast("int").alias("bs"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("qs"))
-    here = indexed.join(held, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("bs")).alias("b"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("g"), "id", "v")
-    there = visiting.select("k1", "k2", "v", F.explode("bins").alias("leaf")).join(held, "leaf")
-    there = there.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bs").cast("long") - 1)).alias("b"), F.pmod(F.xxhash64("k1"), F.col("qs")).cast("int").alias("g"), "k1", "k2", "v")
+    visiting = materialize(asked_once.mapInArrow(walk, "k1 long, k2 long, v array<double>, bundle long, leaves array<long>"), "visits")
+    asking = {r["bundle"]: r["m"] for r in visiting.groupBy("bundle").agg(F.count("*").alias("m")).collect()}
+    sizes = [(int(u), int(bundle_parts), -(-asking[u] // QUERY_BLOCK)) for u, bundle_parts in parts.items() if u in asking]
+    held = F.broadcast(spark.createDataFrame(sizes, "bundle long, bs int, qs int"))  # a row a bundle
+    by_leaf = F.broadcast(spark.createDataFrame([(int(x), int(bundle[x])) for x in counts], "leaf long, bundle long"))
+    here = indexed.join(by_leaf, "leaf").join(held, "bundle").select("bundle", F.pmod(F.xxhash64("id"), F.col("bs")).alias("b"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("g"), "leaf", "id", "v")
+    there = visiting.join(held, "bundle")
+    there = there.select("bundle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bs").cast("long") - 1)).alias("b"), F.pmod(F.xxhash64("k1"), F.col("qs")).cast("int").alias("g"), "k1", "k2", "v", "leaves")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return FOUND.empty_table()
         ids = left["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids, kind="stable")  # ids ascend, so ties go to the least
+        ids, leaf = ids[order], left["leaf"].to_numpy()[order]
         x, q = _matrix(left["v"].combine_chunks())[order], _matrix(right["v"].combine_chunks())
-        ids = ids[order]
+        lists = right["leaves"].to_pylist()
         out = []
         for lo in range(0, len(q), 256):
             s = q[lo : lo + 256] @ x.T
-            best = np.argsort(-s, 1, kind="stable")[:, : k + 1]  # ids ascend, so ties go to the least
-            out.append((np.repeat(np.arange(lo, lo + len(s)), best.shape[1]), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+            for i, seen in enumerate(lists[lo : lo + 256]):
+                s[i, ~np.isin(leaf, seen)] = -np.inf
+            best = np.argsort(-s, 1, kind="stable")[:, : k + 1]
+            score = np.take_along_axis(s, best, 1)
+            good = np.isfinite(score)
+            who = np.repeat(np.arange(lo, lo + len(s)), best.shape[1]).reshape(best.shape)
+            out.append((who[good], ids[best][good], score[good]))
         who, found, score = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"k1": right["k1"].to_numpy()[who], "k2": right["k2"].to_numpy()[who], "vec_id": found, "score": score}, schema=FOUND)
 
-    found = here.groupBy("leaf", "b", "g").cogroup(there.groupBy("leaf", "b", "g")).applyInArrow(compare, "k1 long, k2 long, vec_id long, score double")
+    found = here.groupBy("bundle", "b", "g").cogroup(there.groupBy("bundle", "b", "g")).applyInArrow(compare, "k1 long, k2 long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("r", place).filter(F.col("r") <= k + 1)
     lists = best.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("l"))

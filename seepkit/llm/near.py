@@ -78,14 +78,14 @@ def sizes(n: int, levels: tuple, percent: int = PERCENT) -> list[int]:
     return list(range(at(n), at(n * 100 // percent) + 1))
 
 
-def _sampled(levels: tuple):
+def _sampled(levels: tuple, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 some = batch.slice(lo, hi - lo)
                 h, at = word_hashes(some.column(1), lower=True)
-                n, d1, d2, lists = [], [], [], []
+                n, d1, d2, lists, counts = [], [], [], [], []
                 for i in range(len(some)):
                     s = shingles(h[at[i] : at[i + 1]]).view(np.int64)
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -93,9 +93,12 @@ def _sampled(levels: tuple):
                     d1.append(int.from_bytes(digest[:8], "little", signed=True))
                     d2.append(int.from_bytes(digest[8:], "little", signed=True))
                     # a class's tokens are emitted once a task, however many copies the task has
-                    lists.append(None if not len(s) or digest in seen else s[s < limit(share(len(s), levels))] if share(len(s), levels) < 1 else s)
+                    first = len(s) > 0 and digest not in seen
+                    lists.append((s[s < limit(share(len(s), levels))] if share(len(s), levels) < 1 else s) if first else None)
+                    # tokens below each level at which the set meets partners
+                    counts.append([int((s < limit(levels[k][1])).sum()) if levels[k][1] < 1 else len(s) for k in sizes(len(s), levels, percent)] if first else None)
                     seen.add(digest)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), pa.array(lists, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "tokens"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), pa.array(lists, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "tokens", "counts"])
 
     return run
 
@@ -224,12 +227,12 @@ class Classes:
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, levels: tuple = LEVELS):
         source = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
         spark = docs.sparkSession
-        rows = self.rows = materialize(source.mapInArrow(_sampled(levels), "id long, n long, d1 long, d2 long, tokens array<long>"), "sets")
-        owner = rows.filter("tokens is not null and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"))
+        rows = self.rows = materialize(source.mapInArrow(_sampled(levels, percent), "id long, n long, d1 long, d2 long, tokens array<long>, counts array<long>"), "sets")
+        owner = rows.filter("counts is not null and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"))
         tokens = rows.filter("tokens is not null and id is not null")
         repeated = materialize(tokens.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
         found = self._repeated(spark, tokens, repeated)
-        counted = self._counts(tokens.join(owner, ["id", "d1", "d2"]), levels, percent)
+        counted = rows.filter("counts is not null").select("id", "d1", "d2", "n", "counts").join(owner, ["id", "d1", "d2"]).select("id", "n", "counts")
         ready = counted.join(found, "id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<df:bigint,h:bigint>>")))
         signed = materialize(ready.select("id", "n", "counts", "found").mapInArrow(_signed(levels, percent), "id long, s long"), "signatures")
         discard(repeated)
@@ -280,26 +283,10 @@ class Classes:
         rows = tokens.select("id", "tokens").mapInArrow(likely, "id long, h long")
         return rows.join(repeated, "h").groupBy("id").agg(F.collect_list(F.struct("df", "h")).alias("found"))
 
-    @staticmethod
-    def _counts(tokens: DataFrame, levels: tuple, percent: int) -> DataFrame:
-        """id, n and the number of sampled tokens at each level where the set meets partners."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = batch.column(2)
-                at, flat = np.asarray(lists.offsets), lists.values.to_numpy()
-                counts = []
-                for i, n in enumerate(batch.column(1).to_pylist()):
-                    mine = flat[at[i] : at[i + 1]]
-                    counts.append([int((mine < limit(levels[k][1])).sum()) if levels[k][1] < 1 else len(mine) for k in sizes(n, levels, percent)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.list_(pa.int64()))], ["id", "n", "counts"])
-
-        return tokens.select("id", "n", "tokens").mapInArrow(run, "id long, n long, counts array<long>")
-
     @staticmethod
     def _verified(source: DataFrame, families: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         """(a, b) links within families, by blocks of bounded size."""
-        members = families.join(rows.filter("tokens is not null").select("id", "n").distinct(), "id")
+        members = families.join(rows.filter("counts is not null").select("id", "n").distinct(), "id")
         total = members.groupBy("family").agg(F.sum("n").alias("all")).select("family", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
         dealt = members.join(total, "family").select("id", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"))
         with_text = source.join(dealt, "id").dropDuplicates(["id"])

@@ -86,18 +86,21 @@ def _sampled(levels: tuple, percent: int):
                 some = batch.slice(lo, hi - lo)
                 h, at = word_hashes(some.column(1), lower=True)
                 n, d1, d2, lists, counts = [], [], [], [], []
+                known = some.column(0).is_valid().to_pylist()
                 for i in range(len(some)):
                     s = shingles(h[at[i] : at[i + 1]]).view(np.int64)
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     n.append(len(s))
                     d1.append(int.from_bytes(digest[:8], "little", signed=True))
                     d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                    # a class's tokens are emitted once a task, however many copies the task has
-                    first = len(s) > 0 and digest not in seen
+                    # a class's tokens are emitted once a task, however many copies the task has, by a row
+                    # that can own the class: one with an id
+                    first = known[i] and len(s) > 0 and digest not in seen
                     lists.append((s[s < limit(share(len(s), levels))] if share(len(s), levels) < 1 else s) if first else None)
                     # tokens below each level at which the set meets partners
                     counts.append([int((s < limit(levels[k][1])).sum()) if levels[k][1] < 1 else len(s) for k in sizes(len(s), levels, percent)] if first else None)
-                    seen.add(digest)
+                    if first:
+                        seen.add(digest)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), pa.array(lists, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "tokens", "counts"])
 
     return run

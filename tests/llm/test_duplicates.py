@@ -98,6 +98,16 @@ def test_join_of_odd_tables(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_ids_before_their_copies(spark):
+    base = [f"w{i}" for i in range(60)]
+    one, near_one, other = " ".join(base), " ".join([*base[:-1], "z"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, one), (None, other), (1, one), (2, one), (3, near_one), (4, other), (5, other)]
+    df = spark.createDataFrame([(k, t, "", 0, 0) for k, t in rows], SCHEMA).coalesce(1)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()]
+    assert {x for x in got if x[0] is not None} == brute_components([x for x in rows if x[0] is not None])
+    assert sorted(r.doc_id for r in one_of_each(df).collect() if r.doc_id is not None) == [1, 4]
+
+
 def test_verify_across_sides_only():
     t = pa.array(["a b c d e f g"] * 3)
     assert verify(t, [1, 2, 3], [False, False, False])

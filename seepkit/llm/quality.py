@@ -21,6 +21,8 @@ from seepkit.llm.staging import materialize
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Words in a block of which variety is measured: a share of distinct words means the same at one length only.
+SPAN = 400
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -34,6 +36,13 @@ def _windows(words: Column, n: Column) -> Column:
     return doubled(doubled(doubled(one, 1, n - 1), 2, n - 3), 4, n - 7)
 
 
+def _distinct(words: Column, n: Column) -> Column:
+    """Distinct words, summed over blocks of SPAN words (the last ends with the text; a shorter text is one block)."""
+    starts = F.sequence(F.lit(0), F.ceil(n / SPAN).cast("int") - 1)
+    each = F.aggregate(starts, F.lit(0), lambda s, i: s + F.size(F.array_distinct(F.slice(words, F.least(i * SPAN + 1, n - (SPAN - 1)), SPAN))))
+    return F.when(n <= SPAN, F.size(F.array_distinct(words))).otherwise(each)
+
+
 def _without(text: Column, characters: str) -> Column:
     return reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), characters, text)
 
@@ -70,7 +79,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")),
         "n_repeat_words": F.when(F.col("__r") > 0, covered).otherwise(0),
         "n_lines": F.size("__l"),
-        "n_distinct": F.size(F.array_distinct("__w")),
+        "n_distinct": _distinct(F.col("__w"), F.col("__n")),
         "n_capitals": F.regexp_count("__t", F.lit("[A-ZÀ-ÖØ-Þ]{3,}")),
         "n_shouts": F.length("__t") - F.length(_without(F.col("__t"), "!")),
     }
@@ -92,12 +101,13 @@ def rules(m: Column) -> dict[str, Column]:
     """The rules: each votes 1, 0 or null. Thresholds are shares of words or characters."""
     n, chars = F.greatest(m["n_words"], F.lit(1)), F.greatest(m["word_chars"], F.lit(1))
     length = chars / n
+    in_blocks = F.when(n <= SPAN, n).otherwise(F.ceil(n / SPAN) * SPAN)
     return {
         "symbols": _vote(m["n_symbols"] / n, 0.05, 0.3),
         "capitals": _vote(m["n_capitals"] / n, 0.1, 0.3),
         "shouts": _vote(m["n_shouts"] / n, 0.05, 0.2),
         "lines": _vote(m["n_dup_lines"] / F.greatest(m["n_lines"], F.lit(1)), 0.1, 0.3),
-        "variety": F.when(m["n_words"] <= 400, _vote(-m["n_distinct"] / n, -0.45, -0.3)),
+        "variety": _vote(-m["n_distinct"] / in_blocks, -0.45, -0.3),
         "word_length": F.when((length >= 3) & (length <= 9), 1).when((length < 2) | (length > 14), 0),
     }
 

@@ -11,7 +11,7 @@ from seepkit.llm.html_tree import parse, walk
 from seepkit.llm.language import features, identify
 from seepkit.llm.main_text import MARK, extract, extract_batch, made_page, model
 from seepkit.llm.neighbours import nearest
-from seepkit.llm.quality import BASE, fit_votes, posterior, score
+from seepkit.llm.quality import BASE, fit_votes, measures, posterior, rules, score
 from seepkit.llm.toxicity import default_categories, fit_chain, toxic_scores, train, word_buckets
 
 SF = "/root/testdata/sf0.01"
@@ -42,6 +42,21 @@ def test_quality_measures_equal_brute_force(spark):
     assert score(df.drop("quality").limit(0)).count() == 0
 
 
+def test_variety_votes_at_every_length(spark):
+    r = random.Random(6)
+    salad, rich = ["w%d" % i for i in range(100)], ["v%d" % i for i in range(10_000)]
+    sizes = (400, 401, 799, 800, 801, 5000)
+    texts = {(n, k): " ".join(r.choice(v) for _ in range(n)) for n in sizes for k, v in ((0, salad), (1, rich))}
+    df = spark.createDataFrame([(n, k, t) for (n, k), t in texts.items()], "n int, k int, text string")
+    rows = measures(df).select("n", "k", "m", rules(F.col("m"))["variety"].alias("vote")).collect()
+    assert len(rows) == len(texts)
+    for x in rows:
+        w = texts[x.n, x.k].split()
+        blocks = [w] if x.n <= 400 else [w[min(i, x.n - 400) :][:400] for i in range(0, x.n, 400)]
+        assert x.m.n_distinct == sum(len(set(b)) for b in blocks)
+        assert x.vote == x.k
+
+
 def test_quality_against_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = score(docs.select("doc_id", "text"), staged=True).drop("quality").join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()

@@ -29,30 +29,35 @@ def held_out(key: str = "doc_id"):
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature of each n-gram, first n-gram of each text, letters of each text)."""
-    lower = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))
-    # a line end between texts keeps n-grams from reaching across
-    joined = "\n".join(lower.to_pylist()) + "\n"
-    code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    ends = np.flatnonzero(code == 10) if not pc.any(pc.match_substring(lower, "\n")).as_py() else None
-    if ends is None:
-        ends = np.cumsum([len(x) + 1 for x in lower.to_pylist()]) - 1
+    """(feature of each n-gram, first n-gram of each text, letters of each text).
+
+    A text is framed by spaces of its own, and n-grams that would pass its end are left out.
+    """
+    lower = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())).to_pylist()
+    if not lower:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = np.frombuffer((" " + "  ".join(lower) + " ").encode("utf-32-le", "replace"), np.uint32)
+    starts = np.cumsum([0] + [len(x) + 2 for x in lower[:-1]])
     letter = LETTER[np.minimum(code, len(LETTER) - 1)]
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n_letters = np.add.reduceat(letter.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+    n_letters = np.add.reduceat(letter.astype(np.int64), starts)
     c = np.where(letter, code, 32).astype(np.uint32)
     keep = (c != 32) | np.concatenate([[True], c[:-1] != 32])  # one space between words
-    keep[ends] = True
-    at = np.concatenate([[0], np.cumsum(keep)])[starts]
+    keep[starts] = True
+    at = np.concatenate([[0], np.cumsum(keep)])[np.append(starts, len(code))]
     c = c[keep] * np.uint32(0x9E3779B1)
     two = (c[:-1] ^ (c[1:] * np.uint32(5)) + np.uint32(0x7F4A7C15)) * np.uint32(0x85EBCA6B)
     two = np.concatenate([two, c[-1:]])
     three = (two[:-1] ^ (c[1:] * np.uint32(0x27D4EB2F) >> np.uint32(3)) * np.uint32(3)) * np.uint32(0xC2B2AE35)
     three[:-1] ^= c[2:] * np.uint32(0x165667B1)
     three = np.concatenate([three, c[-1:]])
+    within = np.ones((len(c), 3), bool)  # n characters from each place lie in one text
+    last = at[1:] - 1
+    within[last, 1:] = False
+    within[last[np.diff(at) > 1] - 1, 2] = False
     bits = np.uint32(32 - BUCKETS.bit_length() + 1)
-    gram = np.stack([two >> bits, three >> bits], 1).ravel()
-    return gram.astype(np.int32), at * 2, n_letters
+    gram = np.stack([c >> bits, two >> bits, three >> bits], 1)[within]
+    first = np.concatenate([[0], np.cumsum(within.sum(1))])[at[:-1]]
+    return gram.astype(np.int32), first, n_letters
 
 
 LETTER = np.fromiter((chr(i).isalpha() if not 0xD800 <= i < 0xE000 else False for i in range(0x30000)), bool, 0x30000)

@@ -100,6 +100,21 @@ def test_features_end_with_the_text():
     assert both[2].tolist() == [x[2][0] for x in alone]
 
 
+def test_grams_stay_within_the_text():
+    import pyarrow as pa
+
+    texts = ["Ab c", None, "", "d\ne f", "x", "12", " é ", "x", "one  two", "\n", "é"]
+    for some in (texts, [t for t in texts if t != "\n" and t != "d\ne f"]):
+        gram, at, letters = features(pa.array(some))
+        lists = [x.tolist() for x in np.split(gram, at[1:])]
+        alone = [features(pa.array([t], pa.string())) for t in some]
+        assert lists == [x[0].tolist() for x in alone]
+        assert letters.tolist() == [x[2][0] for x in alone]
+    one, many = features(pa.array(["x"]))[0], features(pa.array(["xyz"]))[0]
+    assert (len(one), len(many)) == (3 + 2 + 1, 5 + 4 + 3)  # with the frame " x " and " xyz "
+    assert features(pa.array([], pa.string()))[1].tolist() == []
+
+
 def test_chain_uses_out_of_fold_probabilities():
     r = np.random.default_rng(1)
     y = r.random(400) < 0.3

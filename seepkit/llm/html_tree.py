@@ -32,7 +32,6 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-label)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _BUTTON = re.compile("</button", re.I)
 _PART = re.compile(r"[a-z]+")
-DEEPEST = 200
 _SPACE = " \t\n\r\f\v"
 
 
@@ -50,7 +49,10 @@ class Node:
 def parse(html: str) -> Node:
     """The body's tree. Leaves ``#text`` hold a block's text: what stands between block tags."""
     root = node = Node("body", None)
-    depth, pos, links = 0, 0, 0
+    path = [root]  # the open blocks
+    places: dict[str, list[int]] = {}  # of the open blocks in path, by tag
+    scopes: list[int] = []
+    pos, links = 0, 0
     held: list[str] = []  # of the block at hand
     linked = 0
 
@@ -65,6 +67,19 @@ def parse(html: str) -> Node:
             held.clear()
         linked = 0
 
+    def innermost(tags) -> int:
+        """Place of the innermost open block with one of the tags, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(place: int) -> Node:
+        """Close the blocks from that place on; the one that stays open."""
+        while len(path) > place:
+            x = path.pop()
+            places[x.tag].pop()
+            if x.tag in SCOPES:
+                scopes.pop()
+        return path[-1]
+
     size = len(html)
     while pos < size:
         found = _TOKEN.search(html, pos)
@@ -109,27 +124,26 @@ def parse(html: str) -> Node:
         if tag in VOID:
             continue
         if closing:
-            at, up = node, 0
-            while at.parent is not None and at.tag != tag:
-                if at.tag in ("article", "main") and tag in ("p", "div", "li", "ul"):
-                    break
-                at, up = at.parent, up + 1
-            if at.tag == tag and at.parent is not None:
-                node, depth = at.parent, depth - up - 1
+            place = innermost((tag,))
+            bound = innermost(("article", "main")) if tag in ("p", "div", "li", "ul") else 0
+            if place > bound:
+                node = close(place)
             continue
         if tag in CLOSES_P and node.tag == "p":
-            node, depth = node.parent, depth - 1
+            node = close(len(path) - 1)
         if tag in SAME:
-            at, up = node, 0
-            while at.parent is not None and at.tag not in SAME[tag] and at.tag not in SCOPES:
-                at, up = at.parent, up + 1
-            if at.tag in SAME[tag] and at.parent is not None:
-                node, depth = at.parent, depth - up - 1
-        if depth >= DEEPEST or found[3].endswith("/"):
-            continue  # deeper blocks stay in the one at hand
+            place = innermost(SAME[tag])
+            if place > (scopes[-1] if scopes else 0):
+                node = close(place)
+        if found[3].endswith("/"):
+            continue
         child = Node(tag, node, found[3])
         node.children.append(child)
-        node, depth = child, depth + 1
+        places.setdefault(tag, []).append(len(path))
+        if tag in SCOPES:
+            scopes.append(len(path))
+        path.append(child)
+        node = child
     flush()
     return root
 

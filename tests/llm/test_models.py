@@ -172,6 +172,26 @@ def test_main_text_of_odd_pages(spark):
     assert got[2] == got[3] == ""
 
 
+def test_deep_pages_keep_their_blocks():
+    page = "<div>" * 300 + '<article class="post"><p>one</p></div></article><div class="ad">two</div>' + "</div></section>" * 150 + "<nav>three"
+    leaves = {x.own: x for x in walk(parse(page)) if x.own}
+    up = lambda x: [] if x is None else [x.tag, *up(x.parent)]
+    assert up(leaves["one"]) == ["#text", "p", "article", *["div"] * 300, "body"]
+    assert "post" in leaves["one"].parent.parent.attributes
+    assert up(leaves["two"]) == ["#text", "div", *["div"] * 300, "body"]
+    assert up(leaves["three"]) == ["#text", "nav", *["div"] * 150, "body"]
+
+
+def test_closing_tags_do_not_climb_far():
+    from time import process_time
+
+    n = 30_000
+    for page in ("<div>" * n + "</section>" * n, "<div><article>" + "<h1>" * n + "</div>" * n, "<h1><p>" * n, "<div>" * n + "</div>" * n):
+        start = process_time()
+        assert len(walk(parse(page))) > n
+        assert process_time() - start < 5
+
+
 def vectors(r, n, d=8):
     rows = [(i, [float(x) for x in r.normal(size=d)], "v") for i in range(n)]
     same = [float(x) for x in r.normal(size=d)]

@@ -1,4 +1,17 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from seepkit.llm.packing import cut
+from seepkit.llm.quality import fit_votes, posterior
 from seepkit.llm.staging import materialize
+from seepkit.llm.toxicity import fit_chain, word_buckets
 
 
 def test_stages(spark):
@@ -22,3 +35,109 @@ def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def brute_quality(rows):
+    from test_models import brute_base
+
+    def vote(x, good, bad):
+        return 1 if x <= good else 0 if x > bad else None
+
+    judged = []
+    for k, t in rows:
+        n, chars, symbols, same_lines, repeated = brute_base(t)
+        w = t.split()
+        lines = [x for x in t.split("\n") if x.strip()]
+        blocks = [w] if n <= 400 else [w[min(i, n - 400) :][:400] for i in range(0, n, 400)]
+        length = chars / max(n, 1)
+        votes = (
+            vote(symbols / max(n, 1), 0.05, 0.3),
+            vote(len(re.findall("[A-ZÀ-ÖØ-Þ]{3,}", t)) / max(n, 1), 0.1, 0.3),
+            vote(t.count("!") / max(n, 1), 0.05, 0.2),
+            vote(same_lines / max(len(lines), 1), 0.1, 0.3),
+            vote(-sum(len(set(b)) for b in blocks) / max(sum(map(len, blocks)), 1), -0.45, -0.3),
+            1 if 3 <= length <= 9 else 0 if length < 2 or length > 14 else None,
+        )
+        judged.append((k, t, votes, n < 20 or 100 * repeated > 30 * n))
+    prior, rates = fit_votes(sorted(Counter(v for _, _, v, failed in judged if not failed).items(), key=str))
+    return [(k, t) for k, t, v, failed in judged if not failed and posterior(v, prior, rates) >= 0.5]
+
+
+def brute_one_of_each(rows):
+    from test_duplicates import brute_components
+
+    named = sorted({(k, t) for k, t in rows if k is not None})
+    best = {comp for _, _, comp in brute_components(named)}
+    return [x for x in named if x[0] in best] + [x for x in rows if x[0] is None]
+
+
+def brute_cut(rows, window=35):
+    split = [t.split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+    out = []
+    for (k, t), w in zip(rows, split, strict=True):
+        gone = {j for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
+        at = [m.span() for m in re.finditer(r"\S+", t)]
+        runs = []
+        for j in range(len(w)):
+            if j not in gone:
+                runs[-1:] = [(runs[-1][0], j)] if runs and runs[-1][1] == j - 1 else [*runs[-1:], (j, j)]
+        out.append((k, "\n".join(t[at[a][0] : at[b][1]] for a, b in runs) if gone else t))
+    return out
+
+
+def brute_toxic(spark, rows, labels):
+    known = dict(rows)
+    hashed = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("h", F.xxhash64("doc_id", F.lit(7))).orderBy("h").collect()
+    targets = {"poor": np.array([x.quality == 0 for x in hashed]), "toxic": np.array([x.toxic == 1 for x in hashed])}
+    chain = fit_chain([word_buckets(known[x.doc_id]) for x in hashed], targets, np.array([x.h % 4 for x in hashed]))
+    return [(k, t) for k, t in rows if chain.predict([word_buckets(t)])[0, 1] < 0.5]
+
+
+def fixture():
+    r = random.Random(12)
+    names = ["".join(r.choice("aeioustrnlmdpc") for _ in range(r.randint(4, 7))) for _ in range(4000)]
+    words = lambda n: [r.choice(names) for _ in range(n)]
+    passage = words(50)
+    rows = [(i, " ".join(words(r.randint(40, 120)))) for i in range(60)]
+    rows += [(100 + i, " ".join(words(30) + ["vile", "slurry", "hateful"] + words(30))) for i in range(40)]
+    rows += [(200 + i, " ".join(w + r.choice(["", " #", " $$"]) for w in words(50))) for i in range(5)]
+    rows += [(210, " ".join(words(10))), (211, "a b c d e f g h i j " * 10), (212, ""), (213, " ".join(words(3000)))]
+    for i in range(6):  # near copies of document i, and the passage in documents of their own
+        w = rows[i][1].split()
+        w[len(w) // 2] = "changed"
+        rows += [(300 + i, " \n".join(w)), (320 + i, " ".join(words(40)) + "\n" + " ".join(passage) + "  " + " ".join(words(30)))]
+    salad = words(60)
+    rows += [(340, " ".join(r.choice(salad) for _ in range(900))), (50, rows[50][1]), (None, rows[51][1]), (None, " ".join(words(60)))]
+    return rows, [(k, int(k < 200), int(100 <= k < 140)) for k, _ in rows[:105]]
+
+
+def test_run_equals_brute_force_chain(spark, tmp_path):
+    import corpus_pipeline as c
+
+    rows, labels = fixture()
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = brute_toxic(spark, rows, labels)
+    good = brute_quality(clean)
+    single = brute_one_of_each(good)
+    left = brute_cut(single)
+    assert len(rows) > len(clean) > len(good) > len(single) > 50
+    assert sum(map(len, (t for _, t in left))) < sum(map(len, (t for _, t in single)))
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    want = []
+    for k, t in left:
+        ids = [*(library.encode(t, add_special_tokens=False).ids if t else []), 0]
+        want += [(k or -1, i, a, n, zlib.crc32(np.asarray(ids[a : a + n], "<u4").tobytes())) for i, (a, n) in enumerate(cut(len(ids), 2048))]
+    got = c.run(spark, str(tmp_path)).collect()
+    assert sorted((x.doc_id or -1, x.piece, x.start, x.length, x.ids_crc32) for x in got) == sorted(want)
+    by: dict = {}
+    for x in got:
+        by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for places in by.values():
+        ends = [0, *(a + n for a, n in sorted(places))]
+        assert [a for a, _ in sorted(places)] == ends[:-1]
+        assert ends[-1] <= 2048
+    assert len(by) <= 1.15 * -(-sum(x[3] for x in want) // 2048) + 2

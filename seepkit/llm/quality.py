@@ -113,6 +113,8 @@ def rules(m: Column) -> dict[str, Column]:
 
 
 #: P(vote good | good) and P(vote good | bad): where EM starts, and the limits of its estimates.
+#: The good side's lower limit decides what EM finds (figures in README): where most bad documents trip one rule
+#: only, the votes look the same as those of good documents under a noisy rule.
 START, LIMITS = (0.995, 0.8), ((0.995, 0.9995), (0.02, 0.85))
 
 

@@ -1,11 +1,10 @@
-"""Substring deduplication by relative Lempel-Ziv parsing over window fingerprints.
+"""Substring deduplication by fingerprints of winnowed windows.
 
 A window is ``WINDOW`` consecutive words. Every distinct text is a reference block; the index holds
-fingerprints of the blocks' windows. A text is factored greedily against all blocks: a factor starts
-at a window that the index has at another place and grows while the next window lies in the same
-block; where it ends, the windows that straddle the boundary are looked up in their turn, so a window
-that begins in one factor and ends in the next is judged by itself. All words of factors (at least a
-window long) are duplicate.
+fingerprints of the blocks' windows. A window that the index has at another place too is repeated, and
+the words of repeated windows are duplicate. Each repeated window is named after the least block that
+has it, and ``factors`` are runs of such windows; they hold no source positions and are not the greedy
+factors of a relative Lempel-Ziv parse. Their union, the words removed, is the same whatever the runs.
 
 Only windows that can repeat are looked up. Winnowing picks in each window the place of the least
 hash of ``ANCHOR`` words; equal windows pick equal anchors, so a window whose anchor occurs once
@@ -14,7 +13,7 @@ occurs once. Anchors are about a fifteenth of the words. Steps, each written to
 1. texts -> word counts, digests and anchors; equal texts count as one block with a multiplicity;
 2. anchors that occur twice (aggregate with map-side combining, then a join that can be split);
 3. texts of blocks with such anchors -> fingerprints of the windows that pick them;
-4. fingerprints that occur twice -> starts per block -> factors -> spans of words;
+4. fingerprints that occur twice -> starts per block -> runs of windows -> spans of words;
 5. spans, by digest, to every row.
 """
 
@@ -103,7 +102,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def factors(starts: np.ndarray, blocks: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Greedy factors (first word, length, block): runs of consecutive windows in one block."""
+    """(first word, length, block) of the runs of consecutive windows named after one block."""
     if not len(starts):
         return []
     order = np.argsort(starts, kind="stable")

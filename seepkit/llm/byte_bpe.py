@@ -144,7 +144,7 @@ class ByteBPE:
         return [line + self.text(x[1:]) if x[:1] == "\n" else self.text(x if x[0] == " " else " " + x) if x else b"" for x in pieces]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        return encode_texts(texts, "bytes", self.cache, 1)
+        return [ids[a + 1 : b] for _, _, ids, at in encode_texts(texts, "bytes", self.cache) for a, b in zip(at, at[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))

@@ -15,6 +15,7 @@ that recur stay in it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,34 +36,25 @@ class TwoGenerations:
         self.young: dict = {}
         self.old: dict = {}
 
-    def load(self, pieces) -> dict:
-        """A mapping that holds every chunk of ``pieces``."""
+    def load(self, pieces: list[str]) -> list[bytes]:
+        """The value of every chunk of ``pieces``, which are distinct."""
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = set(pieces).difference(young)
-        if not missing:
-            return young
-        kept = {x for x in missing if x in old}
-        young.update((x, old[x]) for x in kept)
-        missing = list(missing - kept)
-        found = dict(zip(missing, self.encode_missing(missing), strict=True))
-        long = {k: v for k, v in found.items() if len(k) > LONGEST}
-        for k in long:
-            del found[k]
-        young.update(found)
-        return _Both(young, long) if long else young
-
-
-class _Both(dict):
-    """A dictionary with a first one to look in for what it lacks."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
+        values = list(map(young.get, pieces))
+        absent = [i for i, v in enumerate(values) if v is None]
+        missing = []
+        for i in absent:
+            x = pieces[i]
+            if (v := old.get(x)) is None:
+                missing.append(i)
+            else:
+                values[i] = young[x] = v
+        for i, v in zip(missing, self.encode_missing([pieces[i] for i in missing]), strict=True):
+            values[i] = v
+            if len(pieces[i]) <= LONGEST:
+                young[pieces[i]] = v
+        return values
 
 
 def byte_level_pieces(text: str) -> list[str]:
@@ -78,7 +70,7 @@ def plain(piece: str) -> bool:
 
 
 def _piece_lists(texts: pa.Array, kind: str) -> pa.Array:
-    """A list of chunks per text; null and empty texts have none."""
+    """A list of chunks per text; null is empty, and an empty text has one chunk at most."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     if kind == "words":
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
@@ -88,31 +80,27 @@ def _piece_lists(texts: pa.Array, kind: str) -> pa.Array:
     pieces = pc.split_pattern(pc.utf8_slice_codeunits(lined, 1), " ")
     if not pc.any(odd).as_py():
         return pieces
-    own = [(byte_level_pieces(x) if x else []) if o else None for x, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
+    own = [byte_level_pieces(x) if o else None for x, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
     return pc.if_else(odd, pa.array(own, pieces.type), pieces)
 
 
-def encode_texts(texts: pa.Array, kind: str, cache: TwoGenerations, drop_first: int) -> list[np.ndarray]:
-    """Ids of each text. Each distinct chunk of a slice is looked up once; the rest is array work."""
-    out: list[np.ndarray] = []
+def encode_texts(texts: pa.Array, kind: str, cache: TwoGenerations) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, flat ids, n + 1 offsets) by runs of rows; with ``bytes`` each text's ids
+    come after one for the newline put before it. Each distinct chunk of a run is looked up once; the
+    rest is array work."""
     for lo, hi in _slices(texts):
         lists = _piece_lists(texts.slice(lo, hi - lo), kind)
         coded = lists.flatten().dictionary_encode()
-        codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        known = cache.load(distinct)
-        values = [known[x] for x in distinct]
-        lens = np.fromiter((len(x) >> 2 for x in values), np.int64, len(values))
-        ids = np.frombuffer(b"".join(values), "<u4")
-        starts = np.cumsum(lens) - lens
-        n = lens[codes]
-        ends = np.cumsum(n)
-        made = ids[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        at = np.concatenate([[0], ends])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
-        out += [made[a + drop_first : b] if b > a else made[a:a] for a, b in zip(at, at[1:], strict=False)]
-    return out
-
-
-def _slices(texts: pa.Array, most: int = 2_000_000):
+        values = pa.array(cache.load(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        made = values.take(coded.indices)
+        _, ends, data = made.buffers()
+        ends = np.frombuffer(ends, np.int64)[made.offset : made.offset + len(made) + 1] >> 2 if len(made) else np.zeros(1, np.int64)
+        at = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        ids = np.frombuffer(data, "<u4", count=int(at[-1])) if at[-1] else np.zeros(0, "<u4")
+        yield lo, hi, ids, at
+
+
+def _slices(texts: pa.Array, most: int = 4_000_000):
     """Runs of rows of about ``most`` bytes."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     lo = total = 0

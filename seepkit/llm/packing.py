@@ -36,25 +36,49 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((a, capacity) for a in range(first, n, capacity))]
 
 
+def cuts(n: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of n tokens, as ``cut`` has them."""
+    first = np.where(n <= capacity, n, np.where(n % capacity, n % capacity, capacity))
+    many = 1 + (n - first) // capacity
+    who = np.repeat(np.arange(len(n)), many)
+    piece = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+    start = np.where(piece > 0, first[who] + (piece - 1) * capacity, 0)
+    return who, piece, start, np.where(piece > 0, capacity, first[who])
+
+
+def ranks(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Place of each piece among those of its length, after the ``seen[n]`` of length n before; adds to ``seen``."""
+    order = np.argsort(length, kind="stable")
+    ordered = length[order]
+    opens = np.flatnonzero(np.diff(ordered, prepend=-1))
+    within = np.arange(len(ordered)) - np.repeat(opens, np.diff(np.append(opens, len(ordered))))
+    rank = np.empty(len(length), np.int64)
+    rank[order] = seen[ordered] + within
+    seen += np.bincount(length, minlength=len(seen))
+    return rank
+
+
 def token_pieces(docs: DataFrame, encode_path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
     """Pieces of every whole text, with each piece's rank among those of its length in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
-        tail = np.asarray([end_id], "<u4")
         for batch in batches:
-            rows = []
-            for k, ids in zip(batch.column(0).to_pylist(), encoder(encode_path, "bytes").encode(batch.column(1)), strict=True):
-                ids = np.concatenate([ids, tail])
-                for i, (a, n) in enumerate(cut(len(ids), capacity)):
-                    raw = ids[a : a + n].tobytes()
-                    rows.append((k, i, a, n, zlib.crc32(raw), part, seen[n], *([raw] if with_ids else [])))
-                    seen[n] += 1
-            columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.types, strict=True)], fields.names)
-
-    fields = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
+            for lo, hi, ids, at in encoder(encode_path, "bytes").encode_ended(batch.column(1), end_id):
+                who, piece, start, length = cuts(np.diff(at), capacity)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                places = ((at[who] + start) * 4).tolist()
+                parts = [raw[a : a + n] for a, n in zip(places, (length * 4).tolist(), strict=True)]
+                columns = [
+                    batch.column(0).slice(lo, hi - lo).take(pa.array(who)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                    pa.array(list(map(zlib.crc32, parts)), pa.int64()), pa.array(np.full(len(who), part), pa.int32()), pa.array(ranks(length, seen)),
+                ]
+                if with_ids:
+                    columns.append(pa.array(list(map(bytes, parts)), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *(["ids"] if with_ids else [])]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
 

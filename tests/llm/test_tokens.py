@@ -12,24 +12,23 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from seepkit.llm.byte_bpe import PerfectHash, bpe_digest, coder, decode_documents, encode_documents, read_ranks
-from seepkit.llm.packing import cut, pack, plan
-from seepkit.llm.token_files import manifest, read_shard, token_file_digest, write_tokens
+from seepkit.llm.packing import cut, cuts, pack, plan, ranks
+from seepkit.llm.token_files import FlatFile, manifest, read_shard, token_file_digest, write_tokens
 from seepkit.llm.tokens import encoder
 
 KINDS = {"bytes": "byte_bpe_50k.json", "words": "word_bpe_49k.json"}
-ODD = ["", " ", "\n", "a\n\nb", "  a  b ", "a \n b", "\tx y", "foo.\nBar's 's", "ΑΣ Σ.", "e ́x á", "\x02 a\x02b \x02", "x\x1cy", "<|endoftext|> a", "a\r\nb\n", "İ ǅ ﬁ", "a b\u0085c", "x" * 3000 + " y", "日本 語\n漢", "🙂 🙂🙂\n🙂", "Word###, word.\nWORD!!"]
-ALPHABET = st.sampled_from(list("ab \n\t'sé́1#Σ\x02\x1c,.S"))
+ODD = ["", " ", "\n", "a\n\nb", "  a  b ", "a \n b", "\tx y", "foo.\nBar's 's", "ΑΣ Σ.", "e ́x á", "\x02 a\x02b \x02", "x\x1cy", "<|endoftext|> a", "a\r\nb\n", "İ ǅ ﬁ", "a b\u0085c", "x" * 3000 + " y", "日本 語\n漢", "🙂 🙂🙂\n🙂", "Word###, word.\nWORD!!", "x İ.", "İ, İİ; aİ. İ́.", "a\u0301. b\u0307, İ\u0307:", "x<|endoftext|>y <|startoftext|>.\n<|endoftext|>", "a  <|endoftext|>  b", "<|endoftext|>"]
+ALPHABET = st.sampled_from([*"ab \n\t'sé́1#Σ\x02\x1c,.Sİ\u0307ǅ", "<|endoftext|>", "<|startoftext|>"])
+TEXTS = st.lists(st.lists(ALPHABET, max_size=40).map("".join), max_size=20)
 
 
 def library(kind):
-    t = Tokenizer.from_file(P.path(KINDS[kind]))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path(KINDS[kind]))
 
 
 @pytest.mark.parametrize("kind", KINDS)
 @settings(max_examples=30, deadline=None)
-@given(texts=st.lists(st.text(ALPHABET, max_size=40), max_size=20))
+@given(texts=TEXTS)
 def test_chunks_equal_whole_texts(kind, texts):
     t = library(kind)
     for some in (texts, ODD):
@@ -37,13 +36,30 @@ def test_chunks_equal_whole_texts(kind, texts):
         assert got == [t.encode(x, add_special_tokens=False).ids for x in some]
 
 
+def test_special_strings_as_text():
+    t = library("bytes")
+    t.encode_special_tokens = True
+    text = "x<|endoftext|>y <|endoftext|>"
+    assert encoder(P.path(KINDS["bytes"]), "bytes", special_as_text=True).encode(pa.array([text]))[0].tolist() == t.encode(text).ids
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_ends_stand_behind_each_text(kind):
+    e = encoder(P.path(KINDS[kind]), kind)
+    for some in (["a b", None, "", "c.\nd", ""], ["", ""], [None], []):
+        found = list(e.encode_ended(pa.array(some, pa.string()), 7))
+        got = [ids[a:b].tolist() for _, _, ids, at in found for a, b in zip(at, at[1:], strict=False)]
+        assert got == [[*x.tolist(), 7] for x in e.encode(pa.array(some, pa.string()))]
+        assert sum(hi - lo for lo, hi, *_ in found) == len(some)
+
+
 def tik():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @settings(max_examples=30, deadline=None)
-@given(texts=st.lists(st.text(ALPHABET, max_size=40), max_size=20))
+@given(texts=TEXTS)
 def test_bpe_equals_tiktoken(texts):
     c, t = coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), tik()
     for some in (texts, [*ODD, "abc" * 20000]):
@@ -81,6 +97,25 @@ def test_token_files(spark):
     assert sum(1 for s in m["shards"] for _ in read_shard(path, s["shard"], m["ids"])) == len(ROWS)
 
 
+def test_ids_are_as_wide_as_the_vocabulary_needs(spark, tmp_path):
+    wide = Tokenizer.from_str('{"version": "1.0", "truncation": null, "padding": null, "added_tokens": [], "normalizer": null, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": null, "decoder": null, "model": {"type": "WordLevel", "vocab": {"a": 3, "b": 70000, "[UNK]": 0}, "unk_token": "[UNK]"}}')
+    wide.save(str(tmp_path / "wide.json"))
+    path = write_tokens(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), str(tmp_path / "wide.json"), "words", 1, shards=2)
+    m = manifest(path)
+    assert m["ids"] == "<u4"
+    assert [x.tolist() for s in m["shards"] for _, _, x in read_shard(path, s["shard"], m["ids"])] == [[3, 70000, 1]]
+
+
+def test_ranged_reads_equal_mapped_ones(tmp_path):
+    from pyarrow.fs import LocalFileSystem, SubTreeFileSystem
+
+    np.arange(100, dtype="<u2").tofile(tmp_path / "x")
+    one, two = FlatFile(LocalFileSystem(), str(tmp_path / "x"), "<u2"), FlatFile(SubTreeFileSystem(str(tmp_path), LocalFileSystem()), "x", "<u2")
+    assert two.file is not None
+    for a, b in ((0, 100), (3, 7), (5, 5), (90, 200)):
+        assert one[a:b].tolist() == two[a:b].tolist() == list(range(a, min(b, 100)))
+
+
 def test_token_files_of_nothing(spark):
     path = write_tokens(spark.createDataFrame([], SCHEMA), P.path(KINDS["words"]), "words", 1)
     assert token_file_digest(spark, path).count() == 0
@@ -114,6 +149,19 @@ def test_plans_use_every_piece_once(capacity, n):
     assert sum(k for _, k in made) <= 1.15 * bound + 2
 
 
+def test_flat_cuts_and_ranks():
+    r = np.random.default_rng(5)
+    n = r.integers(1, 60, 300)
+    who, piece, start, length = cuts(n, 16)
+    assert list(zip(who.tolist(), piece.tolist(), start.tolist(), length.tolist(), strict=True)) == [(i, j, a, k) for i, x in enumerate(n.tolist()) for j, (a, k) in enumerate(cut(x, 16))]
+    seen, count, want = np.zeros(17, np.int64), {}, []
+    for k in length.tolist():
+        want.append(count.get(k, 0))
+        count[k] = want[-1] + 1
+    assert [*ranks(length[:200], seen).tolist(), *ranks(length[200:], seen).tolist()] == want
+    assert ranks(length[:0], seen).tolist() == []
+
+
 def test_cuts():
     assert cut(5, 8) == [(0, 5)]
     assert cut(16, 8) == [(0, 8), (8, 8)]

@@ -9,41 +9,29 @@ split. Every round is written to the shared folder, so that a lost executor repe
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOCAL_DEFAULT = "/tmp/seepkit-checkpoints"
-
-
-def _saved(df: DataFrame) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_DEFAULT).rstrip('/')}/seepkit-components-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+from seepkit.sources.shared import discard, saved
 
 
-def _drop(spark, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+class NotConverged(RuntimeError):
+    """Rounds ran out before the components were found."""
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 100) -> DataFrame:
     """(node, comp): every node of an edge and the least node of its component.
 
     Loops keep their node; rows with a null end are ignored; repeated and reversed edges don't matter;
-    an empty edge list gives an empty result.
+    an empty edge list gives an empty result. The number of rounds grows with the logarithm of the longest
+    path; ``NotConverged`` is raised if ``most_rounds`` aren't enough. The result is a table in the
+    shared folder.
     """
-    spark = edges.sparkSession
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
     # edges point from the larger node to the smaller; loops stand for themselves
-    graph, path = _saved(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    nodes = graph.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    nodes, _ = _saved(nodes)
-    old, last = path, None
-    graph = graph.filter("u <> v")
+    first = saved(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    graph, last = first.filter("u <> v"), None
+    stale: DataFrame | None = None
     for _ in range(most_rounds):
         # large star: larger neighbours of u go to the least of u and its neighbours
         around = graph.union(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -53,12 +41,18 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        graph, new = _saved(small)
-        if old:
-            _drop(spark, old)
-        old = new
-        state = graph.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") / 2**20)).first()
-        if last is not None and tuple(state)[:2] == tuple(last)[:2]:
+        graph = saved(small, "stars")
+        if stale is not None:
+            discard(stale)
+        stale = graph
+        state = graph.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state == last:  # a round that changes nothing: every node points at its component's least
             break
         last = state
-    return nodes.join(graph.select(F.col("u").alias("node"), F.col("v").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("comp"))
+    else:
+        raise NotConverged(f"components after {most_rounds} rounds")
+    nodes = first.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    found = nodes.join(graph.select(F.col("u").alias("node"), F.col("v").alias("m")), "node", "left")
+    out = saved(found.select("node", F.coalesce("m", "node").alias("comp")), "components")
+    discard(first, graph)
+    return out

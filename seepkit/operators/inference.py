@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seepkit.functions.inference import bonferroni, clopper_pearson, wilson, z_value
@@ -23,18 +23,21 @@ def with_clopper_pearson(counts: DataFrame, alpha: float | Column = 0.05, side:
     return counts.withColumn("c", limits).select("*", F.col("c.lo").alias("lo"), F.col("c.hi").alias("hi")).drop("c")
 
 
-def with_bonferroni(counts: DataFrame, alpha: float, m: int) -> DataFrame:
-    """Wilson limits that hold jointly for m groups at level alpha."""
-    made = with_wilson(counts, alpha / m)
-    return made.withColumn("alpha_each", bonferroni(alpha, m))
+def with_bonferroni(counts: DataFrame, alpha: float, m: int | None = None) -> DataFrame:
+    """Wilson limits that hold jointly for m groups at level alpha; by default for all of ``counts``,
+    which a job counts first."""
+    m = counts.count() if m is None else m
+    made = with_wilson(counts, alpha / max(1, m))
+    return made.withColumn("alpha_each", bonferroni(alpha, max(1, m)))
 
 
 def min_fill(curve: DataFrame, target: float, alpha: float = 0.05, joint: bool = True) -> DataFrame:
     """One row: the least n_fill whose one-sided exact lower bound reaches the target, or null.
 
-    curve: n_fill, k, trials. ``joint`` divides alpha by the number of candidate fillings, since
-    the least is picked after looking at all.
+    curve: n_fill, k, trials, a row a candidate filling. ``joint`` divides alpha by the number of
+    candidates, since the least is picked after looking at all; they are few, by design of the curve, so
+    a window counts them in one pass over it.
     """
-    m = curve.count() if joint else 1
-    counts = curve.select("n_fill", "k", F.col("trials").alias("n"))
-    return with_clopper_pearson(counts, alpha / max(1, m), "lower").agg(F.min(F.when(F.col("lo") >= target, F.col("n_fill"))).alias("n_fill"))
+    level = F.lit(alpha) / F.count("*").over(Window.partitionBy(F.lit(0))) if joint else F.lit(alpha)
+    counts = curve.select("n_fill", "k", F.col("trials").alias("n"), level.alias("level"))
+    return with_clopper_pearson(counts, F.col("level"), "lower").agg(F.min(F.when(F.col("lo") >= target, F.col("n_fill"))).alias("n_fill"))

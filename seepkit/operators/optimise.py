@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seepkit.sources.shared import discard, saved
+
+
+#: Parts of the abscissas that a two-dimensional front is sought in.
+RANGES = 1024
+
 
 def pareto_2d(df: DataFrame, minimize: str, maximize: str) -> DataFrame:
     """Rows that no other row beats: as low and as high, and better in one. Ties all stay.
 
     Two steps bound what one task sees: the input shrinks to the best value per abscissa by an
-    aggregate, then to the front within each of many ranges; only ranges' extremes are compared
-    across, so the window without a key reads a row per range.
+    aggregate, then to the front within each of ``RANGES`` equal parts of the abscissas; only ranges'
+    extremes are compared across, so the window without a key reads a row per range.
     """
-    best = df.filter(F.col(minimize).isNotNull() & F.col(maximize).isNotNull()).groupBy(minimize).agg(F.max(maximize).alias("__y"))
     x = F.col(minimize)
-    ranged = best.repartitionByRange(64, minimize).withColumn("__part", F.spark_partition_id())
+    best = df.filter(x.isNotNull() & F.col(maximize).isNotNull()).groupBy(minimize).agg(F.max(maximize).alias("__y"))
+    place = x.cast("double")
+    ends = df.agg(F.min(place).alias("__lo"), F.max(place).alias("__hi"))  # one row
+    share = F.when(F.col("__hi") > F.col("__lo"), (place - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0)
+    ranged = best.join(F.broadcast(ends)).withColumn("__part", F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).drop("__lo", "__hi")
     within = Window.partitionBy("__part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("__before", F.max("__y").over(within)).filter(F.col("__before").isNull() | (F.col("__y") > F.col("__before")))
-    tops = local.groupBy("__part").agg(F.max("__y").alias("__top"))
+    tops = ranged.groupBy("__part").agg(F.max("__y").alias("__top"))
     across = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     floor = tops.select("__part", F.max("__top").over(across).alias("__floor"))
     front = local.join(floor, "__part").filter(F.col("__floor").isNull() | (F.col("__y") > F.col("__floor")))
@@ -28,32 +40,54 @@ def pareto_2d(df: DataFrame, minimize: str, maximize: str) -> DataFrame:
     return df.join(front, (df[minimize] == front["__x"]) & (df[maximize] == front["__y"])).select(*(df[c] for c in df.columns))
 
 
+#: Rows of local fronts that one task may merge; beyond, they meet in a theta join.
+MERGED = 200_000
+
+
+def front_rows(v: np.ndarray, block: int = 256) -> np.ndarray:
+    """Places of the rows that no other row beats: as low everywhere and lower somewhere."""
+    order = np.lexsort(v.T[::-1])  # a row is beaten only by earlier ones
+    front = np.zeros(0, np.int64)
+    for lo in range(0, len(order), block):
+        some = order[lo : lo + block]
+        for held in [*(front[i : i + 4096] for i in range(0, len(front), 4096)), None]:
+            by = v[some if held is None else held]
+            mine = v[some]
+            beaten = np.zeros(len(some), bool)
+            no_worse, better = np.ones((len(some), len(by)), bool), np.zeros((len(some), len(by)), bool)
+            for c in range(v.shape[1]):
+                no_worse &= by[:, c] <= mine[:, c, None]
+                better |= by[:, c] < mine[:, c, None]
+            beaten = (no_worse & better).any(1)
+            some = some[~beaten]
+        front = np.concatenate([front, some])
+    return front
+
+
 def pareto_kd(df: DataFrame, minimize: list[str], maximize: list[str] = ()) -> DataFrame:
-    """k objectives. Rows beaten by a partition's own front go first; the rest meet that front in a
-    theta anti join."""
+    """k objectives; ties all stay, rows with a null objective don't.
+
+    Each partition's own front is written once. Up to ``MERGED`` such rows are reduced in eight
+    tasks and then in one; more meet in a theta anti join, which no task holds as a whole.
+    """
     goals = [F.col(c) for c in minimize] + [-F.col(c) for c in maximize]
     names = [f"__o{i}" for i in range(len(goals))]
-    scored = df.dropna(subset=[*minimize, *maximize]).withColumns(dict(zip(names, goals, strict=True)))
-
-    def local_front(batches):
-        import numpy as np
-        import pandas as pd
+    scored = df.dropna(subset=[*minimize, *maximize]).withColumns(dict(zip(names, [g.cast("double") for g in goals], strict=True)))
 
+    def local_front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for b in batches:
-            b = b if kept is None else pd.concat([kept, b])
-            v = b[names].to_numpy(float)
-            order = np.lexsort(v.T[::-1])
-            front: list[int] = []
-            for i in order:
-                f = v[front]
-                if not len(front) or not ((f <= v[i]).all(1) & (f < v[i]).any(1)).any():
-                    front.append(i)
-            kept = b.iloc[front]
+            table = pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
+            v = np.stack([table[n].to_numpy() for n in names], 1)
+            kept = table.take(pa.array(np.sort(front_rows(v))))
         if kept is not None:
-            yield kept
+            yield from kept.combine_chunks().to_batches()
 
-    local = scored.mapInPandas(local_front, scored.schema)
+    local = saved(scored.mapInArrow(local_front, scored.schema), "fronts")
+    if local.count() <= MERGED:
+        merged = saved(local.coalesce(8).mapInArrow(local_front, scored.schema), "fronts")
+        discard(local)
+        return merged.coalesce(1).mapInArrow(local_front, scored.schema).drop(*names)
     a, b = local.alias("a"), local.select(*(F.col(n).alias(f"__p{n}") for n in names)).distinct().alias("b")
     no_worse = reduce(lambda x, y: x & y, (F.col(f"b.__p{n}") <= F.col(f"a.{n}") for n in names))
     better = reduce(lambda x, y: x | y, (F.col(f"b.__p{n}") < F.col(f"a.{n}") for n in names))

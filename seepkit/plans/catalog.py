@@ -7,6 +7,7 @@ event a point placed by its id, each embedding a cylinder placed by its id.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from seepkit.functions.inference import z_value
 from seepkit.functions.rng import u01
 from seepkit.operators import contact, inference, optimise, percolation
 from seepkit.operators.connectivity import components
-from seepkit.plans.steps import audit
+from seepkit.plans.steps import STEPS, audit, freeze, gate, marks, run_steps, thaw
+from seepkit.sources.shared import new_path
 from seepkit.sources.tables import table
 
 SEED, REACH, CLOSE = 42, 0.25, 0.05
@@ -91,7 +93,7 @@ _TYPES = "SELECT event_type, count(*) FILTER (value > 50) AS k, count(*) AS n FR
 @query(f"SELECT event_type, k, n, {_WILSON.format(z=repr(z_value(0.05 / 5)))}, 0.01::DOUBLE AS alpha_each FROM ({_TYPES})")
 def bonferroni_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = inference.proportions(table(spark, sf_dir, "events", "event_type", "value"), ["event_type"], F.col("value") > 50)
-    return inference.with_bonferroni(counts, 0.05, 5).withColumns({"lo": _r("lo"), "hi": _r("hi"), "alpha_each": _r("alpha_each")})
+    return inference.with_bonferroni(counts, 0.05).withColumns({"lo": _r("lo"), "hi": _r("hi"), "alpha_each": _r("alpha_each")})
 
 
 @query(_sql_exact("SELECT quality, count(*) FILTER (toxic = 1) AS k, count(*) AS n FROM labels GROUP BY quality", "quality", 0.05))
@@ -135,13 +137,16 @@ def minimax_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimise.minimax_point(worst, ["worst", "other"], ["l_suppkey"]).withColumn("minimax", _r("minimax"))
 
 
-_COSTS = (7.0, 11.5, 18.25)
-_BOUND = 150.0
+_BOUND = 12.0
+_UNITS = "SELECT " + ", ".join(f"round(min(p_retailprice) FILTER (p_size % 3 = {i}) / 1000 + {i}, 2) AS c{i}" for i in range(3)) + " FROM part"
 
 
-@query(f"SELECT a.x::INT AS x1, b.x::INT AS x2, c.x::INT AS x3, round(a.x * {_COSTS[0]} + b.x * {_COSTS[1]} + c.x * {_COSTS[2]}, 8)::DOUBLE AS cost FROM range(30) a(x), range(30) b(x), range(30) c(x) WHERE a.x * {_COSTS[0]} + b.x * {_COSTS[1]} + c.x * {_COSTS[2]} <= {_BOUND}")
+@query(f"WITH u AS ({_UNITS}) SELECT a.x::INT AS x1, b.x::INT AS x2, c.x::INT AS x3, round(a.x * c0 + b.x * c1 + c.x * c2, 8)::DOUBLE AS cost FROM range(30) a(x), range(30) b(x), range(30) c(x), u WHERE a.x * c0 + b.x * c1 + c.x * c2 <= {_BOUND} + 1e-9")
 def int_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return optimise.int_scan(spark, list(_COSTS), _BOUND).withColumn("cost", _r("cost"))
+    """Unit costs: the least price of three kinds of part, in thousands, with a surcharge by kind."""
+    kinds = [F.round(F.min(F.when(F.col("p_size") % 3 == i, F.col("p_retailprice"))) / 1000 + i, 2) for i in range(3)]
+    costs = list(table(spark, sf_dir, "part", "p_size", "p_retailprice").agg(*kinds).first())  # one row
+    return optimise.int_scan(spark, costs, _BOUND).withColumn("cost", _r("cost"))
 
 
 @query(f"""WITH p AS (SELECT count(*) FILTER (p_size <= 10) AS small, count(*) FILTER (p_size > 40) AS large, count(*) AS n FROM part)
@@ -160,27 +165,56 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POINTS = f"SELECT user_id AS trial, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, event_id, {_sql_u('event_id::VARCHAR || ' + chr(39) + ':x' + chr(39))} AS x, {_sql_u('event_id::VARCHAR || ' + chr(39) + ':y' + chr(39))} AS y FROM events"
-_PAIRS = f"SELECT a.event_id AS src, b.event_id AS dst FROM pts a JOIN pts b ON a.trial = b.trial AND a.event_id < b.event_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {CLOSE * CLOSE!r}"
 
 
-def _close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(spark, sf_dir).withColumns({"p": F.floor(F.col("x") / CLOSE), "q": F.floor(F.col("y") / CLOSE)})
-    around = p.select("trial", F.col("event_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.array(*(F.struct((F.col("p") + i).alias("p"), (F.col("q") + j).alias("q")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c"))
-    joined = p.join(around.select("trial", "dst", "bx", "by", "c.p", "c.q"), ["trial", "p", "q"]).filter(F.col("event_id") < F.col("dst"))
-    dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
-    return joined.filter(dx * dx + dy * dy <= CLOSE * CLOSE).select(F.col("event_id").alias("src"), "dst")
+def _upright(rows: DataFrame, trial: str, i: str, r: float, h: float) -> DataFrame:
+    """trial, i and body: cylinders with vertical axes, placed in the unit cube by their ids."""
+    centre = {f"c{k}": u01(SEED, i, F.lit(k)) for k in "xyz"}
+    fields = centre | {"ax": F.lit(0.0), "ay": F.lit(0.0), "az": F.lit(1.0), "r": F.lit(r), "h": F.lit(h)}
+    return rows.select(F.col(trial).alias("trial"), F.col(i).alias("i"), F.struct(*(c.alias(k) for k, c in fields.items())).alias("body"))
 
 
-@query(f"WITH pts AS ({_POINTS}) {_PAIRS}")
+def _sql_upright(rows: str, trial: str, i: str, r: float, h: float, tol: float) -> str:
+    """The same bodies, and their contacts: beside each other by r, above each other by h."""
+    at = ", ".join(f"{_sql_u(f'{i}::VARCHAR || {chr(39)}:{k}{chr(39)}')} AS c{k}" for k in "xyz")
+    beside, above = f"greatest(0, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) - {2 * r!r})", f"greatest(0, abs(a.cz - b.cz) - {2 * h!r})"
+    return f"""bodies AS (SELECT {trial} AS trial, {i} AS i, {at} FROM {rows}),
+touching AS (SELECT * FROM (SELECT a.trial, a.i, b.i AS j, sqrt({beside} ** 2 + {above} ** 2) AS dist FROM bodies a JOIN bodies b ON a.trial = b.trial AND a.i < b.i) WHERE dist <= {tol!r})"""
+
+
+_EVENT_BODY = (0.05, 0.05, 0.01)
+_EVENTS = _sql_upright("events", "user_id", "event_id", *_EVENT_BODY)
+
+
+@query(f"WITH {_EVENTS} SELECT trial, i, j, round(dist, 5) AS dist FROM touching")
 def contact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _close(spark, sf_dir)
+    r, h, tol = _EVENT_BODY
+    bodies = _upright(table(spark, sf_dir, "events", "user_id", "event_id"), "user_id", "event_id", r, h)
+    return contact.contacts(bodies, tol, r + h).withColumn("dist", _r("dist", 5))
 
 
-@query(f"""WITH RECURSIVE pts AS ({_POINTS}), e AS ({_PAIRS}), both_ways AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+@query(f"""WITH RECURSIVE {_EVENTS}, both_ways AS (SELECT i AS src, j AS dst FROM touching UNION ALL SELECT j, i FROM touching),
 reach AS (SELECT src AS node, src AS other FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON b.src = r.other)
 SELECT node, min(other) AS comp FROM reach GROUP BY node""")
 def components_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(_close(spark, sf_dir))
+    return components(contact_pairs(spark, sf_dir), "i", "j")
+
+
+_THICK = (0.12, 0.1, 0.02)
+
+
+def _thick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _upright(table(spark, sf_dir, "embeddings", "label", "vec_id"), "label", "vec_id", *_THICK[:2])
+
+
+@query(f"""WITH RECURSIVE {_sql_upright("embeddings", "label", "vec_id", *_THICK)}, both_ways AS (SELECT trial, i, j FROM touching UNION ALL SELECT trial, j, i FROM touching),
+reach AS (SELECT trial, i FROM bodies WHERE cx - {_THICK[0]} <= 0.0 UNION SELECT r.trial, b.j FROM reach r JOIN both_ways b ON b.trial = r.trial AND b.i = r.i),
+ends AS (SELECT trial FROM bodies WHERE cx - {_THICK[0]} <= 0.0 UNION SELECT trial FROM bodies WHERE cx + {_THICK[0]} >= 1.0 UNION SELECT trial FROM touching)
+SELECT trial, trial IN (SELECT r.trial FROM reach r JOIN bodies b ON b.trial = r.trial AND b.i = r.i WHERE b.cx + {_THICK[0]} >= 1.0) AS hit FROM ends""")
+def upright_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = _thick(spark, sf_dir)
+    edges = contact.contacts(bodies, _THICK[2], sum(_THICK[:2]))
+    return contact.connected(edges, contact.touches(bodies, "x", 0.0, -1), contact.touches(bodies, "x", 1.0, 1))
 
 
 _CRIT = f"""pts AS ({_POINTS}), e AS (SELECT a.trial, a.i AS s, b.i AS d FROM pts a JOIN pts b ON a.trial = b.trial AND a.i <> b.i AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {REACH * REACH!r}),
@@ -193,6 +227,21 @@ def critical_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percolation.critical_fill(_points(spark, sf_dir), REACH)
 
 
+@query(f"WITH RECURSIVE {_CRIT} SELECT trial, CASE WHEN crit <= 40 THEN crit END AS crit FROM crit")
+def prefix_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percolation.critical_fill(percolation.prefix(_points(spark, sf_dir), 40), REACH)
+
+
+_SAMPLE = ", ".join(f"{_sql_u(f'trial::VARCHAR || {chr(39)}:{chr(39)} || i::VARCHAR || {chr(39)}:{k}{chr(39)}')} AS {k}" for k in "xyzuv")
+
+
+@query(f"""SELECT trial, i, round(2.0 * x, 6) AS cx, round(2.0 * y, 6) AS cy, round(2.0 * z, 6) AS cz, round(sqrt(1 - (2 * u - 1) ** 2) * cos(2 * {math.pi!r} * v), 6) AS ax,
+round(sqrt(1 - (2 * u - 1) ** 2) * sin(2 * {math.pi!r} * v), 6) AS ay, round(2 * u - 1, 6) AS az FROM (SELECT t AS trial, i::INT AS i, {_SAMPLE.replace('trial::', 't::')} FROM range(50) a(t), range(25) b(i))""")
+def sampled_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = percolation.prefix(percolation.sample_cylinders(spark, SEED, 50, 40, box=2.0), 25)
+    return made.select("trial", "i", *(_r(f"body.{f}", 6).alias(f) for f in ("cx", "cy", "cz", "ax", "ay", "az")))
+
+
 @query(f"WITH RECURSIVE {_CRIT} SELECT trial, coalesce(crit <= 30, false) AS hit FROM crit")
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percolation.spans(critical_fill(spark, sf_dir), 30)
@@ -278,14 +327,55 @@ def cylinder_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contact.connected(contact.contacts(bodies, 0.02, 0.2), contact.touches(bodies, "x", 0.1, -1), contact.touches(bodies, "x", 0.9, 1))
 
 
-@query("""SELECT 'discount' AS "check", count(*) AS rows, count(*) FILTER (NOT (l_discount BETWEEN 0 AND 0.1)) AS broken FROM lineitem UNION ALL
-SELECT 'quantity', count(*), count(*) FILTER (NOT (l_quantity BETWEEN 1 AND 40)) FROM lineitem UNION ALL SELECT 'keys', count(*), count(*) FILTER (l_orderkey IS NULL) FROM lineitem""")
+_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}
+
+
+@query("""SELECT 'lineitem' AS name, 'discount' AS "check", count(*) AS rows, count(*) FILTER (NOT (l_discount BETWEEN 0 AND 0.1)) AS broken FROM lineitem UNION ALL
+SELECT 'lineitem', 'quantity', count(*), count(*) FILTER (NOT (l_quantity BETWEEN 1 AND 40)) FROM lineitem UNION ALL """ + " UNION ALL ".join(f"SELECT '{t}', 'key', count(*), count(*) FILTER ({k} IS NULL) FROM {t}" for t, k in _KEYS.items()))
 def audit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_discount", "l_quantity")
-    return audit(rows, discount=F.col("l_discount").between(0, 0.1), quantity=F.col("l_quantity").between(1, 40), keys=F.col("l_orderkey").isNotNull())
+    ranges = {"discount": F.col("l_discount").between(0, 0.1), "quantity": F.col("l_quantity").between(1, 40)}
+    found = []
+    for name, key in _KEYS.items():
+        checks = {"key": F.col(key).isNotNull()} | (ranges if name == "lineitem" else {})
+        found.append(audit(table(spark, sf_dir, name), **checks).select(F.lit(name).alias("name"), "check", "rows", "broken"))
+    return reduce(DataFrame.union, found)
+
+
+_FROZEN = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")}
+
 
+def _sql_marks(name: str, columns: tuple[str, ...]) -> str:
+    row = f"md5(concat_ws(chr(31), {', '.join(f'coalesce({c}::VARCHAR, chr(2))' for c in columns)}))"
+    sums = [f"sum(('0x' || substr({row}, {at}, 8))::BIGINT)::BIGINT AS mark{i}" for i, at in ((1, 1), (2, 9))]
+    return f"SELECT '{name}' AS name, count(*) AS rows, {', '.join(sums)} FROM {name}"
 
-@query("SELECT 'region' AS name, count(*) AS rows FROM region UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+
+@query(" UNION ALL ".join(_sql_marks(n, c) for n, c in _FROZEN.items()))
 def freeze_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("rows")) for t in ("region", "orders", "lineitem")]
-    return counts[0].union(counts[1]).union(counts[2])
+    """Tables frozen in the shared folder, checked against their digests, and digested."""
+    found = []
+    for name, columns in _FROZEN.items():
+        path = new_path(spark, f"frozen-{name}")
+        frozen = thaw(spark, path, freeze(table(spark, sf_dir, name, *columns), path))
+        found.append(frozen.agg(F.lit(name).alias("name"), *marks(frozen)))
+    return reduce(DataFrame.union, found)
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def gated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
+    return gate("orders", rows, keys=F.col("o_orderkey").isNotNull(), prices=F.col("o_totalprice") >= 0).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS step, count(*) AS rows FROM ({ORACLES[n]})" for n in STEPS))
+def stepped_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four steps, each written to the shared folder and read again."""
+    made = run_steps(spark, sf_dir, 1, len(STEPS), out=new_path(spark, "steps"))
+    return reduce(DataFrame.union, [df.agg(F.lit(n).alias("step"), F.count("*").alias("rows")) for n, df in made.items()])
+
+
+@query("SELECT * FROM (VALUES ('contact_pairs', 'trial,i,j,dist'), ('percolation_curve', 'n_fill,k,trials,p_hat'), ('min_fill', 'n_fill')) t(step, names)")
+def planned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dry run of steps 1 to 3: what they would return."""
+    made = run_steps(spark, sf_dir, 1, 3, dry_run=True)
+    return spark.createDataFrame([(n, ",".join(df.columns)) for n, df in made.items()], "step string, names string")

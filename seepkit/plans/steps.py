@@ -28,11 +28,18 @@ def gate(name: str, df: DataFrame, **checks: Column) -> DataFrame:
     return df
 
 
+def marks(df: DataFrame) -> list[Column]:
+    """Aggregates of a table: rows, and two order-free sums of the first and next 32 bits of the rows' md5,
+    over the cells' text (a null is the character U+0002 alone) with U+001F between them."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x02")) for c in df.columns]
+    row = F.md5(F.concat_ws("\x1f", *cells))
+    sums = [F.coalesce(F.sum(F.conv(F.substring(row, at, 8), 16, 10).cast("long")), F.lit(0)) for at in (1, 9)]
+    return [F.count("*").alias("rows"), sums[0].alias("mark1"), sums[1].alias("mark2")]
+
+
 def digest(df: DataFrame) -> tuple[int, int, int]:
     """Rows, and two order-free sums of their hashes."""
-    h = F.xxhash64(*df.columns)
-    row = df.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(F.pmod(h, F.lit(1_000_000_007))), F.lit(0))).first()
-    return row[0], row[1], row[2]
+    return tuple(df.agg(*marks(df)).first())
 
 
 def freeze(df: DataFrame, path: str) -> tuple[int, int, int]:
@@ -52,8 +59,8 @@ STEPS = ("contact_pairs", "percolation_curve", "min_fill", "pareto_part")
 
 
 def run_steps(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 4, dry_run: bool = False, out: str | None = None) -> dict[str, DataFrame]:
-    """Steps first..last of: contact, percolation, limits, optimisation. A dry run explains the plans
-    and starts no job for them; with ``out`` each result is written there and read again."""
+    """Steps first..last of: contact, percolation, limits, optimisation. A dry run plans them and starts
+    no job; with ``out`` each result is written there and read again."""
     from seepkit.plans.catalog import QUERIES
 
     if not 1 <= first <= last <= len(STEPS):
@@ -61,9 +68,7 @@ def run_steps(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 4, d
     made = {}
     for name in STEPS[first - 1 : last]:
         df = QUERIES[name](spark, sf_dir)
-        if dry_run:
-            df.explain("formatted")
-        elif out:
+        if out and not dry_run:
             df.write.mode("overwrite").parquet(f"{out}/{name}")
             df = spark.read.parquet(f"{out}/{name}")
         made[name] = df
@@ -80,7 +85,9 @@ def main(args: list[str]) -> None:
     a = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     for name, df in run_steps(spark, a.sf_dir, a.from_step, a.to_step, a.dry_run, a.out).items():
-        if not a.dry_run:
+        if a.dry_run:
+            df.explain("formatted")
+        else:
             print(name, digest(df))
 
 

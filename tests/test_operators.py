@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from seepkit.functions.inference import clopper_pearson_limits
 from seepkit.functions.rng import u01
 from seepkit.operators import optimise, percolation
-from seepkit.operators.connectivity import components
+from seepkit.operators.connectivity import NotConverged, components
 from seepkit.operators.inference import min_fill, with_clopper_pearson, with_wilson
-from seepkit.plans.steps import GateFailed, freeze, gate, run_steps, thaw
+from seepkit.plans.steps import GateFailed, digest, freeze, gate, run_steps, thaw
 
 
 def least(edges):
@@ -38,6 +38,27 @@ def test_components(spark, edges):
     assert {r.node: r.comp for r in components(df).collect()} == least(edges)
 
 
+def test_components_say_when_rounds_run_out(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
+    with pytest.raises(NotConverged):
+        components(df, most_rounds=2)
+
+
+def test_shared_folder_is_asked_for_off_local_mode():
+    from types import SimpleNamespace
+
+    from seepkit.sources import shared
+
+    def session(master, found=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: found or d), sparkContext=SimpleNamespace(master=master))
+
+    assert shared.shared_dir(session("local[8]")) == shared.LOCAL_DEFAULT
+    assert shared.shared_dir(session("spark://x:7077", "hdfs://y/z/")) == "hdfs://y/z"
+    for master in ("spark://x:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(session(master))
+
+
 def test_uniforms_ignore_partitions(spark):
     a, b = (spark.range(0, 500, 1, p).select("id", u01(1, "id").alias("u")).orderBy("id").collect() for p in (1, 7))
     assert a == b
@@ -72,6 +93,33 @@ def test_fronts_keep_ties(spark):
     assert optimise.pareto_2d(df.limit(0), "x", "y").count() == 0
 
 
+@pytest.mark.parametrize("merged", [0, 10**6])
+def test_fronts_equal_brute_force(spark, monkeypatch, merged):
+    monkeypatch.setattr(optimise, "MERGED", merged)
+    r = random.Random(5)
+    rows = [(i, float(r.randint(0, 12)), r.randint(0, 12), r.random()) for i in range(800)] + [(900, None, 1, 0.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b int, c double").repartition(9)
+
+    def beats(x, y, signs):
+        d = [(u - v) * s for u, v, s in zip(x, y, signs, strict=True)]
+        return all(t <= 0 for t in d) and any(t < 0 for t in d)
+
+    known = rows[:-1]
+    want = {x[0] for x in known if not any(beats(y[1:], x[1:], (1, -1, 1)) for y in known)}
+    assert {x.id for x in optimise.pareto_kd(df, ["a", "c"], ["b"]).collect()} == want
+    flat = {x[0] for x in known if not any(beats(y[1:3], x[1:3], (1, -1)) for y in known)}
+    assert {x.id for x in optimise.pareto_2d(df, "a", "b").collect()} == flat
+    assert optimise.pareto_kd(df.limit(0), ["a"], ["b"]).count() == 0
+    assert optimise.pareto_2d(df.select("id", "a", F.lit(3).alias("b")), "b", "a").count() == sum(x[1] == 12 for x in known)
+
+
+def test_joint_limits_count_their_statements(spark):
+    from seepkit.operators.inference import with_bonferroni
+
+    df = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (4, 10)], "k long, n long")
+    assert {r.alpha_each for r in with_bonferroni(df, 0.04).collect()} == {0.01}
+
+
 def test_integer_scan(spark):
     got = {(r.x1, r.x2) for r in optimise.int_scan(spark, [2.0, 3.0], 7.0).collect()}
     assert got == {(a, b) for a in range(9) for b in range(9) if 2 * a + 3 * b <= 7}
@@ -99,9 +147,27 @@ def test_gates_and_frozen_results(spark, tmp_path):
         thaw(spark, str(tmp_path / "a"), (10, 1, 2))
 
 
+def test_digests_see_nulls_and_cells(spark):
+    rows = [[("a", None), ("b", "c")], [("a", ""), ("b", "c")], [("a", "b"), (None, "c")], [("ab", None), ("", "bc")]]
+    made = [digest(spark.createDataFrame(x, "x string, y string")) for x in rows]
+    assert len(set(made)) == len(rows)
+    assert digest(spark.createDataFrame(rows[0][::-1], "x string, y string").repartition(3)) == made[0]
+    assert digest(spark.createDataFrame([], "x string, y string")) == (0, 0, 0)
+
+
 def test_steps(spark, tmp_path, capsys):
     sf = "/root/testdata/sf0.001"
     assert list(run_steps(spark, sf, 4, 4, out=str(tmp_path))) == ["pareto_part"]
-    assert "pareto_part" in run_steps(spark, sf, 4, 4, dry_run=True)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("dry", "dry")
+    planned = run_steps(spark, sf, 1, 4, dry_run=True, out=str(tmp_path / "none"))
+    assert list(planned) == ["contact_pairs", "percolation_curve", "min_fill", "pareto_part"]
+    # reading a table's schema is a job; no query's own job starts
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("dry") for s in tracker.getJobInfo(j).stageIds]
+    assert all(s.name.startswith("parquet at") for s in stages if s)
+    planned["pareto_part"].collect()
+    assert len(tracker.getJobIdsForGroup("dry")) > len(stages)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not (tmp_path / "none").exists()
     with pytest.raises(ValueError):
         run_steps(spark, sf, 3, 9)

@@ -3,21 +3,12 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (tests, laptops).
-LOCAL_DEFAULT = "/tmp/seepkit-checkpoints"
+from seepkit.sources.shared import delete, discard, new_path, saved, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/seepkit-{name}-{uuid.uuid4().hex[:12]}"
+__all__ = ["delete", "discard", "file_system", "materialize", "new_path", "release", "shared_dir"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -26,36 +17,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Afterwards the finished job's shuffle files are released: Spark removes them once the driver's
     JVM has collected the handles, which on an idle driver may otherwise take half an hour.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    schema = df.schema
+    out = saved(df, name)
     del df
-    release(spark)
-    out = spark.read.schema(schema).parquet(path)
-    out._staged = path
+    release(out.sparkSession)
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing will read again."""
-    for t in tables:
-        if path := getattr(t, "_staged", None):
-            delete(t.sparkSession, path)
-
-
 def release(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a staged folder, through Hadoop so that any file system works."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def file_system(uri: str):
     """pyarrow file system and the path within it, for files that executors write themselves."""
     from pyarrow import fs

@@ -1,10 +1,16 @@
-"""Substring deduplication by fingerprints of winnowed windows.
+"""Substring deduplication by relative Lempel-Ziv parsing over an index of windows.
 
-A window is ``WINDOW`` consecutive words. Every distinct text is a reference block; the index holds
-fingerprints of the blocks' windows. A window that the index has at another place too is repeated, and
-the words of repeated windows are duplicate. Each repeated window is named after the least block that
-has it, and ``factors`` are runs of such windows; they hold no source positions and are not the greedy
-factors of a relative Lempel-Ziv parse. Their union, the words removed, is the same whatever the runs.
+A window is ``WINDOW`` consecutive words. Every distinct text is a reference block. The index holds the
+windows that occur at two places or more, each once, at its *source*: the least block that has it and the
+first place there. So the windows of the index form reference passages without repetition, and a window
+leads to one place in them at most.
+
+A text is parsed greedily: from the first word that opens a window of the index, the *factor* is the
+longest match of the text with the source's block - it grows as long as the next word's window has the
+source that follows in the same block. Parsing goes on behind the factor. A factor has at least a
+window's length. Windows that begin in a factor and end behind it are looked up too (``crossing``): a
+window over the end of a factor may be repeated though no factor holds it. Factors and crossing windows
+are the duplicate spans.
 
 Only windows that can repeat are looked up. Winnowing picks in each window the place of the least
 hash of ``ANCHOR`` words; equal windows pick equal anchors, so a window whose anchor occurs once
@@ -13,7 +19,7 @@ occurs once. Anchors are about a fifteenth of the words. Steps, each written to
 1. texts -> word counts, digests and anchors; equal texts count as one block with a multiplicity;
 2. anchors that occur twice (aggregate with map-side combining, then a join that can be split);
 3. texts of blocks with such anchors -> fingerprints of the windows that pick them;
-4. fingerprints that occur twice -> starts per block -> runs of windows -> spans of words;
+4. fingerprints that occur twice, with their sources: the index -> parse of each block -> spans of words;
 5. spans, by digest, to every row.
 """
 
@@ -28,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seepkit.llm.names import named, unused
 from seepkit.llm.staging import discard, materialize
 from seepkit.llm.words import grams, long_grams, slices, word_hashes
 
@@ -56,8 +63,8 @@ def winnow(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[n
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, text and two hashes that stand for the text."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(key).cast("long").alias("__id"), t.alias("__t"), F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(11), t).alias("k2"))
+    t = F.coalesce(named(text).cast("string"), F.lit(""))
+    return docs.select(named(key).cast("long").alias("__id"), t.alias("__t"), F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(11), t).alias("k2"))
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,32 +91,48 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """uid, place and fingerprint of the windows that pick a repeated anchor."""
+    """uid, place, first place with the same fingerprint in the text, and fingerprint of the windows that
+    pick a repeated anchor."""
     for batch in batches:
         for lo, hi in slices(batch.column(1), 1_000_000):
             some = batch.slice(lo, hi - lo)
             h, at = word_hashes(some.column(1))
-            uid, place, prints = [], [], []
+            uid, place, first, prints = [], [], [], []
             for i, (u, picked) in enumerate(zip(some.column(0).to_pylist(), some.column(2).to_pylist(), strict=True)):
                 words = h[at[i] : at[i + 1]]
                 where, _ = winnow(words)
                 hit = np.unique(where)[np.asarray(picked)]
                 starts = np.flatnonzero(np.isin(where, hit))
                 place.append(starts)
-                prints.append(long_grams(words, WINDOW)[starts])
+                mine = long_grams(words, WINDOW)[starts]
+                _, at_first, code = np.unique(mine, return_index=True, return_inverse=True)
+                first.append(starts[at_first[code]])
+                prints.append(mine)
                 uid.append(np.full(len(starts), u))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(uid)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(prints).view(np.int64))], ["uid", "p", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(uid)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(first).astype(np.int32)), pa.array(np.concatenate(prints).view(np.int64))], ["uid", "p", "first", "w"])
+
+
+def factors(starts: np.ndarray, blocks: np.ndarray, places: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """(first word, words, block, place in it) of the greedy parse. ``starts``, ascending: where windows of
+    the index begin in the text; ``blocks`` and ``places``: their sources."""
+    follows = (np.diff(starts) == 1) & (np.diff(blocks) == 0) & (np.diff(places) == 1)
+    last = np.append(np.flatnonzero(~follows), len(starts) - 1)  # of the windows that one source continues
+    out, i = [], 0
+    while i < len(starts):
+        j = last[np.searchsorted(last, i)]
+        out.append((int(starts[i]), int(starts[j] - starts[i]) + window, int(blocks[i]), int(places[i])))
+        i = int(np.searchsorted(starts, starts[j] + window))
+    return out
 
 
-def factors(starts: np.ndarray, blocks: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(first word, length, block) of the runs of consecutive windows named after one block."""
-    if not len(starts):
-        return []
-    order = np.argsort(starts, kind="stable")
-    s, b = starts[order], blocks[order]
-    cut = np.flatnonzero((np.diff(s) != 1) | (np.diff(b) != 0)) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(s)]]) - 1
-    return [(int(s[i]), int(s[j] - s[i] + window), int(b[i])) for i, j in zip(first, last, strict=True)]
+def crossing(starts: np.ndarray, made: list[tuple[int, int, int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
+    """(start, end) of the words of windows in the index that begin in a factor and end behind it."""
+    out = []
+    for a, n, _, _ in made:
+        i, j = np.searchsorted(starts, (a + n - window + 1, a + n))
+        if i < j:  # less than a window apart, they leave no gap
+            out.append((int(starts[i]), int(starts[j - 1]) + window))
+    return out
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -126,9 +149,14 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
-        for found in batch.column(1).to_pylist():
-            made = factors(np.asarray([x["p"] for x in found]), np.asarray([x["block"] for x in found]))
-            merged = covered([(s, s + n) for s, n, _ in made])
+        lists = batch.column(1)
+        at = np.asarray(lists.offsets)
+        flat = lists.values.flatten()
+        p, block, place = (x.to_numpy() for x in flat)
+        for lo, hi in zip(at, at[1:], strict=False):
+            order = lo + np.argsort(p[lo:hi], kind="stable")
+            made = factors(p[order], block[order], place[order])
+            merged = covered([(s, s + n) for s, n, _, _ in made] + crossing(p[order], made))
             a.append([x for x, _ in merged])
             b.append([x for _, x in merged])
         kind = pa.list_(pa.int32())
@@ -156,12 +184,12 @@ class Duplicates:
         hits = materialize(hits.join(self.blocks.select("uid", "k1", "k2", "rep"), "uid"), "hits")
         mine = source.select("__t", "k1", "k2", F.coalesce("__id", least).alias("rep"))
         self.texts = materialize(mine.join(hits, ["k1", "k2", "rep"]).select("uid", "__t", "picked").dropDuplicates(["uid"]), "texts")
-        windows = materialize(self.texts.mapInArrow(_windows, "uid long, p int, w long"), "windows")
-        repeated = windows.groupBy("w").agg(F.count("*").alias("c"), F.min("uid").alias("block")).filter("c > 1").select("w", "block")
-        repeated = materialize(repeated, "repeated-windows")
-        found = windows.join(repeated, "w").groupBy("uid").agg(F.collect_list(F.struct("p", "block")).alias("found"))
+        windows = materialize(self.texts.mapInArrow(_windows, "uid long, p int, first int, w long"), "windows")
+        index = windows.groupBy("w").agg(F.count("*").alias("c"), F.min("uid").alias("block"), F.min_by("first", "uid").alias("place"))
+        index = materialize(index.filter("c > 1").select("w", "block", "place"), "index")
+        found = windows.select("uid", "p", "w").join(index, "w").groupBy("uid").agg(F.collect_list(F.struct("p", "block", "place")).alias("found"))
         self.spans = materialize(found.mapInArrow(_spans, "uid long, a array<int>, b array<int>"), "spans")
-        discard(twice, hits, windows, repeated)
+        discard(twice, hits, windows, index)
 
     def partial(self) -> DataFrame:
         """uid, text and spans of the blocks that lose some words and are no copies."""
@@ -217,7 +245,9 @@ def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """The rows of ``docs`` with duplicate spans cut from the text; every row stays.
 
     What is kept keeps its own spacing, with a newline at each cut. Texts without duplicates, null
-    and empty ones too, stay as they are; other columns are passed on.
+    and empty ones too, stay as they are; rows with equal texts lose all words if they have a window's
+    length; a null id counts like any other; other columns, whatever their names, are passed on; an empty
+    table stays empty.
     """
     found = Duplicates(docs, key, text)
 
@@ -225,13 +255,13 @@ def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text")
         for batch in batches:
             columns = (batch.column("__t").cast(pa.binary()).to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist())
             made = [kept_text(t, a, b).decode() for t, a, b in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(made, pa.string())], ["uid", "__new"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(made, pa.string())], ["uid", "new"])
 
-    new = found.partial().mapInArrow(cut, "uid long, __new string")
+    texts = found.partial().mapInArrow(cut, "uid long, new string")
     long = found.seen.filter((F.col("n") >= WINDOW) & F.col("carries")).select("k1", "k2").distinct()
-    whole = found.blocks.filter("cnt > 1").join(long, ["k1", "k2"], "left_semi").select("k1", "k2", F.lit("").alias("__new"))
-    changed = found.blocks.join(new, "uid").select("k1", "k2", "__new").union(whole)
-    changed = changed.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__new")
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.withColumns({"__k1": F.xxhash64(t), "__k2": F.xxhash64(F.lit(11), t)}).join(changed, ["__k1", "__k2"], "left")
-    return rows.withColumn(text, F.coalesce("__new", text)).select(*docs.columns)
+    whole = found.blocks.filter("cnt > 1").join(long, ["k1", "k2"], "left_semi").select("k1", "k2", F.lit("").alias("new"))
+    k1, k2, new = unused(docs, "k1", "k2", "new")
+    changed = found.blocks.join(texts, "uid").select("k1", "k2", "new").union(whole).toDF(k1, k2, new)
+    t = F.coalesce(named(text).cast("string"), F.lit(""))
+    rows = docs.withColumns({k1: F.xxhash64(t), k2: F.xxhash64(F.lit(11), t)}).join(changed, [k1, k2], "left")
+    return rows.select(*(F.coalesce(F.col(new), named(c)).alias(c) if c == text else named(c).alias(c) for c in docs.columns))

@@ -5,20 +5,26 @@ Sets with the same digest are one *class*. Classes are joined with token-combina
 * Tokens are ordered rarest first (by exact document frequency, then hash). Of a set of n tokens at
   most tau = n - ceil(t n) lack in any partner, so a prefix that an adversary can't break by
   removing tau tokens shares a signature with every partner.
-* Frequency splits tokens in classes: class 1 is indexed by single tokens, class k by combinations
-  of k tokens, of which the first k - 1 add no cover; the prefix is extended until its cover
-  exceeds tau. Combinations are used for sets with a size in ``SMALL``, where they are few.
-* Frequencies are needed for the tokens with a hash below a level only. ``LEVELS`` names the
-  sampled share by set size; both ends of a pair index the level of the larger set, where each
-  has all its tokens below the level, so the argument holds within the level as it stands. A set
-  whose sample could not hold tau + 1 tokens is counted; if there is any, the join runs again with
-  every token, so no pair depends on chance.
+* Frequency splits tokens in classes: rare tokens are indexed one by one, tokens of class k (those in
+  more than ``OFTEN[k - 2]`` sets) by combinations of k. The prefix is extended until its cover exceeds
+  tau. All combinations of a class would grow with a power of the set, so a class is dealt to groups by
+  hash and only tokens of one group are combined: of m tokens in a group the first k - 1 give no cover,
+  each further one does. The number of groups follows from the sizes at hand (``Level``), for sets of
+  every size, such that the cover is always enough.
+* A pair meets at the level (power of two) of its larger set, where both ends know the groups.
+* Frequencies are needed for the tokens with a hash below a level's limit only. ``SHARES`` names the
+  sampled share by set size; both ends of a pair have all their tokens below the limit, so the argument
+  holds within the sample as it stands. A set whose sample happens not to hold the cover it needs makes
+  its level *weak*: the sets that meet partners at weak levels, and no others, are indexed there again
+  with all their tokens. So no pair depends on chance.
 * A set with more than tau unique tokens has no partner and drops out there.
 
-Sets that share a signature are linked to the least of them, and the components of those links are
-*families*: every true pair lies within one. A family is split in blocks of bounded size, block
-pairs are compared in numpy against whole texts, exactly; pairs already in one component aren't
-compared. Tasks return at most a link per set, and components of the links are the result.
+Candidates are pairs that share a signature. To compare them, sets are gathered by *family*: the sets
+that chains of signatures join. A family of few sets is one task's item, in which pairs that share a
+signature are compared exactly; pairs already in one component aren't. A large family is dealt to blocks
+of ``ROWS`` sets at most: first ``HEADS`` of its sets meet all blocks, and what they join is a component;
+then only the sets outside the largest component meet all blocks. Tasks return at most a link per set,
+and components of the links are the result.
 """
 
 from __future__ import annotations
@@ -26,27 +32,29 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seepkit.llm.names import named, unused
 from seepkit.llm.staging import discard, materialize
 from seepkit.llm.words import grams, mix, slices, word_hashes
 from seepkit.operators.connectivity import components
 
 WORDS, PERCENT = 5, 80
 #: (least set size, share of hashes that are sampled), falling.
-LEVELS = ((0, 1.0), (256, 0.5), (1024, 0.3), (4096, 0.25))
+SHARES = ((0, 1.0), (256, 0.5))
 FULL = ((0, 1.0),)
-#: Least and largest sets that use combinations (below, too few tokens are left when the first of
-#: each class give no cover; above, combinations are too many), and frequencies from which 2 and 3 tokens are combined.
-SMALL, OFTEN = (10, 64), (64, 4096)
-#: Bits of the filter of repeated tokens: a power of two near 8 a token, at most 2^27 (16 MB).
+#: Frequencies from which 2, 3, ... tokens are combined.
+OFTEN = (64,)
+#: Bits of a filter of hashes: a power of two near 8 a value, at most 2^27 (16 MB).
 MOST_BITS = 27
-#: Tokens in a block of a family.
-BLOCK = 400_000
+#: Sets and tokens in a block of a family, and sets of a large family that meet all of it first.
+ROWS, BLOCK, HEADS = 256, 400_000, 32
 
 
 def shingles(h: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -63,268 +71,391 @@ def tau(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100)
 
 
-def share(n: int, levels: tuple) -> float:
-    return next(s for least, s in reversed(levels) if n >= least)
-
-
 def limit(s: float) -> np.int64:
     """Hashes below it, read as signed, are the share s."""
     return np.int64(min(2**63 - 1, int(-(2**63) + s * 2**64)))
 
 
-def sizes(n: int, levels: tuple, percent: int = PERCENT) -> list[int]:
-    """Levels (by place in ``levels``) at which a set of n meets partners: that of the larger set."""
-    at = lambda m: max(i for i, (least, _) in enumerate(levels) if m >= least)
-    return list(range(at(n), at(n * 100 // percent) + 1))
+class Level:
+    """Level x: pairs whose larger set has 2^x to 2^(x + 1) - 1 tokens.
+
+    groups[k]: groups of the tokens that are combined by k. A group costs its first k - 1 tokens' cover;
+    the least set that meets partners here, with a sample five deviations below its mean, can spare half
+    of what it holds beyond tau + 1. With all tokens sampled this is no matter of chance. Where the least
+    sets can spare nothing for a class (0 groups), its tokens count to the class below.
+    """
+
+    def __init__(self, x: int, shares: tuple, percent: int, classes: int):
+        least = max(1, -(-percent * 2**x // 100))
+        self.share = next(s for n, s in reversed(shares) if 2**x >= n)
+        self.limit = limit(self.share)
+        held = least * self.share - 5 * (least * self.share * (1 - self.share)) ** 0.5
+        spare = max(0, int(held) - tau(least, percent) - 1) // (2 if self.share == 1 and least > 8 else 1)
+        self.groups = {k: spare // (classes - 1) // (k - 1) for k in range(2, classes + 1)}
+
+
+@cache
+def level(x: int, shares: tuple, percent: int, classes: int) -> Level:
+    return Level(x, shares, percent, classes)
+
 
+def levels(n: int, percent: int = PERCENT) -> range:
+    """Levels at which a set of n meets partners of other tokens: those of the larger set. None if any
+    other set lacks too much."""
+    most = n * 100 // percent
+    return range(n.bit_length() - 1, most.bit_length()) if most > n or tau(n, percent) else range(0)
+
+
+ROWS_OF = ["uid", "id", "x", "n", "d1", "d2", "tokens", "counts"]
+
+
+def _sampled(shares: tuple, percent: int, classes: int, only: frozenset | None = None):
+    """A number, id, text's key, size, digest of each row's set; for one row of a class in a task, one with an id,
+    its tokens below its own level's limit and their numbers at each of its levels. ``only``: levels."""
 
-def _sampled(levels: tuple, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
+        uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(2)):
                 some = batch.slice(lo, hi - lo)
-                h, at = word_hashes(some.column(1), lower=True)
+                h, at = word_hashes(some.column(2), lower=True)
                 n, d1, d2, lists, counts = [], [], [], [], []
                 known = some.column(0).is_valid().to_pylist()
                 for i in range(len(some)):
                     s = shingles(h[at[i] : at[i + 1]]).view(np.int64)
-                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    digest = _digest(s)
                     n.append(len(s))
-                    d1.append(int.from_bytes(digest[:8], "little", signed=True))
-                    d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                    # a class's tokens are emitted once a task, however many copies the task has, by a row
-                    # that can own the class: one with an id
-                    first = known[i] and len(s) > 0 and digest not in seen
-                    lists.append((s[s < limit(share(len(s), levels))] if share(len(s), levels) < 1 else s) if first else None)
-                    # tokens below each level at which the set meets partners
-                    counts.append([int((s < limit(levels[k][1])).sum()) if levels[k][1] < 1 else len(s) for k in sizes(len(s), levels, percent)] if first else None)
-                    if first:
-                        seen.add(digest)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), pa.array(lists, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "tokens", "counts"])
+                    d1.append(digest[0])
+                    d2.append(digest[1])
+                    mine = [x for x in levels(len(s), percent) if only is None or x in only]
+                    if not known[i] or not mine or digest in seen:
+                        lists.append(None)
+                        counts.append(None)
+                        continue
+                    seen.add(digest)
+                    below = [s if (v := level(x, shares, percent, classes)).share == 1 else s[s < v.limit] for x in mine]
+                    lists.append(max(below, key=len))
+                    counts.append([len(x) for x in below])
+                ids = pa.array(np.arange(uid, uid + len(some)), pa.int64())
+                uid += len(some)
+                yield pa.RecordBatch.from_arrays([ids, some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ROWS_OF)
 
     return run
 
 
-def signatures(df: np.ndarray, h: np.ndarray, n: int, count: int, level: int, small: bool, percent: int) -> np.ndarray | None:
-    """Signatures of a set at a level. df, h: its repeated tokens there; count: all its tokens there;
-    small: combine frequent tokens. None if its sample can't give the cover it needs; empty if it has no partner."""
-    need = tau(n, percent) + 1
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def signatures(df: np.ndarray, h: np.ndarray, need: int, count: int, x: int, groups: dict[int, int], often: tuple) -> np.ndarray | None:
+    """Signatures of a set at level x. df, h: its repeated tokens in the sample; count: all its tokens
+    there. None if they don't give the cover; empty if it has no partner."""
     cover = count - len(h)  # unique tokens come first and match nothing
     if cover >= need:
         return np.zeros(0, np.int64)
     order = np.lexsort((h, df))
     df, h = df[order], h[order]
-    k = (1 + (df > OFTEN[0]) + (df > OFTEN[1])) if small else np.ones(len(h), np.int64)
-    taken: dict[int, list[int]] = {}
-    for i in range(len(h)):
-        mine = taken.setdefault(int(k[i]), [])
-        mine.append(int(h[i]))
-        cover += len(mine) >= k[i]
+    spread = mix(h.view(np.uint64) ^ np.uint64(0x5EED))
+    k = np.ones(len(h), np.int64)
+    group = np.zeros(len(h), np.int64)
+    for size, least in enumerate(often, 2):
+        mine = df > least if groups[size] else np.zeros(len(df), bool)
+        k[mine] = size
+        group[mine] = (spread[mine] % np.uint64(max(1, groups[size]))).astype(np.int64)
+    taken: dict[tuple[int, int], list[int]] = {}
+    for token, *place in zip(h.tolist(), k.tolist(), group.tolist(), strict=True):
+        held = taken.setdefault(tuple(place), [])
+        held.append(token)
+        cover += len(held) >= place[0]
         if cover >= need:
             break
     else:
         return None
-    made = [np.asarray(taken.get(1, []), np.int64).view(np.uint64)]
-    for size in (2, 3):
-        if len(taken.get(size, [])) >= size:
-            combos = np.asarray(list(itertools.combinations(sorted(taken[size]), size)), np.int64).view(np.uint64)
-            s = np.full(len(combos), size, np.uint64)
+    made = []
+    for size in {s for s, _ in taken}:
+        combos = [c for (s, _), held in taken.items() if s == size for c in (zip(held) if size == 1 else itertools.combinations(sorted(held), size))]
+        if combos:
+            table = np.asarray(combos, np.int64).view(np.uint64)
+            s = np.full(len(table), size, np.uint64)
             for c in range(size):
-                s = mix(s * np.uint64(3) + combos[:, c])
+                s = mix(s * np.uint64(3) + table[:, c])
             made.append(s)
-    return np.unique(mix(np.concatenate(made) + np.uint64(level * 7919 + (small * 104729)))).view(np.int64)
+    return np.unique(mix(np.concatenate(made) + np.uint64(x * 7919))).view(np.int64)
 
 
-def _signed(levels: tuple, percent: int):
-    """id, signature; a weak set gives a null signature."""
+def _signed(shares: tuple, percent: int, often: tuple, only: frozenset | None = None):
+    """uid, level, signature; a set that lacks cover gives a null signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, signs = [], []
-            for i, n, counts, found in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "counts", "found")), strict=True):
+            ids, at, signs = [], [], []
+            for i, n, counts, found in zip(*(batch.column(c).to_pylist() for c in ("uid", "n", "counts", "found")), strict=True):
                 h = np.asarray([x["h"] for x in found], np.int64)
                 df = np.asarray([x["df"] for x in found], np.int64)
-                for level, count in zip(sizes(n, levels, percent), counts, strict=True):
-                    below = h < limit(levels[level][1]) if levels[level][1] < 1 else np.ones(len(h), bool)
-                    # a pair does as its larger set does; near a limit a set meets both kinds
-                    for small in {level == 0 and SMALL[0] <= m <= SMALL[1] for m in (n, n * 100 // percent)}:
-                        made = signatures(df[below], h[below], n, count, level, small, percent)
-                        if made is None:
-                            ids.append(i)
-                            signs.append(None)
-                        else:
-                            ids += [i] * len(made)
-                            signs += made.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(signs, pa.int64())], ["id", "s"])
+                mine = [x for x in levels(n, percent) if only is None or x in only]
+                for x, count in zip(mine, counts, strict=True):
+                    v = level(x, shares, percent, 1 + len(often))
+                    below = h < v.limit if v.share < 1 else np.ones(len(h), bool)
+                    made = signatures(df[below], h[below], tau(n, percent) + 1, count, x, v.groups, often)
+                    made = [None] if made is None else made.tolist()
+                    ids += [i] * len(made)
+                    at += [x] * len(made)
+                    signs += made
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(signs, pa.int64())], ["uid", "level", "s"])
 
     return run
 
 
-def verify(texts: pa.Array, ids: list[int], sides: list[bool], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join what is linked among the sets (across the two sides, if both occur).
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Codes of what occurs in two lists or more, offsets by list, and the number of codes."""
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    _, code, many = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = many[code] > 1
+    return code[keep], np.searchsorted(owner[keep], np.arange(len(lists) + 1)), len(many)
 
-    Sets are compared by groups that aren't joined yet: counts of common tokens with the first set
-    of a group, then with all others, as products of presence matrices.
-    """
-    sets: list[np.ndarray] = []
-    for lo, hi in slices(texts):
-        h, at = word_hashes(texts.slice(lo, hi - lo), lower=True)
-        sets += [shingles(h[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+class _Common:
+    """How many values a list has in common with each of the lists in a range."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.code, self.at, n = _flat(lists)
+        self.mark = np.zeros(n, bool)
+
+    def counts(self, x: int, lo: int, hi: int) -> np.ndarray:
+        mine = self.code[self.at[x] : self.at[x + 1]]
+        self.mark[mine] = True
+        sums = np.concatenate([[0], np.cumsum(self.mark[self.code[self.at[lo] : self.at[hi]]])])
+        self.mark[mine] = False
+        return np.diff(sums[self.at[lo : hi + 1] - self.at[lo]])
+
+
+def verify(ids: list[int], sets: list[np.ndarray], marks: list[np.ndarray], sides: list[bool], roots: list[int] | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that join what is linked among the candidates: pairs that share a mark (a signature), across
+    the two sides if both occur. Pairs that links, or equal ``roots``, have joined already aren't compared."""
     m = len(sets)
     n = np.asarray([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets) if m else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(m), n)
-    _, code, many = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = many[code] > 1
-    code, owner = code[keep], owner[keep]
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    _, code = np.unique(code, return_inverse=True)
-    bounds = np.searchsorted(owner[by := np.argsort(owner, kind="stable")], np.arange(m + 1))
-    mine = [code[by[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
-    width = int(code.max()) + 1 if len(code) else 0
-    side = np.asarray(sides, bool)
+    order = np.argsort(n, kind="stable")  # partners are near in size
+    n = n[order]
+    tokens, shared = _Common([sets[i] for i in order]), _Common([marks[i] for i in order])
+    name = np.asarray(ids, np.int64)[order]
+    side = np.asarray(sides, bool)[order]
     two = side.any() and not side.all()
-    root = np.arange(m)
-    links = []
-
-    def join(a: int, b: int) -> None:
-        links.append((ids[a], ids[b]))
-        ra, rb = root[a], root[b]
-        if ra != rb:
-            root[root == max(ra, rb)] = min(ra, rb)
-
-    mark = np.zeros(width, bool)
-    # each set meets all later ones it isn't joined with, in the order of size: partners are near
-    order = np.argsort(n, kind="stable")
-    flat_codes = np.concatenate([mine[i] for i in order]) if m else np.zeros(0, np.int64)
-    starts = np.concatenate([[0], np.cumsum([len(mine[i]) for i in order])]).astype(np.int64)
-    ns = n[order]
+    root, links = np.unique(np.asarray(ids if roots is None else roots, np.int64)[order], return_inverse=True)[1], []
     for x in range(m):
-        i = order[x]
-        last = int(np.searchsorted(ns, n[i] * 100 // percent, "right"))
-        if last <= x + 1 or not len(mine[i]):
+        last = int(np.searchsorted(n, n[x] * 100 // percent, "right"))
+        later = slice(x + 1, last)
+        if last <= x + 1:
             continue
-        later = order[x + 1 : last]
-        open_ = root[later] != root[i]
+        open_ = (root[later] != root[x]) & (name[later] != name[x])
         if two:
-            open_ &= side[later] != side[i]
+            open_ &= side[later] != side[x]
+        if open_.any():
+            open_ &= shared.counts(x, x + 1, last) > 0
         if not open_.any():
             continue
-        mark[mine[i]] = True
-        lo, hi = starts[x + 1], starts[last]
-        sums = np.concatenate([[0], np.cumsum(mark[flat_codes[lo:hi]])])
-        common = sums[starts[x + 2 : last + 1] - lo] - sums[starts[x + 1 : last] - lo]
-        mark[mine[i]] = False
-        for j in later[open_ & (100 * common >= percent * (n[i] + n[later] - common))]:
-            if root[i] != root[j]:
-                join(int(i), int(j))
+        common = tokens.counts(x, x + 1, last)
+        for j in x + 1 + np.flatnonzero(open_ & (100 * common >= percent * (n[x] + n[later] - common))):
+            if root[x] != root[j]:
+                links.append((int(name[x]), int(name[j])))
+                root[root == max(root[x], root[j])] = min(root[x], root[j])
     return links
 
 
-class Classes:
-    """rows (id, n, d1, d2; one a row of the table), and ``labels`` (d1, d2, comp) of the classes that
-    have a partner or a copy."""
-
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, levels: tuple = LEVELS):
-        source = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-        spark = docs.sparkSession
-        rows = self.rows = materialize(source.mapInArrow(_sampled(levels, percent), "id long, n long, d1 long, d2 long, tokens array<long>, counts array<long>"), "sets")
-        owner = rows.filter("counts is not null and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"))
-        tokens = rows.filter("tokens is not null and id is not null")
-        repeated = materialize(tokens.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
-        found = self._repeated(spark, tokens, repeated)
-        counted = rows.filter("counts is not null").select("id", "d1", "d2", "n", "counts").join(owner, ["id", "d1", "d2"]).select("id", "n", "counts")
-        ready = counted.join(found, "id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<df:bigint,h:bigint>>")))
-        signed = materialize(ready.select("id", "n", "counts", "found").mapInArrow(_signed(levels, percent), "id long, s long"), "signatures")
-        discard(repeated)
-        if len(levels) > 1 and not signed.filter("s is null").isEmpty():
-            discard(rows, signed)
-            self.__init__(docs, key, text, percent, FULL)
-            return
-        signed = signed.filter("s is not null")
-        first = signed.groupBy("s").agg(F.min("id").alias("pivot"), F.count("*").alias("c")).filter("c > 1").select("s", "pivot")
-        first = materialize(first, "pivots")  # so that the join's sides are plain exchanges, which can be split
-        edges = signed.join(first, "s").filter("id <> pivot").select("id", "pivot").distinct()
-        families = materialize(components(edges, "id", "pivot").select(F.col("node").alias("id"), F.col("comp").alias("family")), "families")
-        discard(signed, first)
-        linked = self._verified(source, families, rows, percent)
-        joined = components(linked, "a", "b")
-        by_class = owner.join(joined, owner.id == joined.node, "left").select("d1", "d2", F.coalesce("comp", "id").alias("root"))
-        least = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("least"))
-        by_class = materialize(by_class.join(least, ["d1", "d2"]), "classes")
-        self.rows = materialize(rows.select("id", "n", "d1", "d2"), "sizes")
-        discard(rows, families, linked)
-        self.labels = by_class.select("d1", "d2", "root").join(by_class.groupBy("root").agg(F.min("least").alias("comp")), "root").select("d1", "d2", "comp")
+class Filter:
+    """A broadcast bitmap of fixed largest size that tells most values that a column of longs lacks."""
 
-    @staticmethod
-    def _repeated(spark, tokens: DataFrame, repeated: DataFrame) -> DataFrame:
-        """id and its repeated tokens with their frequencies. A bitmap of fixed largest size tells
-        most unique tokens before anything is shuffled; the join settles the rest."""
-        n = repeated.count()
-        bits = 1 << min(MOST_BITS, max(16, int(8 * n).bit_length()))
-        slot = F.col("h").bitwiseAND(bits - 1) + 1  # Spark counts bits and buckets from 1
-        parts = repeated.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap")).collect()
-        bitmap = np.zeros(bits // 8, np.uint8)
+    def __init__(self, df: DataFrame, column: str):
+        self.bits = 1 << min(MOST_BITS, max(16, int(8 * df.count()).bit_length()))
+        slot = F.col(column).bitwiseAND(self.bits - 1) + 1  # Spark counts bits and buckets from 1
+        parts = df.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap")).collect()
+        bitmap = np.zeros(self.bits // 8, np.uint8)
         for r in parts:
             part = np.frombuffer(bytes(r["bitmap"]), np.uint8)
             at = (r["bucket"] - 1) * len(part)
             bitmap[at : at + len(part)] = part
-        shared = spark.sparkContext.broadcast(bitmap)
+        self.shared = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def may_have(self, values: np.ndarray) -> np.ndarray:
+        slots = values & (self.bits - 1)
+        return (self.shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
+def _likely(known: Filter):
+    """uid and the tokens that the filter may have."""
 
-        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            for batch in batches:
-                lists = batch.column(1)
-                h = lists.flatten().to_numpy()
-                slots = h & (bits - 1)
-                hit = (table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
-                each = np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(lists.offsets)))
-                yield pa.RecordBatch.from_arrays([pa.array(each[hit]), pa.array(h[hit])], ["id", "h"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            h = lists.flatten().to_numpy()
+            hit = known.may_have(h)
+            each = np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(lists.offsets)))
+            yield pa.RecordBatch.from_arrays([pa.array(each[hit]), pa.array(h[hit])], ["uid", "h"])
+
+    return run
 
-        rows = tokens.select("id", "tokens").mapInArrow(likely, "id long, h long")
-        return rows.join(repeated, "h").groupBy("id").agg(F.collect_list(F.struct("df", "h")).alias("found"))
+
+def _sets(wanted: Filter):
+    """Digest and whole set of the rows with ids that the filter may have, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            hit = wanted.may_have(batch.column(0).fill_null(0).to_numpy()) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(hit))
+            for lo, hi in slices(batch.column(1)):
+                h, at = word_hashes(batch.column(1).slice(lo, hi - lo), lower=True)
+                made = {}
+                for a, b in zip(at, at[1:], strict=False):
+                    s = shingles(h[a:b]).view(np.int64)
+                    if (d := _digest(s)) not in seen:
+                        seen.add(d)
+                        made[d] = s
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in made], pa.int64()), pa.array([d for _, d in made], pa.int64()), pa.array(list(made.values()), pa.list_(pa.int64()))], ["d1", "d2", "tokens"])
+
+    return run
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    lists = column.combine_chunks()
+    values, at = lists.values.to_numpy(), np.asarray(lists.offsets)
+    return [values[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+class Classes:
+    """``rows`` (uid, id, x, n, d1, d2; one a row of the table, x a hash of the text) and ``labels``
+    (d1, d2, comp) of all classes with an id: the least id that links reach."""
+
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, shares: tuple = SHARES):
+        t = F.coalesce(named(text).cast("string"), F.lit(""))
+        self.source = docs.select(named(key).cast("long").alias("id"), F.xxhash64(t).alias("x"), t.alias("t"))
+        self.percent = percent
+        rows = self._read(shares)
+        owner = materialize(self._owner(rows), "owners")
+        signed = self._index(rows, owner, shares)
+        weak = frozenset(r["level"] for r in signed.filter("s is null").select("level").distinct().collect())  # at most one a level
+        usable = signed.filter("s is not null").select("uid", "s", "level")
+        again = []
+        if weak:
+            full = self._read(FULL, weak)
+            theirs = materialize(self._owner(full), "owners-again")
+            more = self._index(full, theirs, FULL, weak)
+            same = theirs.withColumnRenamed("uid", "other").join(owner, ["d1", "d2"]).select("other", "uid")
+            more_usable = more.withColumnRenamed("uid", "other").join(same, "other").select("uid", "s", "level")
+            usable = usable.filter(~F.col("level").isin(*weak)).union(more_usable)
+            again = [full, theirs, more]
+        first = usable.groupBy("s").agg(F.min("uid").alias("pivot"), F.count("*").alias("c")).filter("c > 1").select("s", "pivot")
+        first = materialize(first, "pivots")  # so that the join's sides are plain exchanges, which can be split
+        shared = materialize(usable.join(first, "s").select("uid", "s", "pivot"), "shared")
+        discard(signed, first, *again)
+        families = components(shared.filter("uid <> pivot").select("uid", "pivot").distinct(), "uid", "pivot").select(F.col("node").alias("uid"), F.col("comp").alias("family"))
+        marks = shared.groupBy("uid").agg(F.collect_list("s").alias("marks"))
+        wanted = rows.filter("counts is not null").select("uid", "id", "n", "d1", "d2").join(families, "uid").join(marks, "uid")
+        wanted = materialize(wanted, "wanted")
+        sets = self.source.select("id", "t").mapInArrow(_sets(Filter(wanted, "id")), "d1 long, d2 long, tokens array<long>")
+        members = materialize(sets.join(wanted.drop("id"), ["d1", "d2"]).drop("d1", "d2").dropDuplicates(["uid"]), "members")
+        discard(shared, wanted)
+        links, used = self._links(members)
+        joined = owner.join(components(links, "a", "b").select(F.col("node").alias("uid"), F.col("comp").alias("root")), "uid").select("d1", "d2", "root")
+        joined = materialize(joined, "joined")
+        least = materialize(rows.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("least")), "least")
+        roots = joined.join(least, ["d1", "d2"]).groupBy("root").agg(F.min("least").alias("top"))
+        linked = joined.join(roots, "root").select("d1", "d2", "top")
+        self.labels = least.join(linked, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("top", "least").alias("comp"))
+        self.rows = materialize(rows.select("uid", "id", "x", "n", "d1", "d2"), "sizes")
+        discard(rows, owner, members, *used)
+
+    def _read(self, shares: tuple, only: frozenset | None = None) -> DataFrame:
+        schema = "uid long, id long, x long, n long, d1 long, d2 long, tokens array<long>, counts array<long>"
+        return materialize(self.source.mapInArrow(_sampled(shares, self.percent, 1 + len(OFTEN), only), schema), "sets")
 
     @staticmethod
-    def _verified(source: DataFrame, families: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-        """(a, b) links within families, by blocks of bounded size."""
-        members = families.join(rows.filter("counts is not null").select("id", "n").distinct(), "id")
-        total = members.groupBy("family").agg(F.sum("n").alias("all")).select("family", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-        dealt = members.join(total, "family").select("id", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"))
-        with_text = source.join(dealt, "id").dropDuplicates(["id"])
-        # block i meets block j in item (i, j), i <= j; a family of one block has one item
-        other = F.sequence(F.lit(0), F.col("blocks") - 1)
-        items = with_text.select("family", "id", "t", "mine", F.explode(other).alias("other"))
-        items = items.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "t", "mine")
+    def _owner(rows: DataFrame) -> DataFrame:
+        """The row that stands for each class."""
+        return rows.filter("counts is not null").groupBy("d1", "d2").agg(F.min("uid").alias("uid"))
 
-        def run(table: pa.Table) -> pa.Table:
-            j, mine = table["j"][0].as_py(), table["mine"].to_pylist()
-            links = verify(table["t"].combine_chunks(), table["id"].to_pylist(), [m == j for m in mine], percent)
-            return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+    def _index(self, rows: DataFrame, owner: DataFrame, shares: tuple, only: frozenset | None = None) -> DataFrame:
+        """(uid, level, s): the signatures of each class, null where a sample was too small."""
+        tokens = rows.filter("tokens is not null")
+        repeated = materialize(tokens.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
+        likely = tokens.select("uid", "tokens").mapInArrow(_likely(Filter(repeated, "h")), "uid long, h long")
+        found = likely.join(repeated, "h").groupBy("uid").agg(F.collect_list(F.struct("df", "h")).alias("found"))
+        counted = rows.filter("counts is not null").select("uid", "n", "counts").join(owner.select("uid"), "uid")
+        ready = counted.join(found, "uid", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<df:bigint,h:bigint>>")))
+        signed = materialize(ready.select("uid", "n", "counts", "found").mapInArrow(_signed(shares, self.percent, OFTEN, only), "uid long, level int, s long"), "signatures")
+        discard(repeated)
+        return signed
 
-        return materialize(items.groupBy("family", "i", "j").applyInArrow(run, "a long, b long"), "links")
+    def _compared(self, items: DataFrame) -> DataFrame:
+        """Links (a, b) within each item (family, b, l) of uid, root, tokens, marks and side."""
+        percent = self.percent
+
+        def run(table: pa.Table) -> pa.Table:
+            found = verify(table["uid"].to_pylist(), _arrays(table["tokens"]), _arrays(table["marks"]), table["side"].to_pylist(), table["root"].to_pylist(), percent)
+            return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+        columns = ["family", "b", "l", "uid", "root", "tokens", "marks", "side"]
+        return materialize(items.select(*columns).groupBy("family", "b", "l").applyInArrow(run, "a long, b long"), "links")
+
+    def _links(self, members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """(a, b): links that join each component, and the tables to discard."""
+        zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
+
+        def blocks(name: str):
+            return F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / BLOCK)).cast("long").alias(name)
+
+        size = materialize(members.groupBy("family").agg(blocks("blocks")), "families")
+        sized = members.withColumn("root", F.col("uid")).join(size, "family")
+        small = self._compared(sized.filter("blocks = 1").withColumns({"b": zero, "l": zero, "side": no}))
+        if size.filter("blocks > 1").isEmpty():
+            return small, [size, small]
+        large = sized.filter("blocks > 1").withColumns({"b": F.pmod(F.xxhash64("uid"), F.col("blocks")), "l": zero})
+        place = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("uid", F.lit(1)), "uid"))
+        heads = materialize(large.select("family", "uid").withColumn("r", place).filter(F.col("r") <= HEADS).select("uid"), "heads")
+        all_blocks = F.explode(F.sequence(zero, F.col("blocks") - 1))
+        ahead = large.join(heads, "uid").withColumns({"b": all_blocks, "side": yes})
+        some = self._compared(large.withColumn("side", no).unionByName(ahead))
+        # what the heads joined; the sets outside each family's largest component meet all its others
+        joined = components(some, "a", "b").select(F.col("node").alias("uid"), F.col("comp").alias("other"))
+        roots = materialize(large.select("family", "uid", "n").join(joined, "uid", "left").select("family", "uid", "n", F.coalesce("other", "uid").alias("root")), "roots")
+        largest = roots.groupBy("family", "root").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
+        left = materialize(roots.join(largest, "family").filter("root <> largest").join(heads, "uid", "left_anti").select("family", "uid", "n"), "left")
+        parts = left.groupBy("family").agg(blocks("parts"))
+        rooted = large.drop("root", "l", "b").join(roots.select("uid", "root"), "uid").join(parts, "family")
+        these = rooted.withColumns({"b": F.pmod(F.xxhash64("uid"), F.col("blocks")), "l": F.explode(F.sequence(zero, F.col("parts") - 1)), "side": no})
+        those = rooted.join(left.select("uid"), "uid").withColumns({"b": all_blocks, "l": F.pmod(F.xxhash64("uid", F.lit(2)), F.col("parts")), "side": yes})
+        rest = self._compared(these.unionByName(those))
+        return small.union(some).union(rest), [size, small, heads, some, roots, left, rest]
+
+
+def _labelled(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """id, x (hash of the text), n and comp of every row."""
+    found = Classes(docs, key, text, percent)
+    rows = found.rows.join(found.labels, ["d1", "d2"], "left")
+    return rows.select("id", "x", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("comp")).otherwise(F.col("id")).alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Null and empty texts have no shingles, are linked with nothing and are their own component;
-    rows with equal sets, repeated rows too, share a component; a null id keeps a null n_shingles-only
-    row of its own and takes no part; other columns are ignored.
+    rows with equal sets, repeated rows too, share a component; rows that repeat an id with other texts
+    are judged each by its text; a null id keeps a null n_shingles-only row of its own and takes no part;
+    other columns are ignored; an empty table gives no rows.
     """
-    found = Classes(docs, key, text, percent)
-    rows = found.rows.select("id", "n", "d1", "d2")
-    labelled = rows.join(found.labels, ["d1", "d2"], "left")
-    return labelled.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id")).alias("component_id"))
+    return _labelled(docs, key, text, percent).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that have the least id of their component, once each; all columns.
 
-    Rows with a null id take no part and stay.
+    Rows that repeat an id and a text are one; rows with a null id take no part and stay; null and empty
+    texts stay; columns may have any names; an empty table stays empty.
     """
-    best = near_duplicates(docs, key, text, percent).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__best")).distinct()
-    kept = docs.join(best, F.col(key) == F.col("__best")).withColumn("__h", F.xxhash64(text))
-    kept = kept.dropDuplicates(["__best", "__h"]).select(*docs.columns)
-    return kept.union(docs.filter(F.col(key).isNull()))
+    i, x = unused(docs, "i", "x")
+    best = _labelled(docs, key, text, percent).filter("id = comp").select(F.col("id").alias(i), F.col("x").alias(x)).distinct()
+    keyed = docs.withColumns({i: named(key).cast("long"), x: F.xxhash64(F.coalesce(named(text).cast("string"), F.lit("")))})
+    kept = keyed.join(best, [i, x]).dropDuplicates([i, x]).select(*(named(c) for c in docs.columns))
+    return kept.union(docs.filter(named(key).isNull()))

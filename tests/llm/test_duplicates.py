@@ -8,7 +8,7 @@ import pytest
 
 from seepkit.llm import near
 from seepkit.llm.near import near_duplicates, one_of_each, verify
-from seepkit.llm.substrings import factors, substring_digest, winnow, without_duplicates
+from seepkit.llm.substrings import crossing, factors, substring_digest, winnow, without_duplicates
 from seepkit.llm.words import long_grams, lowered, word_hashes
 
 FOLD = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -60,34 +60,83 @@ def corpus(seed, sizes, copies=4):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "sizes"), [(1, [8, 20, 30, 50, 63, 64, 70, 80]), (2, [250, 256, 300, 1000, 1030, 1300])])
-def test_join_equals_all_pairs(spark, seed, sizes):
-    rows = corpus(seed, sizes)
+def joined(spark, rows):
     df = spark.createDataFrame([(k, t, "x", 1, 2) for k, t in rows], SCHEMA)
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
-    assert got == brute_components(rows)
-
+    return {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
 
-def test_frequent_tokens_are_combined(spark, monkeypatch):
-    monkeypatch.setattr(near, "OFTEN", (2, 5))
-    rows = corpus(3, [10, 20, 40, 60], copies=8)
-    df = spark.createDataFrame([(k, t, "x", 1, 2) for k, t in rows], SCHEMA)
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()} == brute_components(rows)
 
-
-def test_weak_samples_run_again_in_full(spark):
-    rows = corpus(4, [100, 120])
+@pytest.mark.parametrize(("seed", "sizes", "often"), [(1, [8, 10, 20, 30, 50, 63, 64, 70, 80], (2, 5)), (2, [65, 90, 250, 256, 300, 1000, 1030, 1300, 2500, 5000], (64,)), (3, [65, 90, 250, 256, 300, 1000, 1300, 5000], (1,))])
+def test_join_equals_all_pairs(spark, monkeypatch, seed, sizes, often):
+    """With small thresholds nearly all tokens are combined, in sets of every size."""
+    monkeypatch.setattr(near, "OFTEN", often)
+    rows = corpus(seed, sizes)
+    assert joined(spark, rows) == brute_components(rows)
+
+
+def test_small_sets_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near, "OFTEN", (1, 3))
+    r = random.Random(6)
+    base = words(r, 24)
+    rows = [(i, " ".join(base[r.randint(0, 6) :][: r.randint(1, 18)])) for i in range(300)]
+    assert joined(spark, rows) == brute_components(rows)
+
+
+@pytest.mark.parametrize("often", [(64,), (2, 5)])
+def test_full_samples_always_give_the_cover(often):
+    """Whatever the frequencies, a set with all its tokens has the signatures that it needs, of every size."""
+    r = np.random.default_rng(3)
+    for n in [*range(4, 70), 103, 127, 128, 205, 255, 256, 410, 900, 3277, 5000]:
+        h = np.sort(r.integers(-(2**62), 2**62, n))
+        for df in (np.full(n, 10**6), r.integers(2, 100, n)):
+            for x in near.levels(n):
+                v = near.Level(x, near.FULL, 80, 1 + len(often))
+                made = near.signatures(df, h, near.tau(n) + 1, n, x, v.groups, often)
+                assert made is not None
+                if often == (64,):  # in proportion to the set
+                    assert 0 < len(made) <= 2 * n
+
+
+def test_pairs_share_signatures_whatever_they_lack():
+    """Two sets that lack as many tokens as they may, chosen against them, still meet."""
+    r = np.random.default_rng(4)
+    for n in (5, 9, 12, 40, 100, 300):
+        h = np.sort(r.choice(2**40, 2 * n, replace=False)).astype(np.int64)
+        df = dict(zip(h.tolist(), r.integers(2, 200, 2 * n).tolist(), strict=True))
+        a = h[r.permutation(2 * n)[:n]]
+        rare = sorted(a.tolist(), key=lambda t: (df[t], t))
+        b = np.asarray(rare[near.tau(n) :])  # without its rarest tokens
+        if 100 * len(b) < 80 * n:
+            continue
+        (x,) = set(near.levels(len(a))) & {int(len(a)).bit_length() - 1}
+        v = near.Level(x, near.FULL, 80, 2)
+        one, two = (near.signatures(np.asarray([df[t] for t in y.tolist()]), y, near.tau(len(y)) + 1, len(y), x, v.groups, (64,)) for y in (a, b))
+        assert len(np.intersect1d(one, two))
+
+
+def test_weak_levels_run_again_in_full(spark):
+    rows = corpus(4, [100, 120, 300])
     df = spark.createDataFrame([(k, t, "x", 1, 2) for k, t in rows], SCHEMA)
-    found = near.Classes(df, levels=((0, 1.0), (64, 0.05)))
+    found = near.Classes(df, shares=((0, 1.0), (64, 0.21)))
     labelled = found.rows.join(found.labels, ["d1", "d2"], "left").filter("n > 0").collect()
     assert {(r.id, r.n, r.comp) for r in labelled} == {x for x in brute_components(rows) if x[1]}
 
 
 def test_blocks_of_a_family_meet(spark, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK", 300)
+    monkeypatch.setattr(near, "ROWS", 5)
+    monkeypatch.setattr(near, "HEADS", 2)
     rows = corpus(5, [100, 110], copies=12)
-    df = spark.createDataFrame([(k, t, "x", 1, 2) for k, t in rows], SCHEMA)
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()} == brute_components(rows)
+    # a chain: each text is near the next ones only
+    r = random.Random(2)
+    chain = words(r, 200, 10**6)
+    rows += [(1000 + i, " ".join(chain[4 * i : 4 * i + 80])) for i in range(30)]
+    assert joined(spark, rows) == brute_components(rows)
+
+
+def test_links_come_through_signatures(spark, monkeypatch):
+    monkeypatch.setattr(near, "signatures", lambda *x: np.zeros(0, np.int64))
+    rows = corpus(7, [30, 100])
+    equal = brute_components(rows)
+    assert joined(spark, rows) != equal
 
 
 def test_join_of_odd_tables(spark):
@@ -108,10 +157,23 @@ def test_null_ids_before_their_copies(spark):
     assert sorted(r.doc_id for r in one_of_each(df).collect() if r.doc_id is not None) == [1, 4]
 
 
-def test_verify_across_sides_only():
-    t = pa.array(["a b c d e f g"] * 3)
-    assert verify(t, [1, 2, 3], [False, False, False])
-    assert {frozenset(x) for x in verify(t, [1, 2, 3], [False, False, True])} <= {frozenset((1, 3)), frozenset((2, 3))}
+def test_ids_that_repeat_with_other_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    one, near_one, other = " ".join(base), " ".join([*base[:-1], "z"]), " ".join(f"v{i}" for i in range(60))
+    df = spark.createDataFrame([(k, t, "", 0, 0) for k, t in [(1, one), (1, other), (2, near_one), (3, other), (1, one)]], SCHEMA)
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert sorted(r.text for r in one_of_each(df).collect()) == sorted([one, other])
+
+
+def test_verify_takes_candidates_across_sides_only():
+    s = np.arange(10)
+    some, none = np.array([5]), np.array([], np.int64)
+    assert verify([1, 2, 3], [s] * 3, [some] * 3, [False] * 3) == [(1, 2), (1, 3)]
+    assert {frozenset(x) for x in verify([1, 2, 3], [s] * 3, [some] * 3, [False, False, True])} == {frozenset((1, 3)), frozenset((2, 3))}
+    assert verify([1, 2], [s] * 2, [some, none], [False] * 2) == []
+    assert verify([1, 2], [s] * 2, [some] * 2, [False] * 2, [7, 7]) == []
+    assert verify([1, 2], [s, s[:8]], [some] * 2, [False] * 2) == [(2, 1)]
+    assert verify([1, 2], [s, s[:7]], [some] * 2, [False] * 2) == []
 
 
 def test_only_ascii_letters_are_folded():
@@ -176,7 +238,48 @@ def test_equal_windows_pick_equal_anchors():
     assert all(len(x) == 1 for x in picked.values())
 
 
-def test_factors_break_at_gaps_and_blocks():
-    assert factors(np.array([3, 1, 2, 9]), np.array([5, 5, 5, 5]), 4) == [(1, 6, 5), (9, 4, 5)]
-    assert factors(np.array([1, 2, 3]), np.array([5, 6, 6]), 4) == [(1, 4, 5), (2, 5, 6)]
-    assert factors(np.array([]), np.array([])) == []
+def test_factors_grow_along_their_source():
+    a = np.array
+    assert factors(a([1, 2, 3, 9]), a([5, 5, 5, 5]), a([7, 8, 9, 15]), 4) == [(1, 6, 5, 7), (9, 4, 5, 15)]
+    # another block, and another place of the same block, end a factor; parsing goes on behind it
+    assert factors(a([1, 2, 3, 6]), a([5, 6, 6, 6]), a([7, 0, 1, 4]), 4) == [(1, 4, 5, 7), (6, 4, 6, 4)]
+    assert factors(a([1, 2, 3]), a([5, 5, 5]), a([7, 8, 0]), 4) == [(1, 5, 5, 7)]
+    assert factors(a([], int), a([], int), a([], int)) == []
+
+
+def test_windows_over_a_factors_end_are_found():
+    starts = np.array([1, 2, 3, 9, 20])
+    made = factors(starts, np.array([5, 6, 6, 6, 6]), np.array([7, 0, 1, 4, 15]), 4)
+    assert made == [(1, 4, 5, 7), (9, 4, 6, 4), (20, 4, 6, 15)]
+    assert crossing(starts, made, 4) == [(2, 7)]
+
+
+@pytest.mark.parametrize("part", ["factors", "crossing"])
+def test_spans_are_made_of_factors_and_crossing_windows(monkeypatch, part):
+    """Without either, repeated words stay: the spans come from the parse."""
+    from seepkit.llm import substrings
+
+    r = random.Random(8)
+    a, b = words(r, 40, 10**6), words(r, 40, 10**6)
+    rows = [(1, " ".join([*a, "x"])), (2, " ".join(["y", *b])), (3, " ".join(a[20:] + b[:20])), (4, " ".join(["z", *a, *b[:20], "q"])), (5, " ".join(["u", *a, *b[:20], "r"]))]
+    docs = [(k, t.split()) for k, t in rows]
+    seen, index = Counter(), {}
+    for k, w in docs:
+        for i in range(len(w) - 34):
+            seen[tuple(w[i : i + 35])] += 1
+            index.setdefault(tuple(w[i : i + 35]), (k, i))
+
+    def removed():
+        out = {}
+        for k, w in docs:
+            starts = [i for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1]
+            sources = [index[tuple(w[i : i + 35])] for i in starts]
+            lists = pa.array([[{"p": p, "block": u, "place": q} for p, (u, q) in zip(starts, sources, strict=True)]], pa.list_(pa.struct([("p", pa.int32()), ("block", pa.int64()), ("place", pa.int32())])))
+            (batch,) = substrings._spans([pa.RecordBatch.from_arrays([pa.array([k]), lists], ["uid", "found"])])
+            out[k] = sum(batch["b"][0].as_py()) - sum(batch["a"][0].as_py())
+        return out
+
+    want = {x[0]: x[2] for x in brute_removed(rows)}
+    assert removed() == want
+    monkeypatch.setattr(substrings, part, lambda *x: [])
+    assert removed() != want

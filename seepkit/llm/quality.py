@@ -2,19 +2,25 @@
 
 Every rule is a Column that votes 1 (good), 0 (bad) or null (abstains). Votes of all documents are
 counted per vote pattern - at most 3^rules rows reach the driver, whatever the corpus - and
-expectation-maximisation on those counts estimates each rule's accuracy without labels: a rule's
-error rates among good and among bad documents. The posterior probability of quality of a document
-is then a Column expression of its votes: no Python touches a row.
+expectation-maximisation on those counts estimates, without labels, the share of good documents, the
+share of those that are bad in the way that each rule looks for, and each rule's accuracies. The posterior
+probability of quality of a document is then a Column expression of its votes: no Python touches a row.
+
+A bad document is mostly bad in one way, so rules' votes depend on each other among bad documents: a bad
+document is of one *kind*, and votes of rules for other kinds come out as among good documents. One bad
+vote may be a kind or a false alarm; votes alone can't tell these apart, so false alarms have a prior.
+Its strength is stated (``ALARMS``) and in proportion to the votes, so the data weigh as much at every
+size; no estimate is cut off at a limit.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seepkit.llm.names import folded, unfolded
 from seepkit.llm.staging import materialize
 
 #: ASCII white space, the separators of words.
@@ -50,10 +56,16 @@ def _without(text: Column, characters: str) -> Column:
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and, in a struct ``m``, the counts that the rules read.
 
-    Null texts count as having no words. Windows are compared by a 64-bit hash within one document.
+    Null texts count as having no words. Windows are compared by a 64-bit hash within one document. A
+    column named ``m`` is replaced; other names can't clash.
     """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    step = docs.withColumn("__t", t)
+    made = _measured(folded(docs, text))
+    return made.select(*unfolded(made, docs.columns, text, "m"), "m")
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """``row``, ``text`` and ``m`` of a folded table."""
+    step = docs.withColumn("__t", F.coalesce(F.col("text").cast("string"), F.lit("")))
     spaced = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(" ")), SPACE[1:], F.col("__t"))
     step = step.withColumn("__w", F.filter(F.split(spaced, " "), lambda w: w != ""))
     step = step.withColumn("__n", F.size("__w"))
@@ -86,7 +98,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     found = {k: c.cast("long") for k, c in found.items()}
     # the row's number in the struct keeps the optimizer from copying these expressions into filters
     step = step.withColumn("m", F.struct(*(c.alias(k) for k, c in found.items()), F.monotonically_increasing_id().alias("row")))
-    return step.drop(*(c for c in step.columns if c.startswith("__")))
+    return step.select("row", "text", "m")
 
 
 def base_failed(m: Column) -> Column:
@@ -112,61 +124,102 @@ def rules(m: Column) -> dict[str, Column]:
     }
 
 
-#: P(vote good | good) and P(vote good | bad): where EM starts, and the limits of its estimates.
-#: The good side's lower limit decides what EM finds (figures in README): where most bad documents trip one rule
-#: only, the votes look the same as those of good documents under a noisy rule.
-START, LIMITS = (0.995, 0.8), ((0.995, 0.9995), (0.02, 0.85))
+#: Where EM starts: the share of bad documents, P(bad vote | no such kind) and P(good vote | that kind).
+#: ALARMS: the strength of the prior of the second, which is its start: votes that it stands for, as a
+#: multiple of those that a rule casts. KINDS: that of the third, in votes.
+BAD, ALARM, MISS, ALARMS, KINDS = 0.2, 0.002, 0.1, 1.0, 20.0
 
 
-def fit_votes(counts: list[tuple[tuple, int]], rounds: int = 60) -> tuple[float, list[tuple[float, float]]]:
-    """EM for the share of good documents and, per rule, P(vote good | good) and P(vote good | bad).
+class Votes:
+    """good: share of good documents; of each rule j, kinds[j]: share of documents bad in its way, alarm[j]:
+    P(bad vote | not that kind), miss[j]: P(good vote | that kind)."""
 
-    A bad document is mostly bad in one way, so the other rules call it good: the start is a rule
-    that says good of 99.5 % of good documents and of 80 % of bad ones. Estimates are smoothed by two
-    votes and held within LIMITS, so that no rule turns against what it says.
-    """
+    def __init__(self, rules: int):
+        self.good = 1 - BAD
+        self.kinds, self.alarm, self.miss = [BAD / max(1, rules)] * rules, [ALARM] * rules, [MISS] * rules
+
+    def odds(self, j: int, vote: int | None) -> float:
+        """How much likelier than a good document one of kind j casts rule j's vote, by their shares; its
+        other votes are as likely."""
+        ratio = 1.0 if vote is None else self.miss[j] / (1 - self.alarm[j]) if vote else (1 - self.miss[j]) / self.alarm[j]
+        return self.kinds[j] / self.good * ratio
+
+    def posterior(self, votes: tuple) -> list[float]:
+        """Probabilities: good, then bad of each kind."""
+        odds = [1.0, *(self.odds(j, v) for j, v in enumerate(votes))]
+        return [x / sum(odds) for x in odds]
+
+    def quality(self, votes: list[Column]) -> Column:
+        """The first of them, of votes in columns."""
+        odds = [F.when(v == 1, self.odds(j, 1)).when(v == 0, self.odds(j, 0)).otherwise(self.odds(j, None)) for j, v in enumerate(votes)]
+        return 1 / reduce(lambda a, b: a + b, odds, F.lit(1.0))
+
+
+def fit_votes(counts: list[tuple[tuple, int]], rounds: int = 500, still: float = 1e-9) -> Votes:
+    """EM on (vote pattern, documents), until no estimate moves by more than ``still``."""
     k = len(counts[0][0]) if counts else 0
-    prior, rates = 0.8, [START] * k
-    total = sum(c for _, c in counts)
+    model, total = Votes(k), sum(c for _, c in counts)
     for _ in range(rounds if total else 0):
-        good_sum, top, seen = 0.0, [[1.0, 1.0] for _ in range(k)], [[2.0, 2.0] for _ in range(k)]
+        kinds = [0.0] * k
+        cast, alarms, misses, of_kind = ([0.0] * k for _ in range(4))
         for votes, c in counts:
-            p = posterior(votes, prior, rates) * c
-            good_sum += p
+            p = model.posterior(votes)
             for j, v in enumerate(votes):
+                mine = c * p[1 + j]
+                kinds[j] += mine
                 if v is not None:
-                    for s, part in ((0, p), (1, c - p)):
-                        top[j][s] += part * v
-                        seen[j][s] += part
-        prior = min(max(good_sum / total, 0.05), 0.99)
-        rates = [(min(max(t[0] / s[0], LIMITS[0][0]), LIMITS[0][1]), min(max(t[1] / s[1], LIMITS[1][0]), LIMITS[1][1])) for t, s in zip(top, seen, strict=True)]
-    return prior, rates
-
-
-def posterior(votes: tuple, prior: float, rates: list[tuple[float, float]]) -> float:
-    z = math.log(prior / (1 - prior))
-    for v, (a, b) in zip(votes, rates, strict=True):
-        if v is not None:
-            z += math.log(a / b) if v else math.log((1 - a) / (1 - b))
-    return 1 / (1 + math.exp(-z))
+                    cast[j] += c - mine
+                    alarms[j] += (c - mine) * (1 - v)
+                    of_kind[j] += mine
+                    misses[j] += mine * v
+        before = [model.good, *model.kinds, *model.alarm, *model.miss]
+        prior = KINDS * BAD / max(1, k)
+        model.kinds = [(x + prior) / (total + KINDS) for x in kinds]
+        model.good = 1 - sum(model.kinds)
+        model.alarm = [(x + ALARMS * n * ALARM + ALARM) / (n + ALARMS * n + 1) for x, n in zip(alarms, cast, strict=True)]
+        model.miss = [(x + KINDS * MISS) / (n + KINDS) for x, n in zip(misses, of_kind, strict=True)]
+        if max(abs(a - b) for a, b in zip(before, [model.good, *model.kinds, *model.alarm, *model.miss], strict=True)) < still:
+            break
+    return model
+
+
+def voted(measured: DataFrame) -> DataFrame:
+    """Documents by vote pattern, of those that pass the base rules."""
+    votes = rules(F.col("m"))
+    return measured.filter(~base_failed(F.col("m"))).select(*(c.cast("int").alias(k) for k, c in votes.items())).groupBy(*votes).agg(F.count("*").alias("c"))
+
+
+def _scored(docs: DataFrame, text: str, least: float, with_text: bool) -> DataFrame:
+    """A folded table (without its text, unless asked for) with m, base_failed, quality and kept."""
+    measured = _measured(folded(docs, text))
+    # written, so that the measures are taken once, for the votes and for the verdicts
+    measured = materialize(measured if with_text else measured.drop("text"), "measures")
+    names = list(rules(F.col("m")))
+    model = fit_votes(sorted(((tuple(r[k] for k in names), r["c"]) for r in voted(measured).collect()), key=str))
+    scored = measured.withColumn("base_failed", base_failed(F.col("m")))
+    scored = scored.withColumn("quality", model.quality(list(rules(F.col("m")).values())) if model.kinds else F.lit(1.0))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
-def score(docs: DataFrame, text: str = "text", least: float = 0.5, staged: bool = False) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", least: float = 0.5, with_text: bool = True) -> DataFrame:
     """All columns of ``docs`` with struct ``m``, ``base_failed``, ``quality`` (posterior) and ``kept``.
 
     Null and empty texts have no words and so fail the base rules; repeated rows are judged alike;
-    an empty table gives an empty result. ``staged`` leaves the text out and writes the measures
-    once instead of taking them twice.
+    an empty table gives an empty result; columns that have the names of the four are replaced, others
+    are passed on. ``with_text=False`` leaves the text out.
     """
-    measured = measures(docs, text)
-    if staged:
-        measured = materialize(measured.drop(text), "measures")
-    measured = measured.withColumn("base_failed", base_failed(F.col("m")))
-    voted = rules(F.col("m"))
-    names = list(voted)
-    rows = measured.filter(~F.col("base_failed")).select(*(c.cast("int").alias(k) for k, c in voted.items())).groupBy(*names).agg(F.count("*").alias("c")).collect()
-    prior, rates = fit_votes(sorted(((tuple(r[k] for k in names), r["c"]) for r in rows), key=str))
-    parts = [F.when(c == 1, math.log(a / b)).when(c == 0, math.log((1 - a) / (1 - b))).otherwise(0.0) for c, (a, b) in zip(voted.values(), rates or [START] * len(names), strict=True)]
-    z = reduce(lambda a, b: a + b, parts, F.lit(math.log(prior / (1 - prior))))
-    scored = measured.withColumn("quality", 1 / (1 + F.exp(-z)))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+    made = _scored(docs, text, least, with_text)
+    columns = docs.columns if with_text else [c for c in docs.columns if c != text]
+    return made.select(*unfolded(made, columns, text, *SCORES), *SCORES)
+
+
+def good_documents(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever the names.
+
+    Null, empty and short texts go; repeated rows stay or go together; an empty table stays empty.
+    """
+    made = _scored(docs, text, least, True).filter("kept")
+    return made.select(*unfolded(made, docs.columns, text))
+
+
+SCORES = ("m", "base_failed", "quality", "kept")

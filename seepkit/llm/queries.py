@@ -58,7 +58,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seepkit.llm.quality import BASE, score
 
-    scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"), staged=True)
+    scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return scored.select("doc_id", *(scored.m[c].alias(c) for c in BASE), "base_failed", "kept", "quality")
 
 

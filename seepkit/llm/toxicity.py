@@ -19,11 +19,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seepkit.llm.names import folded, named, unfolded
+from seepkit.llm.words import mix
+
 #: Hashed features, features kept by category, rows learned from, folds, ridge penalty.
 BUCKETS, KEPT, SAMPLE, FOLDS, RIDGE = 1 << 18, 256, 30_000, 4, 1e-2
 #: Least documents and least share of odds that make a bucket a candidate.
 LEAST = 3
 WORDS = 200_000
+#: Buckets of a labelled row that are learned from at most: those that a hash of row and bucket puts first.
+#: With SAMPLE it bounds what the driver is sent: 30,000 rows of 1,000 integers of 4 bytes, 120 MB.
+LEARNED = 1_000
 _BUCKET: dict[str, int] = {}
 _STRIP = "".join(chr(i) for i in range(33, 127) if not chr(i).isalpha())
 
@@ -141,16 +147,21 @@ def fit_chain(rows: list[np.ndarray], targets: dict[str, np.ndarray], folds: np.
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
     """Fit on labelled documents; ``categories``: name -> Column of 0/1 over ``labels``, in chain order."""
-    marked = labels.filter(F.col(key).isNotNull()).select(F.col(key), *(c.cast("int").alias(k) for k, c in categories.items())).dropna()
+    marked = labels.filter(named(key).isNotNull()).select(F.col(key), *(c.cast("int").alias(k) for k, c in categories.items())).dropna()
     chosen = marked.withColumn("__h", F.xxhash64(F.col(key), F.lit(7))).orderBy("__h", key).limit(sample)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([word_buckets(x) for x in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([made, *batch.columns[1:]], ["b", *batch.schema.names[1:]])
+            lists = []
+            for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = word_buckets(t)
+                if len(b) > LEARNED:
+                    b = b[np.argsort(mix(b.astype(np.uint64) ^ np.uint64(h & 0xFFFFFFFFFFFFFFFF)))[:LEARNED]]
+                lists.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), *batch.columns[1:]], ["b", *batch.schema.names[1:]])
 
     # the sample has a fixed bound (rows of a few integers), which makes it safe to broadcast
-    joined = docs.select(key, F.col(text).cast("string").alias("__t")).join(F.broadcast(chosen), key).select("__t", "__h", *categories)
+    joined = docs.select(named(key).alias(key), named(text).cast("string").alias("__t")).join(F.broadcast(chosen), key).select("__t", "__h", *categories)
     table = joined.mapInArrow(buckets, "b array<int>, __h long, " + ", ".join(f"`{k}` int" for k in categories)).toArrow()
     order = np.argsort(table["__h"].to_numpy(), kind="stable")
     lists = table["b"].combine_chunks()
@@ -159,24 +170,32 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
     return fit_chain(rows, {k: table[k].to_numpy()[order] for k in categories}, table["__h"].to_numpy()[order] % FOLDS)
 
 
-def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``p_<category>`` for each of the chain.
-
-    Null and empty texts have no words: they get what the biases say. Repeated rows score alike.
-    """
+def _scored(docs: DataFrame, chain: Chain, text: str) -> DataFrame:
+    """A folded table with p0, p1, ... of the chain's categories."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    names = [f"p_{c}" for c in chain.categories]
-    schema = docs.select("*", *(F.lit(0.0).alias(n) for n in names)).schema
-    place = docs.columns.index(text)
+    names = [f"p{j}" for j in range(len(chain.categories))]
+    source = folded(docs, text)
+    schema = source.select("*", *(F.lit(0.0).alias(n) for n in names)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 2_000):
                 some = batch.slice(lo, 2_000)
-                p = shared.value.predict([word_buckets(x) for x in some.column(place).cast(pa.string()).to_pylist()])
+                p = shared.value.predict([word_buckets(x) for x in some.column(1).cast(pa.string()).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(p[:, j]) for j in range(len(names)))], [*some.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``p_<category>`` for each of the chain; columns with such names are
+    replaced.
+
+    Null and empty texts have no words: they get what the biases say. Repeated rows score alike. An
+    empty table gives an empty result.
+    """
+    made, names = _scored(docs, chain, text), [f"p_{c}" for c in chain.categories]
+    return made.select(*unfolded(made, docs.columns, text, *names), *(made[f"p{j}"].alias(n) for j, n in enumerate(names)))
 
 
 def default_categories() -> dict[str, Column]:
@@ -185,6 +204,21 @@ def default_categories() -> dict[str, Column]:
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """All columns of ``docs``, p_poor, p_toxic and ``is_toxic`` (p_toxic >= least)."""
+    """All columns of ``docs``, p_poor, p_toxic and ``is_toxic`` (p_toxic >= least); columns with these
+    names are replaced.
+
+    Null and empty texts get what the biases say; a null doc_id is scored but not learned from, as are
+    rows without a label or with a null one; rows that repeat score alike, and a labelled one is learned
+    from as often; without labels of both kinds a category has its base rate; an empty table gives none.
+    """
+    chain = train(docs, labels, default_categories())
+    scored = score(docs.drop(*(c for c in docs.columns if c.lower() == "is_toxic")), chain)
+    return scored.withColumn("is_toxic", F.col("p_toxic") >= least)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``toxic_scores`` doesn't call toxic, with all their columns, whatever
+    the names; otherwise as there."""
     chain = train(docs, labels, default_categories())
-    return score(docs, chain).withColumn("is_toxic", F.col("p_toxic") >= least)
+    made = _scored(docs, chain, "text").filter(F.col(f"p{chain.categories.index('toxic')}") < least)
+    return made.select(*unfolded(made, docs.columns, "text"))

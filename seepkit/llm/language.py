@@ -38,7 +38,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     code = np.frombuffer((" " + "  ".join(lower) + " ").encode("utf-32-le", "replace"), np.uint32)
     starts = np.cumsum([0] + [len(x) + 2 for x in lower[:-1]])
-    letter = LETTER[np.minimum(code, len(LETTER) - 1)]
+    letter = LETTER[code]
     n_letters = np.add.reduceat(letter.astype(np.int64), starts)
     c = np.where(letter, code, 32).astype(np.uint32)
     keep = (c != 32) | np.concatenate([[True], c[:-1] != 32])  # one space between words
@@ -60,7 +60,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gram.astype(np.int32), first, n_letters
 
 
-LETTER = np.fromiter((chr(i).isalpha() if not 0xD800 <= i < 0xE000 else False for i in range(0x30000)), bool, 0x30000)
+#: Whether a code point is a letter.
+LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:

@@ -7,9 +7,9 @@ import re
 from html import unescape
 
 # Element names by their part in a page, after the HTML standard.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title svg math iframe object canvas audio video head select option textarea".split())
+HIDDEN = frozenset("script style noscript template title svg annotation annotation-xml iframe object canvas audio video head select option textarea".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 SCOPES = frozenset("ul ol dl table body article section main div nav aside footer header form blockquote".split())
@@ -189,7 +189,11 @@ N_FEATURES = len(TAGS) + 2 * len(FAMILIES) + len(ABOVE) + 20
 
 
 def features(nodes: list[Node]) -> list[list[float]]:
-    """A row of N_FEATURES numbers per node; call ``measure`` first."""
+    """A row of N_FEATURES numbers per node; call ``measure`` first.
+
+    Depth counts the ancestors that have text in two children or more: wrappers around wrappers, however
+    many, are no deeper than one.
+    """
     log = math.log1p
     total = max(1, nodes[0].chars)
     above: dict[int, tuple] = {id(nodes[0]): (0, NONE, (False,) * len(ABOVE))}
@@ -198,7 +202,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
         depth, families, tags = above[id(x)]
         kids = x.children
         if kids:
-            below = (depth + 1, tuple(a or b for a, b in zip(families, x.families, strict=True)) if any(x.families) else families, tuple(a or x.tag == t for a, t in zip(tags, ABOVE, strict=True)) if x.tag in ABOVE else tags)
+            below = (depth + (sum(k.chars > 0 for k in kids) > 1), tuple(a or b for a, b in zip(families, x.families, strict=True)) if any(x.families) else families, tuple(a or x.tag == t for a, t in zip(tags, ABOVE, strict=True)) if x.tag in ABOVE else tags)
             n = len(kids)
             for i, k in enumerate(kids):
                 above[id(k)] = below

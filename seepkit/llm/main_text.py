@@ -7,7 +7,7 @@ choose for themselves. One pass up and one down find the maximum.
 
 The boosters are trained here, on pages that a seeded generator lays out with known truth: layouts
 with and without semantic elements, adverts, notices, forms and comments beside and within the
-article, unclosed tags.
+article, unclosed tags, wrappers in any number.
 """
 
 from __future__ import annotations
@@ -101,6 +101,10 @@ def made_page(r: random.Random) -> str:
     middle = _article(r) if r.random() < 0.97 else ""
     if r.random() < 0.3:
         middle = f"<div{_attribute(r, 'wrapper page container layout row')}>{middle}{after.pop(0) if after else ''}</div>"
+    if r.random() < 0.25:  # wrappers without names, a few or very many
+        k = r.choice([1, 2, 3, 5, 30, 150])
+        tag = r.choice(["div", "div", "section", "span><div", "center"])
+        middle = f"<{tag}>" * k + middle + "".join(f"</{t}>" for t in reversed(tag.split("><"))) * k
     return f"<!DOCTYPE html><html><head><title>{_words(r, 3)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{''.join(before)}<!-- x -->{middle}{''.join(after)}</body></html>"
 
 

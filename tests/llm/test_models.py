@@ -11,8 +11,8 @@ from seepkit.llm.html_tree import parse, walk
 from seepkit.llm.language import features, identify
 from seepkit.llm.main_text import MARK, extract, extract_batch, made_page, model
 from seepkit.llm.neighbours import nearest
-from seepkit.llm.quality import BASE, fit_votes, measures, posterior, rules, score
-from seepkit.llm.toxicity import default_categories, fit_chain, toxic_scores, train, word_buckets
+from seepkit.llm.quality import BASE, SCORES, Votes, fit_votes, good_documents, measures, rules, score
+from seepkit.llm.toxicity import default_categories, fit_chain, toxic_scores, train, without_toxic, word_buckets
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,13 +33,16 @@ def test_quality_measures_equal_brute_force(spark):
     texts = [None, "", " ", "a", "x\ny\nx\n\n \n x", "a b c d e f g h " * 3, "q " * 30, "é\x0b#|<>\r\n&%", "  a b", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8"]
     texts += ["".join(r.choice(["a", "b", " ", " ", "\n", "\t", "é", "#"]) for _ in range(r.randint(0, 400))) for _ in range(60)]
     df = spark.createDataFrame([(i, t, 1, "m") for i, t in enumerate(texts)], "doc_id long, text string, n_words int, quality string")
-    rows = score(df.drop("quality")).collect()
+    rows = score(df).collect()
+    assert score(df).columns == ["doc_id", "text", "n_words", *SCORES]  # a column ``quality`` is replaced
     for x in rows:
         assert tuple(x.m[c] for c in BASE) == brute_base(texts[x.doc_id])
         n, rep = x.m.n_words, x.m.n_repeat_words
         assert x.base_failed == (n < 20 or 100 * rep > 30 * n)
         assert not (x.base_failed and x.kept)
-    assert score(df.drop("quality").limit(0)).count() == 0
+    assert score(df.limit(0)).count() == 0
+    assert good_documents(df).columns == df.columns
+    assert sorted(x.doc_id for x in good_documents(df).collect()) == sorted(x.doc_id for x in rows if x.kept)
 
 
 def test_variety_votes_at_every_length(spark):
@@ -59,20 +62,70 @@ def test_variety_votes_at_every_length(spark):
 
 def test_quality_against_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    got = score(docs.select("doc_id", "text"), staged=True).drop("quality").join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    got = score(docs.select("doc_id", "text"), with_text=False).drop("quality").join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
     share = {r.quality: r.k for r in got}
     assert share[1] > 0.99
     assert share[0] < 0.1
 
 
-def test_em_finds_what_single_rules_say():
-    counts = [((1, 1, 1), 800), ((0, 1, 1), 50), ((1, 0, 1), 50), ((1, 1, None), 100), ((0, 0, 1), 10)]
-    prior, rates = fit_votes(counts)
-    assert posterior((1, 1, 1), prior, rates) > 0.9
-    assert posterior((0, 1, 1), prior, rates) < 0.5
-    assert fit_votes([])[0] == pytest.approx(0.8)
-    assert 0 < posterior((None, None, None), prior, rates) < 1
-    assert quality.SYMBOLS
+COUNTS = [((1, 1, 1), 800), ((0, 1, 1), 50), ((1, 0, 1), 3), ((1, 1, None), 100), ((0, 0, 1), 10)]
+
+
+def brute_em(counts, rounds):
+    """The same model on single documents, by what each kind of document would vote."""
+    docs = [v for v, c in counts for _ in range(c)]
+    k, total = len(docs[0]), len(docs)
+    share = [1 - quality.BAD] + [quality.BAD / k] * k
+    alarm, miss = [quality.ALARM] * k, [quality.MISS] * k
+    for _ in range(rounds):
+        told = []
+        for v in docs:
+            p = []
+            for kind in range(k + 1):
+                x = share[kind]
+                for j, vote in enumerate(v):
+                    bad = 1 - miss[j] if kind == j + 1 else alarm[j]
+                    x *= 1 if vote is None else 1 - bad if vote else bad
+                p.append(x)
+            told.append([x / sum(p) for x in p])
+        kinds = [(sum(p[j + 1] for p in told) + quality.KINDS * quality.BAD / k) / (total + quality.KINDS) for j in range(k)]
+        for j in range(k):
+            cast = [(p[j + 1], v[j]) for p, v in zip(told, docs, strict=True) if v[j] is not None]
+            others = sum(1 - p for p, _ in cast)
+            mine = sum(p for p, _ in cast)
+            alarm[j] = (sum(1 - p for p, v in cast if not v) + quality.ALARM * (quality.ALARMS * others + 1)) / ((1 + quality.ALARMS) * others + 1)
+            miss[j] = (sum(p for p, v in cast if v) + quality.KINDS * quality.MISS) / (mine + quality.KINDS)
+        share = [1 - sum(kinds), *kinds]
+    return share, alarm, miss
+
+
+def test_em_equals_brute_force():
+    model = fit_votes(COUNTS, rounds=12, still=0)
+    share, alarm, miss = brute_em(COUNTS, 12)
+    assert [model.good, *model.kinds] == pytest.approx(share)
+    assert model.alarm == pytest.approx(alarm)
+    assert model.miss == pytest.approx(miss)
+
+
+def test_em_tells_kinds_from_alarms():
+    model = fit_votes(COUNTS)
+    assert model.posterior((1, 1, 1))[0] > 0.99
+    assert model.posterior((0, 1, 1))[0] < 0.1  # frequent: a kind of document
+    assert model.posterior((0, 0, 1))[0] < 0.1
+    assert sum(model.posterior((None, 1, 0))) == pytest.approx(1)
+    noisy = fit_votes([((1, 1, 1), 100_000), ((1, 0, 1), 100)])
+    assert noisy.posterior((1, 0, 1))[0] > 0.5  # rarer than false alarms are
+    many = fit_votes([(v, 1000 * c) for v, c in COUNTS])
+    assert many.alarm == pytest.approx(fit_votes([(v, 10**6 * c) for v, c in COUNTS]).alarm, rel=0.05)
+    assert fit_votes([]).good == pytest.approx(0.8)
+
+
+def test_quality_column_equals_the_model(spark):
+    model = fit_votes(COUNTS)
+    votes = [(a, b, c) for a in (0, 1, None) for b in (0, 1, None) for c in (0, 1, None)]
+    df = spark.createDataFrame(votes, "a int, b int, c int").withColumn("q", model.quality([F.col(x) for x in "abc"]))
+    assert all(x.q == pytest.approx(model.posterior((x.a, x.b, x.c))[0]) for x in df.collect())
+    assert Votes(0).posterior(()) == [1.0]
 
 
 def test_language_held_out(spark):
@@ -147,6 +200,60 @@ def test_toxicity_of_odd_rows(spark):
     assert toxic_scores(docs, labels).count() == 5
     assert toxic_scores(docs.limit(0), labels.limit(0)).count() == 0
     assert len(word_buckets("A a ### b, B!")) == 2
+    wide = docs.withColumns({"p_toxic": F.lit("x"), "is_toxic": F.lit("y"), "__h": F.lit(1), "__t": F.lit(2), "poor": F.lit(3)})
+    got = toxic_scores(wide, labels)
+    assert got.columns == ["doc_id", "text", "toxic", "__h", "__t", "poor", "p_poor", "p_toxic", "is_toxic"]
+    assert {(x.doc_id, x.toxic, x["__h"], x.poor) for x in got.collect()} == {(1, 0, 1, 3), (2, 0, 1, 3), (3, 0, 1, 3), (None, 0, 1, 3)}
+    kept = without_toxic(wide, labels)
+    assert kept.columns == wide.columns
+    assert {(x.p_toxic, x.is_toxic) for x in kept.collect()} <= {("x", "y")}
+
+
+def test_very_long_texts(spark):
+    """A text of two million words is read whole, in one piece, by each model."""
+    long = "word " * 2_000_000 + "slur"
+    docs = spark.createDataFrame([(i, f"plain words here {i}", "en") for i in range(30)] + [(100 + i, f"slur here {i}", "xx") for i in range(30)] + [(500, long, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(100 + i, 1, 1) for i in range(30)], "doc_id long, quality int, toxic int")
+    assert [x.is_toxic for x in toxic_scores(docs, labels).filter("doc_id = 500").collect()] == [True]  # its last word decides
+    assert [x.lang_pred for x in identify(docs).filter("doc_id = 500").collect()] == ["en"]
+    row = score(docs, with_text=False).filter("doc_id = 500").first()
+    assert (row.m.n_words, row.base_failed, row.kept) == (2_000_001, True, False)
+
+
+def test_sampled_rows_are_bounded(spark, monkeypatch):
+    from seepkit.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "LEARNED", 50)
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + j // 20)}{chr(97 + j % 20)}" for j in range(400)) + (" slur" * (i % 2))) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, *x: seen.extend(map(len, rows)))
+    toxicity.train(docs, labels, default_categories())
+    assert seen == [50] * 80
+
+
+def brute_toxic_chain(rows, targets, folds):
+    """Probabilities of a chain, one document and one weight at a time."""
+    from seepkit.llm.toxicity import fit_chain
+
+    chain = fit_chain(rows, targets, folds)
+    out = []
+    for r in rows:
+        p = []
+        for bias, earlier, weights in chain.models:
+            odds = [np.log(min(max(x, 1e-3), 1 - 1e-3) / (1 - min(max(x, 1e-3), 1 - 1e-3))) / 4 for x in p]
+            z = bias + sum(weights[b] for b in r) + sum(a * b for a, b in zip(odds, earlier, strict=True))
+            p.append(1 / (1 + np.exp(-z)))
+        out.append(p)
+    return chain, np.asarray(out)
+
+
+def test_chain_equals_brute_force():
+    r = np.random.default_rng(8)
+    y = r.random(120) < 0.4
+    rows = [np.unique(np.concatenate([r.integers(1000, 1200, 6), [7] if t else [8]])).astype(np.int32) for t in y]
+    chain, want = brute_toxic_chain(rows, {"a": y, "b": y & (r.random(120) < 0.7)}, np.arange(120) % 4)
+    assert np.allclose(chain.predict(rows), want)
 
 
 def test_boosting_learns_an_interaction():
@@ -170,6 +277,69 @@ def test_main_text_of_odd_pages(spark):
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
     assert got[1] == got[None] == "T & u\nOne two three é.\nFour, five six."
     assert got[2] == got[3] == ""
+    assert got[5] == "" or got[5] == "x"
+    assert len(got) == 6
+
+
+def test_articles_in_wrappers():
+    boosters = model()
+    r = random.Random(3)
+    from seepkit.llm.main_text import _sentence
+
+    for paragraphs in (2, 4, 7):
+        for k in (0, 1, 7, 50, 120, 198, 1000):
+            article = [" ".join(_sentence(r) for _ in range(4)) for _ in range(paragraphs)]
+            page = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav>' + "<div>" * k + "<article>" + "".join(f"<p>{x}</p>" for x in article) + "</article>" + "</div>" * k + "<footer>&copy; us, 2024</footer>"
+            assert extract_batch([page], boosters) == ["\n".join(article)], (paragraphs, k)
+
+
+def test_formulas_stay():
+    page = "<nav><a href=/>Home</a></nav><article><h1>On sums</h1><p>We know that <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds here, and so it does there. That is all.</p><p>Next to it, other things hold as well, as we said.</p></article>"
+    assert extract_batch([page], model()) == ["On sums\nWe know that x=1 holds here, and so it does there. That is all.\nNext to it, other things hold as well, as we said."]
+
+
+def test_pages_by_their_own_rule(spark):
+    """Pages of the table keep their article in one element; its blocks are the text."""
+    import html
+    import re
+
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    want = {}
+    for x in rows:
+        body = re.sub(r"<!--.*?-->|<script.*?</script>|<style.*?</style>", "", x.html, flags=re.S)
+        article = re.search(r"<article[^>]*>(.*)</article>", body, re.S)
+        if article:
+            blocks = re.split(r"</?(?:h[1-6]|p|div|ul|ol|li|blockquote|pre|table|tr|td)\b[^>]*>", article[1])
+            texts = [" ".join(html.unescape(re.sub(r"</?(?:b|i|em|strong|a|span)\b[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+            want[x.page_id] = "\n".join(t for t in texts if t)
+    got = {x.page_id: x.text for x in extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
+    assert len(want) > 0.9 * len(rows)
+    assert np.mean([got[k] == v for k, v in want.items()]) > 0.98
+
+
+def test_decoding_finds_the_best_labelling():
+    """All labellings of small trees, against the best of those that hold together."""
+    from itertools import product
+
+    from seepkit.llm.html_tree import measure
+    from seepkit.llm.main_text import decode
+
+    r = np.random.default_rng(6)
+    for page in ("<div><p>a</p><p>b</p></div><p>c</p>", "<div><div><p>a</p></div><p>b</p></div><ul><li>c</li></ul>", "x<p>y</p>"):
+        nodes = walk(parse(page))
+        measure(nodes)
+        at = {id(x): i for i, x in enumerate(nodes)}
+        for _ in range(5):
+            log_p = r.normal(size=(len(nodes), 3))
+            best = None
+            for labels in product(range(3), repeat=len(nodes)):
+                fits = all(x.own is None or labels[i] < 2 for i, x in enumerate(nodes)) and all(x.parent is None or labels[at[id(x.parent)]] in (2, labels[i]) for i, x in enumerate(nodes))
+                if fits:
+                    total = sum(log_p[i, k] for i, k in enumerate(labels))
+                    if best is None or total > best[0]:
+                        best = (total, [labels[i] == 0 for i, x in enumerate(nodes) if x.own is not None])
+            decode(nodes, log_p)
+            assert [x.state for x in nodes if x.own is not None] == best[1]
 
 
 def test_deep_pages_keep_their_blocks():

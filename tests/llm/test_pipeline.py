@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seepkit.llm.packing import cut
-from seepkit.llm.quality import fit_votes, posterior
+from seepkit.llm.quality import fit_votes
 from seepkit.llm.staging import materialize
 from seepkit.llm.toxicity import fit_chain, word_buckets
 
@@ -29,6 +29,50 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+CLASHES = {"kept": "string", "m": "int", "quality": "double", "is_toxic": "string", "p_toxic": "string", "base_failed": "int", "__h": "int", "__new": "string", "__tag": "string", "__t": "string", "k1": "int", "row": "int", "i": "int", "x": "int", "id": "int", "a.b c": "int"}
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty, long and repeated texts, and columns with names that operators use."""
+    r = random.Random(3)
+    words = lambda n: " ".join("".join(r.choice("aeioustrnl") for _ in range(r.randint(3, 8))) for _ in range(n))
+    texts = [words(60) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10, texts[0] + " more"), (11, None), (12, ""), (13, " \n "), (14, words(30_000)), (0, texts[0]), (None, texts[1]), (None, None), (15, "two words"), (2, texts[3])]
+    made = [(k, t, "en", "s", 5, *(None if kind != "int" else j + len(t or "") for j, kind in enumerate(CLASHES.values()))) for k, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` {k}" for c, k in CLASHES.items())
+    made.append((16, texts[5], None, None, None, *[None] * len(CLASHES)))
+    return spark.createDataFrame(made, schema)
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as c
+
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1), (None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd_documents(spark)
+    own = [x for x in docs.columns if x not in ("text", "n_chars")]
+    key = lambda row: tuple(str(row[x]) for x in own)
+    before = Counter(map(key, docs.collect()))
+    kept = {}
+    for name, stage in c.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        assert [t for _, t in got.dtypes] == [t for _, t in docs.dtypes], name
+        rows = got.collect()
+        assert not Counter(map(key, rows)) - before, name  # the other columns are passed on as they are
+        kept[name] = Counter((x.doc_id, x.text) for x in rows)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    all_rows = Counter((x.doc_id, x.text) for x in docs.collect())
+    assert not any(not (t or "").strip() or t == "two words" for _, t in kept["quality rules"])
+    single = kept["n-gram Jaccard join"]
+    assert single[None, None] == 1
+    assert single[11, None] == single[12, ""] == single[13, " \n "] == 1
+    assert (10, next(t for k, t in all_rows if k == 10)) not in single
+    assert sum(kept["substring dedup"].values()) == sum(all_rows.values())
+    packed = c.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert Counter(x.doc_id for x in packed if x.piece == 0) == Counter(x.doc_id for x in docs.collect())
+    assert c.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
@@ -59,8 +103,8 @@ def brute_quality(rows):
             1 if 3 <= length <= 9 else 0 if length < 2 or length > 14 else None,
         )
         judged.append((k, t, votes, n < 20 or 100 * repeated > 30 * n))
-    prior, rates = fit_votes(sorted(Counter(v for _, _, v, failed in judged if not failed).items(), key=str))
-    return [(k, t) for k, t, v, failed in judged if not failed and posterior(v, prior, rates) >= 0.5]
+    model = fit_votes(sorted(Counter(v for _, _, v, failed in judged if not failed).items(), key=str))
+    return [(k, t) for k, t, v, failed in judged if not failed and model.posterior(v)[0] >= 0.5]
 
 
 def brute_one_of_each(rows):

@@ -55,6 +55,22 @@ def thaw(spark: SparkSession, path: str, expected: tuple[int, int, int]) -> Data
     return df
 
 
+def agreement(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ``agree``: whether two independent results both have a row of these keys, with equal cells.
+
+    Null cells are equal to each other; a key that one side lacks, or that either has with several
+    cells, doesn't agree throughout.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rest = [c for c in sorted(df.columns) if c not in keys]
+        return df.select(*keys, F.struct(F.lit(1).alias("there"), *rest).alias(name))
+
+    joined = side(one, "__one").join(side(two, "__two"), keys, "full")
+    agree = F.coalesce(F.col("__one").eqNullSafe(F.col("__two")) & F.col("__one").isNotNull(), F.lit(False))
+    return joined.select(*keys, agree.alias("agree"))
+
+
 STEPS = ("contact_pairs", "percolation_curve", "min_fill", "pareto_part")
 
 

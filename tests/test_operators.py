@@ -8,7 +8,7 @@ from seepkit.functions.rng import u01
 from seepkit.operators import optimise, percolation
 from seepkit.operators.connectivity import NotConverged, components
 from seepkit.operators.inference import min_fill, with_clopper_pearson, with_wilson
-from seepkit.plans.steps import GateFailed, digest, freeze, gate, run_steps, thaw
+from seepkit.plans.steps import GateFailed, agreement, digest, freeze, gate, run_steps, thaw
 
 
 def least(edges):
@@ -155,6 +155,13 @@ def test_digests_see_nulls_and_cells(spark):
     assert digest(spark.createDataFrame([], "x string, y string")) == (0, 0, 0)
 
 
+def test_agreement(spark):
+    one = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1), (4, None, None)], "k int, x string, y int")
+    two = spark.createDataFrame([(None, 1, "a"), (2, 2, "b"), (None, 4, None), (1, 5, "e")], "y int, k int, x string")
+    assert {r.k: r.agree for r in agreement(one, two, ["k"]).collect()} == {1: True, 2: False, 3: False, 4: True, 5: False}
+    assert agreement(one.limit(0), two.limit(0), ["k"]).count() == 0
+
+
 def test_steps(spark, tmp_path, capsys):
     sf = "/root/testdata/sf0.001"
     assert list(run_steps(spark, sf, 4, 4, out=str(tmp_path))) == ["pareto_part"]

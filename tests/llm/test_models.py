@@ -135,6 +135,39 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_languages_equal_brute_force(spark):
+    """Naive Bayes with counts in dictionaries, a document at a time."""
+    import math
+    import zlib
+    from collections import defaultdict
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "abijklmn"}
+    rows = [(i, " ".join("".join(r.choice(letters[x]) for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 12))), x) for i, x in enumerate(r.choice(list(letters)) for _ in range(400))]
+    rows += [(1000, "ABC def", None), (1001, "𠀀𰀀", "aa"), (1002, "\U00030000", "aa")]
+    counts, docs = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    grams = {k: features(pa.array([t]))[0].tolist() for k, t, _ in rows}
+    for k, _, x in rows:
+        if x and zlib.crc32(str(k).encode()) % 3 != 1:
+            docs[x] += 1
+            for g in grams[k]:
+                counts[x][g] += 1
+    got = {x.doc_id: x for x in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for k, _, _ in rows:
+        logs = {}
+        for x in sorted(docs):
+            total = sum(counts[x].values()) + language.SMOOTHING * language.BUCKETS
+            logs[x] = math.log(docs[x] / sum(docs.values())) + sum(math.log((counts[x][g] + language.SMOOTHING) / total) for g in grams[k])
+        best = max(logs, key=logs.get)
+        ranked = sorted(logs.values())
+        assert got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1)
+        if ranked[-1] - ranked[-2] > 1e-3:
+            assert got[k].lang_pred == best
+        assert got[k].score == pytest.approx(1 / sum(math.exp(v - ranked[-1]) for v in logs.values()), abs=2e-3)
+
+
 def test_language_of_odd_rows(spark):
     rows = [(i, t, x, 5) for i, (t, x) in enumerate([("the cat sat on the mat", "en"), ("le chat est sur la table", "fr")] * 20 + [(None, "en"), ("", "fr"), ("123 !!", None), ("the", None), ("x\ny", "en")])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred int")

@@ -47,7 +47,7 @@ from seepkit.operators.connectivity import components
 
 WORDS, PERCENT = 5, 80
 #: (least set size, share of hashes that are sampled), falling.
-SHARES = ((0, 1.0), (256, 0.5))
+SHARES = ((0, 1.0), (256, 0.5), (1024, 0.4), (2048, 0.35), (4096, 0.3))
 FULL = ((0, 1.0),)
 #: Frequencies from which 2, 3, ... tokens are combined.
 OFTEN = (64,)
@@ -325,7 +325,7 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 class Classes:
-    """``rows`` (uid, id, x, n, d1, d2; one a row of the table, x a hash of the text) and ``labels``
+    """``rows`` (uid, id, x, n, d1, d2, stands; one a row of the table, x a hash of the text) and ``labels``
     (d1, d2, comp) of all classes with an id: the least id that links reach."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, shares: tuple = SHARES):
@@ -335,6 +335,9 @@ class Classes:
         rows = self._read(shares)
         owner = materialize(self._owner(rows), "owners")
         signed = self._index(rows, owner, shares)
+        whole, stands = rows, F.col("counts").isNotNull().alias("stands")
+        rows = self.rows = materialize(rows.select("uid", "id", "x", "n", "d1", "d2", stands), "sizes")
+        discard(whole)  # the tokens are the largest of the tables
         weak = frozenset(r["level"] for r in signed.filter("s is null").select("level").distinct().collect())  # at most one a level
         usable = signed.filter("s is not null").select("uid", "s", "level")
         again = []
@@ -352,7 +355,7 @@ class Classes:
         discard(signed, first, *again)
         families = components(shared.filter("uid <> pivot").select("uid", "pivot").distinct(), "uid", "pivot").select(F.col("node").alias("uid"), F.col("comp").alias("family"))
         marks = shared.groupBy("uid").agg(F.collect_list("s").alias("marks"))
-        wanted = rows.filter("counts is not null").select("uid", "id", "n", "d1", "d2").join(families, "uid").join(marks, "uid")
+        wanted = rows.filter("stands").select("uid", "id", "n", "d1", "d2").join(families, "uid").join(marks, "uid")
         wanted = materialize(wanted, "wanted")
         sets = self.source.select("id", "t").mapInArrow(_sets(Filter(wanted, "id")), "d1 long, d2 long, tokens array<long>")
         members = materialize(sets.join(wanted.drop("id"), ["d1", "d2"]).drop("d1", "d2").dropDuplicates(["uid"]), "members")
@@ -364,8 +367,7 @@ class Classes:
         roots = joined.join(least, ["d1", "d2"]).groupBy("root").agg(F.min("least").alias("top"))
         linked = joined.join(roots, "root").select("d1", "d2", "top")
         self.labels = least.join(linked, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("top", "least").alias("comp"))
-        self.rows = materialize(rows.select("uid", "id", "x", "n", "d1", "d2"), "sizes")
-        discard(rows, owner, members, *used)
+        discard(owner, members, *used)
 
     def _read(self, shares: tuple, only: frozenset | None = None) -> DataFrame:
         schema = "uid long, id long, x long, n long, d1 long, d2 long, tokens array<long>, counts array<long>"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +24,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, wait: float = 0.4) -> None:
+    """Let finished jobs' shuffle files go, and wait for the cleaner's thread before more are written."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(wait)
 
 
 def file_system(uri: str):

@@ -27,7 +27,7 @@ from seepkit.llm.staging import materialize
 
 #: Vectors that the tree is fitted on, those that calibrate it, the share of true neighbours they
 #: must find, branches of a node, rows aimed at per leaf, and the sizes of blocks.
-SAMPLE, CALIBRATE, TARGET, BRANCHES, LEAF, LEAF_BLOCK, QUERY_BLOCK = 20_000, 300, 0.97, 8, 200, 8_192, 2_048
+SAMPLE, CALIBRATE, TARGET, BRANCHES, LEAF, LEAF_BLOCK, QUERY_BLOCK = 20_000, 300, 0.97, 8, 200, 2_048, 2_048
 
 
 class Tree:

@@ -85,6 +85,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from seepkit.llm.lexicon import build_lexicon, round_trip_digest
+
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")
+    return round_trip_digest(docs, path, build_lexicon(docs, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 

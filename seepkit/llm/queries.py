@@ -94,6 +94,12 @@ def op11_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(docs, path, build_lexicon(docs, path))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seepkit.llm.conversations import repair_digest
+
+    return repair_digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 

@@ -100,6 +100,12 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digest(table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seepkit.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 

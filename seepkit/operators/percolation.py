@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seepkit.functions.rng import u01
+from seepkit.operators.contact import contacts, touches
+from seepkit.operators.forest import UnionFind, bottlenecks
 
 
 def sample_points(spark: SparkSession, seed: int, trials: int, n: int) -> DataFrame:
@@ -34,22 +36,6 @@ def prefix(particles: DataFrame, n: int) -> DataFrame:
     return particles.filter(F.col("i") < n)
 
 
-class UnionFind:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
 def critical_fill(points: DataFrame, reach: float) -> DataFrame:
     """trial, crit: the least number of points, in order, that join x <= reach to x >= 1 - reach.
 
@@ -61,7 +47,7 @@ def critical_fill(points: DataFrame, reach: float) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         n = len(pdf)
-        sets, cells = UnionFind(n + 2), {}
+        sets, cells = UnionFind(), {}
         crit = None
         for j, (x, y) in enumerate(zip(pdf["x"], pdf["y"], strict=True)):
             cx, cy = int(x / reach), int(y / reach)
@@ -83,6 +69,26 @@ def critical_fill(points: DataFrame, reach: float) -> DataFrame:
     return points.groupBy("trial").applyInPandas(one, "trial long, crit long")
 
 
+#: Nodes that stand for the two faces; bodies are numbered from 0.
+FACES = (-1, -2)
+
+
+def cylinder_fill(bodies: DataFrame, tol: float, axis: str = "x", low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """trial, crit: the least number of cylinders, in the order of ``i`` (0, 1, ...), that join the face
+    ``axis = low`` to the face ``axis = high``; null for trials that never span.
+
+    bodies: trial, i, body. An edge counts from its later body on, so the answer is the least largest edge
+    on a way from face to face: a bottleneck in the minimum spanning forest of all contacts. No task holds
+    a trial (``forest``), however many bodies it has.
+    """
+    later = F.greatest("i", "j") + 1
+    edges = contacts(bodies, tol).select("trial", F.col("i").alias("u"), F.col("j").alias("v"), later.alias("w"))
+    for face, (at, sign) in zip(FACES, ((low, -1), (high, 1)), strict=True):
+        edges = edges.union(touches(bodies, axis, at, sign, tol).select("trial", F.lit(face).alias("u"), F.col("i").alias("v"), F.col("i") + 1))
+    found = bottlenecks(edges, *FACES).withColumnRenamed("w", "crit")
+    return bodies.select(F.col("trial").cast("long").alias("trial")).distinct().join(found, "trial", "left")
+
+
 def spans(crit: DataFrame, n: int) -> DataFrame:
     """trial, hit: whether the design of n particles spans."""
     return crit.select("trial", F.coalesce(F.col("crit") <= n, F.lit(False)).alias("hit"))

@@ -167,18 +167,19 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POINTS = f"SELECT user_id AS trial, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, event_id, {_sql_u('event_id::VARCHAR || ' + chr(39) + ':x' + chr(39))} AS x, {_sql_u('event_id::VARCHAR || ' + chr(39) + ':y' + chr(39))} AS y FROM events"
 
 
-def _upright(rows: DataFrame, trial: str, i: str, r: float, h: float) -> DataFrame:
-    """trial, i and body: cylinders with vertical axes, placed in the unit cube by their ids."""
+def _upright(rows: DataFrame, trial: str, i: str, r: float, h: float, place: str | None = None) -> DataFrame:
+    """trial, i (or the column ``place``) and body: cylinders with vertical axes, placed in the unit cube by
+    their ids."""
     centre = {f"c{k}": u01(SEED, i, F.lit(k)) for k in "xyz"}
     fields = centre | {"ax": F.lit(0.0), "ay": F.lit(0.0), "az": F.lit(1.0), "r": F.lit(r), "h": F.lit(h)}
-    return rows.select(F.col(trial).alias("trial"), F.col(i).alias("i"), F.struct(*(c.alias(k) for k, c in fields.items())).alias("body"))
+    return rows.select(F.col(trial).alias("trial"), F.col(place or i).alias("i"), F.struct(*(c.alias(k) for k, c in fields.items())).alias("body"))
 
 
-def _sql_upright(rows: str, trial: str, i: str, r: float, h: float, tol: float) -> str:
+def _sql_upright(rows: str, trial: str, key: str, r: float, h: float, tol: float, i: str | None = None) -> str:
     """The same bodies, and their contacts: beside each other by r, above each other by h."""
-    at = ", ".join(f"{_sql_u(f'{i}::VARCHAR || {chr(39)}:{k}{chr(39)}')} AS c{k}" for k in "xyz")
+    at = ", ".join(f"{_sql_u(f'{key}::VARCHAR || {chr(39)}:{k}{chr(39)}')} AS c{k}" for k in "xyz")
     beside, above = f"greatest(0, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) - {2 * r!r})", f"greatest(0, abs(a.cz - b.cz) - {2 * h!r})"
-    return f"""bodies AS (SELECT {trial} AS trial, {i} AS i, {at} FROM {rows}),
+    return f"""bodies AS (SELECT {trial} AS trial, {i or key} AS i, {at} FROM {rows}),
 touching AS (SELECT * FROM (SELECT a.trial, a.i, b.i AS j, sqrt({beside} ** 2 + {above} ** 2) AS dist FROM bodies a JOIN bodies b ON a.trial = b.trial AND a.i < b.i) WHERE dist <= {tol!r})"""
 
 
@@ -190,7 +191,7 @@ _EVENTS = _sql_upright("events", "user_id", "event_id", *_EVENT_BODY)
 def contact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, h, tol = _EVENT_BODY
     bodies = _upright(table(spark, sf_dir, "events", "user_id", "event_id"), "user_id", "event_id", r, h)
-    return contact.contacts(bodies, tol, r + h).withColumn("dist", _r("dist", 5))
+    return contact.contacts(bodies, tol).withColumn("dist", _r("dist", 5))
 
 
 @query(f"""WITH RECURSIVE {_EVENTS}, both_ways AS (SELECT i AS src, j AS dst FROM touching UNION ALL SELECT j, i FROM touching),
@@ -213,7 +214,7 @@ ends AS (SELECT trial FROM bodies WHERE cx - {_THICK[0]} <= 0.0 UNION SELECT tri
 SELECT trial, trial IN (SELECT r.trial FROM reach r JOIN bodies b ON b.trial = r.trial AND b.i = r.i WHERE b.cx + {_THICK[0]} >= 1.0) AS hit FROM ends""")
 def upright_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = _thick(spark, sf_dir)
-    edges = contact.contacts(bodies, _THICK[2], sum(_THICK[:2]))
+    edges = contact.contacts(bodies, _THICK[2])
     return contact.connected(edges, contact.touches(bodies, "x", 0.0, -1), contact.touches(bodies, "x", 1.0, 1))
 
 
@@ -269,6 +270,27 @@ def percolation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percolation.percolation_curve(critical_fill(spark, sf_dir), FILLS).withColumn("p_hat", _r("p_hat"))
 
 
+_TUBE = (0.11, 0.11, 0.01)
+_PLACED = "(SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events)"
+_FILL = f"""{_sql_upright(_PLACED, "user_id", "event_id", *_TUBE, i="place")},
+steps AS (SELECT trial, i AS s, j AS d FROM touching UNION ALL SELECT trial, j, i FROM touching),
+walk AS (SELECT trial, i AS node, i AS m FROM bodies WHERE cx - {_TUBE[0]!r} <= {_TUBE[2]!r} UNION SELECT w.trial, e.d, greatest(w.m, e.d) FROM walk w JOIN steps e ON e.trial = w.trial AND e.s = w.node),
+crit AS (SELECT t.trial, c.crit FROM (SELECT DISTINCT trial FROM bodies) t LEFT JOIN (SELECT w.trial, min(w.m) + 1 AS crit FROM walk w JOIN bodies b ON b.trial = w.trial AND b.i = w.node AND b.cx + {_TUBE[0]!r} >= 1 - {_TUBE[2]!r} GROUP BY w.trial) c ON c.trial = t.trial)"""
+
+
+@query(f"WITH RECURSIVE {_FILL} SELECT trial, crit FROM crit")
+def cylinder_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upright cylinders, each user's events in order, until they join two faces of the unit cube."""
+    placed = _points(spark, sf_dir).select("trial", "i", "event_id")
+    bodies = _upright(placed, "trial", "event_id", *_TUBE[:2], place="i")
+    return percolation.cylinder_fill(bodies, _TUBE[2])
+
+
+@query(f"WITH RECURSIVE {_FILL} SELECT *, round(k / trials, 8) AS p_hat FROM ({_CURVE})")
+def cylinder_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percolation.percolation_curve(cylinder_fill(spark, sf_dir), FILLS).withColumn("p_hat", _r("p_hat"))
+
+
 _LEVEL = 0.05 / len(FILLS)
 
 
@@ -327,7 +349,7 @@ def capsule_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cylinder_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contact.contacts(_bodies(spark, sf_dir), 0.0, 0.2).withColumn("dist", _r("dist", 6))
+    return contact.contacts(_bodies(spark, sf_dir)).withColumn("dist", _r("dist", 6))
 
 
 @query(f"""WITH {_BODIES} SELECT trial, i FROM bodies WHERE cx + h * abs(ax) + r * sqrt(greatest(0, 1 - ax * ax)) >= 0.95""")
@@ -338,7 +360,7 @@ def touching_face(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cylinder_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = _bodies(spark, sf_dir)
-    return contact.connected(contact.contacts(bodies, 0.02, 0.2), contact.touches(bodies, "x", 0.1, -1), contact.touches(bodies, "x", 0.9, 1))
+    return contact.connected(contact.contacts(bodies, 0.02), contact.touches(bodies, "x", 0.1, -1), contact.touches(bodies, "x", 0.9, 1))
 
 
 _KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}

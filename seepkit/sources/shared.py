@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Used only in local mode where the session names no checkpoint folder (tests, laptops).
 LOCAL_DEFAULT = "/tmp/seepkit-checkpoints"
@@ -27,11 +27,26 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet, and read again."""
-    path, schema = new_path(df.sparkSession, name), df.schema
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
+    return saved_with(df, name)[0]
+
+
+def saved_with(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``saved``, with aggregates over all rows that are taken while they are written: no second scan."""
+    path = new_path(df.sparkSession, name)
+    found = write_observed(df, path, **metrics)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged = path
-    return out
+    return out, found
+
+
+def write_observed(df: DataFrame, path: str, **metrics: Column) -> dict:
+    """Write ``df`` as Parquet and return the aggregates over the rows written."""
+    if not metrics:
+        df.write.mode("overwrite").parquet(path)
+        return {}
+    seen = Observation()
+    df.observe(seen, *(c.alias(k) for k, c in metrics.items())).write.mode("overwrite").parquet(path)
+    return seen.get
 
 
 def discard(*tables: DataFrame) -> None:

@@ -263,7 +263,8 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     words = materialize(word_counts(docs).filter(f"n >= {OCCURRENCES}"), "words")
     folder = new_path(spark, "tries")
     shards = write_shards(words, folder)
-    found = materialize(neighbours(words.repartition("word"), shards), "neighbours")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // WALKERS))
+    found = materialize(neighbours(words.repartition(parts, "word"), shards), "neighbours")
     delete(spark, folder)
     linked = roots(found, found.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
     word, form, root = (F.decode(c, "ISO-8859-1").alias(c) for c in ("word", "form", "root"))

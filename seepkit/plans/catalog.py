@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seepkit.functions.geometry import capsule_gap, support
+from seepkit.functions.geometry import capsule_gap, distance_bounds, support
 from seepkit.functions.inference import z_value
 from seepkit.functions.rng import u01
 from seepkit.operators import contact, inference, optimise, percolation
@@ -347,17 +347,65 @@ def capsule_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "i").select("i", "j", _r(capsule_gap(F.col("a"), F.col("b")), 6).alias("gap"))
 
 
-@query()
+def _sql_nearest(source: str, point: str, body: str, out: str) -> str:
+    """The rows of ``source`` with the point of a body nearest to a point of the row."""
+    xyz = "xyz"
+    offset = ", ".join(f"{point}{k} - {body}.c{k} AS d{k}" for k in xyz)
+    height = " + ".join(f"d{k} * {body}.a{k}" for k in xyz)
+    side = ", ".join(f"d{k} - t * {body}.a{k} AS s{k}" for k in xyz)
+    place = ", ".join(f"{body}.c{k} + greatest(-{body}.h, least({body}.h, t)) * {body}.a{k} + CASE WHEN n <= {body}.r THEN s{k} ELSE s{k} * {body}.r / n END AS {out}{k}" for k in xyz)
+    return f"""SELECT * EXCLUDE (dx, dy, dz, t, sx, sy, sz, n), {place} FROM (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS n FROM
+(SELECT *, {side} FROM (SELECT *, {height} AS t FROM (SELECT *, {offset} FROM {source}))))"""
+
+
+def _sql_distances(tol: float, rounds: int = 600) -> str:
+    """Distances of bodies that are near enough for their spheres, by projections from one to the other and back,
+    with momentum that starts anew when it leads uphill."""
+    xyz = "xyz"
+    dot = lambda a, b: " + ".join(f"({a.format(k)}) * ({b.format(k)})" for k in xyz)
+    there = _sql_nearest("(SELECT w.*, c.a, c.b FROM way w JOIN near c USING (trial, i, j) WHERE k < " + str(rounds) + ")", "y", "b", "q")
+    back = _sql_nearest(f"({there})", "q", "a", "p")
+    uphill = dot("y{0} - p{0}", "p{0} - x{0}") + " > 0"
+    apart = dot("x{0} - q{0}", "x{0} - q{0}")
+    last = _sql_nearest(f"(SELECT w.*, c.a, c.b FROM way w JOIN near c USING (trial, i, j) WHERE k = {rounds})", "x", "b", "q")
+    return f"""near AS (SELECT a.trial, a.i, b.i AS j, a, b FROM bodies a JOIN bodies b ON a.trial = b.trial AND a.i < b.i
+AND sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.cz - b.cz) ** 2) <= sqrt(a.r * a.r + a.h * a.h) + sqrt(b.r * b.r + b.h * b.h) + {tol!r}),
+way AS (SELECT trial, i, j, a.cx AS xx, a.cy AS xy, a.cz AS xz, a.cx AS yx, a.cy AS yy, a.cz AS yz, 1.0::DOUBLE AS m, 0 AS k FROM near UNION ALL
+SELECT trial, i, j, px, py, pz, {', '.join(f'p{k} + f * (p{k} - x{k})' for k in xyz)}, g, k + 1 FROM (SELECT *, CASE WHEN up THEN 0.0 ELSE (m - 1) / g END AS f FROM
+(SELECT *, CASE WHEN up THEN 1.0 ELSE (1 + sqrt(1 + 4 * m * m)) / 2 END AS g FROM (SELECT *, {uphill} AS up FROM ({back}))))),
+gaps AS (SELECT trial, i, j, sqrt({apart}) AS dist FROM ({last}))"""
+
+
+@query(f"WITH RECURSIVE {_BODIES}, {_sql_distances(0.0)} SELECT trial, i, j, round(dist, 6) AS dist FROM gaps WHERE dist <= 1e-8")
 def cylinder_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contact.contacts(_bodies(spark, sf_dir)).withColumn("dist", _r("dist", 6))
 
 
+_NEAR = 0.02
+
+
+@query(f"WITH RECURSIVE {_BODIES}, {_sql_distances(_NEAR)} SELECT trial, i, j, round(dist, 5) AS dist, true AS agree FROM gaps WHERE dist <= {_NEAR!r}")
+def cylinder_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances by Gilbert-Johnson-Keerthi, and whether they lie within the bounds that projections give."""
+    found = contact.gjk_distance(contact.candidates(_bodies(spark, sf_dir), _NEAR)).filter(F.col("dist") <= _NEAR)
+    bounds = found.withColumn("bounds", distance_bounds(F.col("a"), F.col("b")))
+    agree = (F.col("dist") >= F.col("bounds.lo") - 1e-6) & (F.col("dist") <= F.col("bounds.hi") + 1e-6) & (F.col("bounds.hi") - F.col("bounds.lo") <= 1e-4)
+    return bounds.select("trial", "i", "j", _r("dist", 5).alias("dist"), agree.alias("agree"))
+
+
 @query(f"""WITH {_BODIES} SELECT trial, i FROM bodies WHERE cx + h * abs(ax) + r * sqrt(greatest(0, 1 - ax * ax)) >= 0.95""")
 def touching_face(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contact.touches(_bodies(spark, sf_dir), "x", 0.95, 1)
 
 
-@query()
+_ENDS = "SELECT trial, i FROM bodies WHERE cx {0} (h * abs(ax) + r * sqrt(greatest(0, 1 - ax * ax))) {1}"
+
+
+@query(f"""WITH RECURSIVE {_BODIES}, {_sql_distances(_NEAR)}, touching AS (SELECT trial, i, j FROM gaps WHERE dist <= {_NEAR!r}),
+both_ways AS (SELECT trial, i, j FROM touching UNION ALL SELECT trial, j, i FROM touching), low AS ({_ENDS.format('-', '<= 0.1')}), high AS ({_ENDS.format('+', '>= 0.9')}),
+reach AS (SELECT trial, i FROM low UNION SELECT r.trial, b.j FROM reach r JOIN both_ways b ON b.trial = r.trial AND b.i = r.i),
+ends AS (SELECT trial FROM low UNION SELECT trial FROM high UNION SELECT trial FROM touching)
+SELECT trial, trial IN (SELECT r.trial FROM reach r JOIN high h ON h.trial = r.trial AND h.i = r.i) AS hit FROM ends""")
 def cylinder_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = _bodies(spark, sf_dir)
     return contact.connected(contact.contacts(bodies, 0.02), contact.touches(bodies, "x", 0.1, -1), contact.touches(bodies, "x", 0.9, 1))

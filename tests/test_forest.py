@@ -88,7 +88,7 @@ def test_no_task_holds_a_large_trial(spark, monkeypatch):
     assert bottlenecks(df, 0, 20_000).first().w == 976
 
 
-def test_bodies_of_mixed_size_meet(spark, monkeypatch):
+def test_bodies_of_mixed_size_meet(spark):
     from seepkit.operators import contact
 
     r = random.Random(12)
@@ -107,8 +107,6 @@ def test_bodies_of_mixed_size_meet(spark, monkeypatch):
         for u, j, b in known[n + 1 :]:
             if t == u and contact.gjk_distance_pair(a, b) <= 0.02:
                 want.add((t, i, j))
-    for crowd in (2_048, 3):
-        monkeypatch.setattr(contact, "CROWD", crowd)
-        got = [(x.trial, x.i, x.j) for x in contacts(df, 0.02).collect()]
-        assert len(got) == len(set(got))
-        assert set(got) == want
+    got = [(x.trial, x.i, x.j) for x in contacts(df, 0.02).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seepkit.sources.shared import discard, saved
+from seepkit.sources.shared import discard, saved, saved_with
 
 
 class NotConverged(RuntimeError):
@@ -41,11 +41,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        graph = saved(small, "stars")
+        graph, state = saved_with(small, "stars", n=F.count(F.lit(1)), total=F.sum(F.hash("u", "v").cast("long")), mixed=F.bit_xor(F.xxhash64("u", "v")))
         if stale is not None:
             discard(stale)
         stale = graph
-        state = graph.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == last:  # a round that changes nothing: every node points at its component's least
             break
         last = state

@@ -47,9 +47,9 @@ class UnionFind:
 
 
 def _edges(edges: DataFrame) -> DataFrame:
-    """Edges with u < v; loops and rows with a null are left out."""
+    """Edges with u < v, written once; loops and rows with a null are left out."""
     known = edges.select(*(F.col(c).cast("long") for c in ("trial", "u", "v", "w"))).dropna().filter("u <> v")
-    return known.select("trial", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w")
+    return saved(known.select("trial", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w"), "edges")
 
 
 def _reduced(edges: DataFrame, ends: tuple[int, int] | None) -> DataFrame:
@@ -119,7 +119,9 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     edges: trial, u, v, w, integers; parallel edges, loops and rows with a null don't matter; an empty list
     gives none. The result is a table in the shared folder.
     """
-    first = saved(_reduced(_edges(edges), None), "edges")
+    given = _edges(edges)
+    first = saved(_reduced(given, None), "edges")
+    discard(given)
     forest = first.filter("whole").drop("whole")
     graph, staged = saved_with(first.filter("NOT whole").select("trial", "u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")), "edges", n=F.count(F.lit(1)))
     parts, picked = [], staged["n"]
@@ -148,7 +150,9 @@ def bottlenecks(edges: DataFrame, source: int, target: int) -> DataFrame:
     node had as its least edge out. So the answer is the largest of the least edges out of the source's and
     the target's components, over the rounds until they are one.
     """
-    first = saved(_reduced(_edges(edges), (source, target)), "edges")
+    given = _edges(edges)
+    first = saved(_reduced(given, (source, target)), "edges")
+    discard(given)
     found = first.filter("whole").select("trial", "w")
     graph, seen = saved_with(first.filter("NOT whole").select("trial", "u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")), "edges", n=F.count(F.lit(1)))
     marks = saved(graph.select("trial", F.lit(source).cast("long").alias("s"), F.lit(target).cast("long").alias("t"), F.lit(None).cast("long").alias("worst")).distinct(), "marks")

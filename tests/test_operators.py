@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,9 +94,10 @@ def test_fronts_keep_ties(spark):
     assert optimise.pareto_2d(df.limit(0), "x", "y").count() == 0
 
 
-@pytest.mark.parametrize("merged", [0, 10**6])
-def test_fronts_equal_brute_force(spark, monkeypatch, merged):
-    monkeypatch.setattr(optimise, "MERGED", merged)
+@pytest.mark.parametrize("held", [20, 10**6])
+def test_fronts_equal_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(optimise, "HELD", held)
+    monkeypatch.setattr(optimise, "RANGE", held)
     r = random.Random(5)
     rows = [(i, float(r.randint(0, 12)), r.randint(0, 12), r.random()) for i in range(800)] + [(900, None, 1, 0.0)]
     df = spark.createDataFrame(rows, "id int, a double, b int, c double").repartition(9)
@@ -178,3 +180,47 @@ def test_steps(spark, tmp_path, capsys):
     assert not (tmp_path / "none").exists()
     with pytest.raises(ValueError):
         run_steps(spark, sf, 3, 9)
+
+
+def _unbeaten(v):
+    return {tuple(x) for x in v if not ((v <= x).all(1) & (v < x).any(1)).any()}
+
+
+@pytest.mark.parametrize("kind", ["correlated", "anticorrelated", "ties"])
+def test_fronts_over_cells(spark, monkeypatch, kind):
+    """Fronts of few and of nearly all points; no join without keys, no single task."""
+    monkeypatch.setattr(optimise, "HELD", 64)
+    r = np.random.default_rng(3)
+    base = r.random((1500, 1))
+    v = {"correlated": base + 0.05 * r.random((1500, 3)), "anticorrelated": r.dirichlet([1, 1, 1], 1500), "ties": r.integers(0, 9, (1500, 3)) / 8}[kind]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(v)], "o0 int, a double, b double, c double").repartition(6)
+    front = optimise.pareto_kd(df, ["a", "b", "c"])
+    want = _unbeaten(v)
+    got = front.collect()
+    assert {(x.a, x.b, x.c) for x in got} == want
+    assert len(got) == sum(tuple(x) in want for x in v)
+    plans = []
+    saved = optimise.saved
+
+    def watched(plan, name):
+        plans.append(plan._jdf.queryExecution().toString())
+        return saved(plan, name)
+
+    monkeypatch.setattr(optimise, "saved", watched)
+    optimise.pareto_kd(df, ["a", "b", "c"]).collect()
+    assert plans
+    assert not any(x in p for p in plans for x in ("NestedLoop", "CartesianProduct", "SinglePartition", "Coalesce 1"))
+
+
+def test_ranges_follow_the_abscissas(spark):
+    """A heavy tail: equal widths would put nearly all in one range."""
+    r = np.random.default_rng(4)
+    x = (1 - r.random(40_000)) ** -2.0
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    cuts = optimise.splitters(df, "x", 40)
+    sizes = sorted(z["count"] for z in df.groupBy(optimise.part_of(F.col("x"), cuts).alias("part")).count().collect())
+    assert len(sizes) == 40
+    assert sizes[-1] <= 4 * sizes[len(sizes) // 2]
+    want = np.searchsorted(cuts, x, "right")
+    assert [z[0] for z in df.select(optimise.part_of(F.col("x"), cuts)).collect()] == want.tolist()
+    assert optimise.splitters(df.limit(0), "x", 8) == []

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seepkit.functions.inference import bonferroni, clopper_pearson, wilson, z_value
+from seepkit.functions.inference import bonferroni, clopper_pearson, normal_quantile, wilson, z_value
 
 
 def proportions(df: DataFrame, by: list[str], hit: Column) -> DataFrame:
@@ -18,17 +21,29 @@ def with_wilson(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
     return counts.withColumn("w", limits).select("*", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi")).drop("w")
 
 
+@lru_cache(8)
+def _limits(side: str, gateway: int) -> Column:
+    """The exact limits of three columns. Putting the expression together takes longer than some hundred rows."""
+    return clopper_pearson(F.col("__k"), F.col("__n"), F.col("__alpha"), side)
+
+
 def with_clopper_pearson(counts: DataFrame, alpha: float | Column = 0.05, side: str = "both") -> DataFrame:
-    limits = clopper_pearson(F.col("k"), F.col("n"), alpha, side)
-    return counts.withColumn("c", limits).select("*", F.col("c.lo").alias("lo"), F.col("c.hi").alias("hi")).drop("c")
+    """counts, with k and n, and their exact limits lo and hi."""
+    level = F.lit(float(alpha)) if isinstance(alpha, float) else alpha
+    asked = counts.withColumns({"__k": F.col("k"), "__n": F.col("n"), "__alpha": level})
+    found = asked.withColumn("__c", _limits(side, id(SparkContext._gateway)))
+    return found.select(*counts.columns, F.col("__c.lo").alias("lo"), F.col("__c.hi").alias("hi"))
 
 
 def with_bonferroni(counts: DataFrame, alpha: float, m: int | None = None) -> DataFrame:
     """Wilson limits that hold jointly for m groups at level alpha; by default for all of ``counts``,
-    which a job counts first."""
-    m = counts.count() if m is None else m
-    made = with_wilson(counts, alpha / max(1, m))
-    return made.withColumn("alpha_each", bonferroni(alpha, max(1, m)))
+    few rows by nature, which a window counts in the same pass."""
+    if m is not None:
+        made = with_wilson(counts, alpha / max(1, m))
+        return made.withColumn("alpha_each", bonferroni(alpha, max(1, m)))
+    level = bonferroni(alpha, F.count("*").over(Window.partitionBy(F.lit(0))))
+    limits = wilson(F.col("k"), F.col("n"), normal_quantile(1 - F.col("alpha_each") / 2))
+    return counts.withColumn("alpha_each", level).withColumn("w", limits).select(*counts.columns, F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"), "alpha_each")
 
 
 def min_fill(curve: DataFrame, target: float, alpha: float = 0.05, joint: bool = True) -> DataFrame:

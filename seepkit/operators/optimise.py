@@ -215,7 +215,8 @@ def minimax_point(df: DataFrame, objectives: list[str], keys: list[str]) -> Data
 
 def int_scan(spark, unit_costs: list[float], bound: float) -> DataFrame:
     """All tuples x >= 0 of integers with cost c.x <= bound: x1.., cost. Bounds depend on what the
-    earlier variables left, so no tuple beyond the bound is made."""
+    earlier variables left, so no tuple beyond the bound is made. Costs must be above 0."""
+    _positive(unit_costs)
     out = spark.range(1).select(F.lit(0.0).alias("cost"))
     names = []
     for i, c in enumerate(unit_costs, 1):
@@ -230,3 +231,62 @@ def int_scan(spark, unit_costs: list[float], bound: float) -> DataFrame:
 def min_cost(designs: DataFrame, feasible: Column, keys: list[str]) -> DataFrame:
     """The cheapest feasible design; ties to the least keys."""
     return designs.filter(feasible).orderBy("cost", *keys).limit(1)
+
+
+def _positive(unit_costs: list[float]) -> None:
+    if not unit_costs or any(not 0 < c < math.inf for c in unit_costs):
+        raise ValueError(f"unit costs must be numbers above 0: {unit_costs}")
+
+
+def shell(spark, unit_costs: list[float], gains: list[float], need: float, low: float, high: float) -> DataFrame:
+    """Integer tuples x >= 0 with gains.x >= need and low <= costs.x < high: x1.., cost. A branch is made only
+    if what is left of the cost can still bring what is missing, and the last number starts where both the
+    shell and the need begin."""
+    slack = 1e-9 * max(1.0, high)
+    out, names, last = spark.range(1).select(F.lit(0.0).alias("cost"), F.lit(0.0).alias("gain")), [], len(unit_costs)
+    for i, (c, g) in enumerate(zip(unit_costs, gains, strict=True), 1):
+        x, cost, gain = F.col(f"x{i}"), F.col("cost"), F.col("gain")
+        most = F.ceil((F.lit(high) - cost) / c - slack).cast("long") - 1
+        least = F.lit(0).cast("long")
+        if i == last:
+            least = F.greatest(least, F.ceil((F.lit(low) - cost) / c - slack).cast("long"), *([F.ceil((F.lit(need) - gain) / g - slack).cast("long")] if g > 0 else []))
+        made = out.withColumn("least", least).withColumn("most", most).filter("most >= least")
+        out = made.select(*names, "cost", "gain", F.explode(F.sequence("least", "most")).alias(f"x{i}"))
+        names.append(f"x{i}")
+        out = out.select(*names, (cost + x * c).alias("cost"), (gain + x * g).alias("gain"))
+        best = max((q / p for p, q in zip(unit_costs[i:], gains[i:], strict=True)), default=0.0)
+        out = out.filter(F.col("gain") + (F.lit(high) - F.col("cost")) * best >= need - slack)
+        if i == 1:
+            out = out.repartition("x1")  # later numbers are made by many tasks
+    return out.filter((F.col("cost") >= low - slack) & (F.col("cost") < high)).select(*names, "cost")
+
+
+def cheapest_design(spark, unit_costs: list[float], gains: list[float], need: float | None, bound: float, width: float | None = None) -> tuple[DataFrame, dict]:
+    """The cheapest integer tuple with gains.x >= need and costs.x <= bound, ties to the least numbers, in a frame
+    of one row, or none; and what the search took: ``shells``, ``made`` rows.
+
+    Shells of rising cost, ``width`` wide (by default the largest unit cost), are searched from the least cost
+    that any tuple can have that gains enough; the first shell with a tuple in it holds the cheapest. A need
+    of None can't be met.
+    """
+    _positive(unit_costs)
+    names = [f"x{i}" for i in range(1, len(unit_costs) + 1)]
+    schema = ", ".join(f"{n} long" for n in names) + ", cost double"
+    took = {"shells": 0, "made": 0}
+    rate = max(g / c for g, c in zip(gains, unit_costs, strict=True))
+    if need is None or (need > 0 and rate <= 0):
+        return spark.createDataFrame([], schema), took
+    width = max(unit_costs) if width is None else width
+    low = max(0.0, need / rate if need > 0 else 0.0)
+    top = math.nextafter(bound * (1 + 1e-12) + 1e-12, math.inf)
+    while low < top:
+        high = min(low + width, top)
+        found = shell(spark, unit_costs, gains, need, low, high)
+        rounded = F.struct(F.round("cost", 9).alias("cost"), *names)
+        r = found.agg(F.count("*").alias("n"), F.min(rounded).alias("best")).first()  # one row
+        took["shells"] += 1
+        took["made"] += r["n"]
+        if r["n"]:
+            return spark.createDataFrame([(*(int(r["best"][n]) for n in names), float(r["best"]["cost"]))], schema), took
+        low = high
+    return spark.createDataFrame([], schema), took

@@ -19,8 +19,14 @@ def sample_points(spark: SparkSession, seed: int, trials: int, n: int) -> DataFr
 
 
 def sample_cylinders(spark: SparkSession, seed: int, trials: int, n: int, box: float = 1.0, r: float = 0.02, h: float = 0.15) -> DataFrame:
-    """trial, i and struct ``body``: centres uniform in a cube, axes uniform on the sphere."""
-    grid = spark.range(trials).select(F.col("id").alias("trial"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    """``place_cylinders`` for n bodies in each of the trials 0, 1, ..."""
+    return place_cylinders(spark.range(trials).select(F.col("id").alias("trial"), F.lit(n).alias("n")), seed, box, r, h)
+
+
+def place_cylinders(trials: DataFrame, seed: int, box: float = 1.0, r: float = 0.02, h: float = 0.15) -> DataFrame:
+    """trial, i and struct ``body`` for ``n`` bodies (column, null is none) of each ``trial``: centres uniform in a
+    cube, axes uniform on the sphere, a function of seed, trial and i alone."""
+    grid = trials.filter("n > 0").select("trial", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
 
     def u(name: str):
         return u01(seed, "trial", "i", F.lit(name))
@@ -73,20 +79,27 @@ def critical_fill(points: DataFrame, reach: float) -> DataFrame:
 FACES = (-1, -2)
 
 
-def cylinder_fill(bodies: DataFrame, tol: float, axis: str = "x", low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """trial, crit: the least number of cylinders, in the order of ``i`` (0, 1, ...), that join the face
-    ``axis = low`` to the face ``axis = high``; null for trials that never span.
-
-    bodies: trial, i, body. An edge counts from its later body on, so the answer is the least largest edge
-    on a way from face to face: a bottleneck in the minimum spanning forest of all contacts. No task holds
-    a trial (``forest``), however many bodies it has.
-    """
-    later = F.greatest("i", "j") + 1
-    edges = contacts(bodies, tol).select("trial", F.col("i").alias("u"), F.col("j").alias("v"), later.alias("w"))
+def filling_edges(bodies: DataFrame, tol: float, axis: str = "x", low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """trial, u, v, w: contacts of cylinders with each other and with the faces ``axis = low`` and ``axis = high``
+    (nodes ``FACES``), and how many bodies there must be for them: one more than the later one's number."""
+    edges = contacts(bodies, tol).select("trial", F.col("i").alias("u"), F.col("j").alias("v"), (F.greatest("i", "j") + 1).alias("w"))
     for face, (at, sign) in zip(FACES, ((low, -1), (high, 1)), strict=True):
         edges = edges.union(touches(bodies, axis, at, sign, tol).select("trial", F.lit(face).alias("u"), F.col("i").alias("v"), F.col("i") + 1))
+    return edges.select(*(F.col(c).cast("long").alias(c) for c in ("trial", "u", "v", "w")))
+
+
+def fill_of_edges(edges: DataFrame, trials: DataFrame) -> DataFrame:
+    """trial, crit: the weight at which the edges join the two faces, null where they never do. This is the least
+    largest edge on a way from face to face, a bottleneck in the minimum spanning forest; no task holds a
+    trial (``forest``), however many bodies it has. trials: a column ``trial``."""
     found = bottlenecks(edges, *FACES).withColumnRenamed("w", "crit")
-    return bodies.select(F.col("trial").cast("long").alias("trial")).distinct().join(found, "trial", "left")
+    return trials.select(F.col("trial").cast("long").alias("trial")).distinct().join(found, "trial", "left")
+
+
+def cylinder_fill(bodies: DataFrame, tol: float, axis: str = "x", low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """trial, crit: the least number of cylinders, in the order of ``i`` (0, 1, ...), that join the face
+    ``axis = low`` to the face ``axis = high``; null for trials that never span. bodies: trial, i, body."""
+    return fill_of_edges(filling_edges(bodies, tol, axis, low, high), bodies)
 
 
 def spans(crit: DataFrame, n: int) -> DataFrame:

@@ -7,6 +7,7 @@ event a point placed by its id, each embedding a cylinder placed by its id.
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,8 +18,8 @@ from seepkit.functions.inference import z_value
 from seepkit.functions.rng import u01
 from seepkit.operators import contact, inference, optimise, percolation
 from seepkit.operators.connectivity import components
-from seepkit.plans.steps import STEPS, agreement, audit, freeze, gate, marks, run_steps, thaw
-from seepkit.sources.shared import new_path
+from seepkit.plans.steps import STEPS, Step, agreement, audit, freeze, gated, marks, run_steps, thaw
+from seepkit.sources.shared import is_planning, new_path
 from seepkit.sources.tables import table
 
 SEED, REACH, CLOSE = 42, 0.25, 0.05
@@ -143,10 +144,7 @@ _UNITS = "SELECT " + ", ".join(f"round(min(p_retailprice) FILTER (p_size % 3 = {
 
 @query(f"WITH u AS ({_UNITS}) SELECT a.x::INT AS x1, b.x::INT AS x2, c.x::INT AS x3, round(a.x * c0 + b.x * c1 + c.x * c2, 8)::DOUBLE AS cost FROM range(30) a(x), range(30) b(x), range(30) c(x), u WHERE a.x * c0 + b.x * c1 + c.x * c2 <= {_BOUND} + 1e-9")
 def int_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit costs: the least price of three kinds of part, in thousands, with a surcharge by kind."""
-    kinds = [F.round(F.min(F.when(F.col("p_size") % 3 == i, F.col("p_retailprice"))) / 1000 + i, 2) for i in range(3)]
-    costs = list(table(spark, sf_dir, "part", "p_size", "p_retailprice").agg(*kinds).first())  # one row
-    return optimise.int_scan(spark, costs, _BOUND).withColumn("cost", _r("cost"))
+    return optimise.int_scan(spark, _unit_costs(spark, sf_dir), _BOUND).withColumn("cost", _r("cost"))
 
 
 @query(f"""WITH p AS (SELECT count(*) FILTER (p_size <= 10) AS small, count(*) FILTER (p_size > 40) AS large, count(*) AS n FROM part)
@@ -237,9 +235,12 @@ _SAMPLE = ", ".join(f"{_sql_u(f'trial::VARCHAR || {chr(39)}:{chr(39)} || i::VARC
 
 
 @query(f"""SELECT trial, i, round(2.0 * x, 6) AS cx, round(2.0 * y, 6) AS cy, round(2.0 * z, 6) AS cz, round(sqrt(1 - (2 * u - 1) ** 2) * cos(2 * {math.pi!r} * v), 6) AS ax,
-round(sqrt(1 - (2 * u - 1) ** 2) * sin(2 * {math.pi!r} * v), 6) AS ay, round(2 * u - 1, 6) AS az FROM (SELECT t AS trial, i::INT AS i, {_SAMPLE.replace('trial::', 't::')} FROM range(50) a(t), range(25) b(i))""")
+round(sqrt(1 - (2 * u - 1) ** 2) * sin(2 * {math.pi!r} * v), 6) AS ay, round(2 * u - 1, 6) AS az FROM (SELECT trial, i, {_SAMPLE}
+FROM (SELECT trial, unnest(range(n))::INT AS i FROM (SELECT c_nationkey AS trial, count(*) AS n FROM customer GROUP BY 1)) WHERE i < 40)""")
 def sampled_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = percolation.prefix(percolation.sample_cylinders(spark, SEED, 50, 40, box=2.0), 25)
+    """A nation is a trial, with as many cylinders as it has customers; of each the design of the first 40."""
+    trials = table(spark, sf_dir, "customer", "c_nationkey").groupBy(F.col("c_nationkey").alias("trial")).agg(F.count("*").alias("n"))
+    made = percolation.prefix(percolation.place_cylinders(trials, SEED, box=2.0), 40)
     return made.select("trial", "i", *(_r(f"body.{f}", 6).alias(f) for f in ("cx", "cy", "cz", "ax", "ay", "az")))
 
 
@@ -278,12 +279,15 @@ walk AS (SELECT trial, i AS node, i AS m FROM bodies WHERE cx - {_TUBE[0]!r} <=
 crit AS (SELECT t.trial, c.crit FROM (SELECT DISTINCT trial FROM bodies) t LEFT JOIN (SELECT w.trial, min(w.m) + 1 AS crit FROM walk w JOIN bodies b ON b.trial = w.trial AND b.i = w.node AND b.cx + {_TUBE[0]!r} >= 1 - {_TUBE[2]!r} GROUP BY w.trial) c ON c.trial = t.trial)"""
 
 
+def _tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = _points(spark, sf_dir).select("trial", "i", "event_id")
+    return _upright(placed, "trial", "event_id", *_TUBE[:2], place="i")
+
+
 @query(f"WITH RECURSIVE {_FILL} SELECT trial, crit FROM crit")
 def cylinder_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upright cylinders, each user's events in order, until they join two faces of the unit cube."""
-    placed = _points(spark, sf_dir).select("trial", "i", "event_id")
-    bodies = _upright(placed, "trial", "event_id", *_TUBE[:2], place="i")
-    return percolation.cylinder_fill(bodies, _TUBE[2])
+    return percolation.cylinder_fill(_tubes(spark, sf_dir), _TUBE[2])
 
 
 @query(f"WITH RECURSIVE {_FILL} SELECT *, round(k / trials, 8) AS p_hat FROM ({_CURVE})")
@@ -347,6 +351,21 @@ def capsule_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "i").select("i", "j", _r(capsule_gap(F.col("a"), F.col("b")), 6).alias("gap"))
 
 
+_CLOSE = 0.05
+
+
+@query(f"""WITH {_BODIES}, d AS (SELECT a.trial, a.i, b.i AS j, a.h, a.r, a.ax * b.ax + a.ay * b.ay + a.az * b.az AS ab,
+a.ax * (a.cx - b.cx) + a.ay * (a.cy - b.cy) + a.az * (a.cz - b.cz) AS aw, b.ax * (a.cx - b.cx) + b.ay * (a.cy - b.cy) + b.az * (a.cz - b.cz) AS bw,
+(a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.cz - b.cz) ** 2 AS ww FROM bodies a JOIN bodies b ON a.trial = b.trial AND a.i < b.i),
+e AS (SELECT *, (ab * bw - aw) / (1 - ab * ab) AS s0, (bw - ab * aw) / (1 - ab * ab) AS t0,
+least({_AT.format(s='h', t='greatest(-h, least(h, bw + h * ab))')}, {_AT.format(s='-h', t='greatest(-h, least(h, bw - h * ab))')}, {_AT.format(s='greatest(-h, least(h, h * ab - aw))', t='h')}, {_AT.format(s='greatest(-h, least(h, -h * ab - aw))', t='-h')}) AS ends FROM d)
+SELECT * FROM (SELECT trial, i, j, round(sqrt(greatest(0, CASE WHEN abs(s0) <= h AND abs(t0) <= h THEN least(ends, {_AT.format(s='s0', t='t0')}) ELSE ends END)) - 2 * r, 6) AS gap FROM e
+WHERE sqrt(ww) <= 2 * sqrt(r * r + h * h) + {_CLOSE!r}) WHERE gap <= {_CLOSE!r}""")
+def capsule_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of all capsules of a trial that come near each other."""
+    return contact.candidates(_bodies(spark, sf_dir), _CLOSE).select("trial", "i", "j", _r("gap", 6).alias("gap")).filter(F.col("gap") <= _CLOSE)
+
+
 def _sql_nearest(source: str, point: str, body: str, out: str) -> str:
     """The rows of ``source`` with the point of a body nearest to a point of the row."""
     xyz = "xyz"
@@ -411,7 +430,7 @@ def cylinder_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contact.connected(contact.contacts(bodies, 0.02), contact.touches(bodies, "x", 0.1, -1), contact.touches(bodies, "x", 0.9, 1))
 
 
-_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}
+_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id"}
 
 
 @query("""SELECT 'lineitem' AS name, 'discount' AS "check", count(*) AS rows, count(*) FILTER (NOT (l_discount BETWEEN 0 AND 0.1)) AS broken FROM lineitem UNION ALL
@@ -425,7 +444,7 @@ def audit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
-_FROZEN = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")}
+_FROZEN = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")}
 
 
 def _sql_marks(name: str, columns: tuple[str, ...]) -> str:
@@ -448,7 +467,8 @@ def freeze_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
 def gated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
-    return gate("orders", rows, keys=F.col("o_orderkey").isNotNull(), prices=F.col("o_totalprice") >= 0).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    good = gated("orders", rows, new_path(spark, "gated"), keys=F.col("o_orderkey").isNotNull(), prices=F.col("o_totalprice") >= 0)
+    return good.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS step, count(*) AS rows FROM ({ORACLES[n]})" for n in STEPS))
@@ -458,8 +478,77 @@ def stepped_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, [df.agg(F.lit(n).alias("step"), F.count("*").alias("rows")) for n, df in made.items()])
 
 
-@query("SELECT * FROM (VALUES ('contact_pairs', 'trial,i,j,dist'), ('percolation_curve', 'n_fill,k,trials,p_hat'), ('min_fill', 'n_fill')) t(step, names)")
+_PLANS = {"contact_pairs": ("events", "trial,i,j,dist"), "percolation_curve": ("events", "n_fill,k,trials,p_hat"), "min_fill": ("events", "n_fill"), "pareto_part": ("part", "p_partkey,p_retailprice,p_size")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS step, '{t}' AS source, count(*) AS rows, '{c}' AS names FROM {t}" for n, (t, c) in _PLANS.items()))
 def planned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dry run of steps 1 to 3: what they would return."""
-    made = run_steps(spark, sf_dir, 1, 3, dry_run=True)
-    return spark.createDataFrame([(n, ",".join(df.columns)) for n, df in made.items()], "step string, names string")
+    """A dry run of all steps: the tables that each would read, their rows, and the columns it would return."""
+    plans = run_steps(spark, sf_dir, 1, len(STEPS), dry_run=True)
+    read = {n: sorted({re.search(r"/([a-z]+)\.parquet(/|$)", f).group(1) for f in df.inputFiles()}) for n, df in plans.items()}
+    found = [table(spark, sf_dir, t).agg(F.lit(n).alias("step"), F.lit(t).alias("source"), F.count("*").alias("rows"), F.lit(",".join(plans[n].columns)).alias("names")) for n, ts in read.items() for t in ts]
+    return reduce(DataFrame.union, found)
+
+
+_GAINS, _DEAR, _TARGET = [1.0, 2.0, 3.0], 200.0, 0.5
+
+
+def _unit_costs(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The least price of three kinds of part, in thousands, with a surcharge by kind: one row."""
+    kinds = [F.round(F.min(F.when(F.col("p_size") % 3 == i, F.col("p_retailprice"))) / 1000 + i, 2) for i in range(3)]
+    return list(table(spark, sf_dir, "part", "p_size", "p_retailprice").agg(*kinds).first())
+
+
+def _sql_design(need: str) -> str:
+    return f"""SELECT a.x AS x1, b.x AS x2, c.x AS x3, round(a.x * c0 + b.x * c1 + c.x * c2, 8)::DOUBLE AS cost FROM range(80) a(x), range(80) b(x), range(80) c(x), u, ({need}) n(need)
+WHERE a.x + 2 * b.x + 3 * c.x >= need AND a.x * c0 + b.x * c1 + c.x * c2 <= {_DEAR} ORDER BY round(a.x * c0 + b.x * c1 + c.x * c2, 9), x1, x2, x3 LIMIT 1"""
+
+
+@query(f"WITH RECURSIVE {_CRIT}, u AS ({_UNITS}) {_sql_design(f'SELECT min(n_fill) FROM ({_CURVE}) WHERE k / trials >= {_TARGET}')}")
+def design_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest numbers of three kinds of body that fill as much as half of all trials need to span."""
+    curve = percolation_curve(spark, sf_dir)
+    need = curve.agg(F.min(F.when(F.col("p_hat") >= _TARGET, F.col("n_fill")))).first()[0]
+    return optimise.cheapest_design(spark, _unit_costs(spark, sf_dir), _GAINS, need, _DEAR)[0].withColumn("cost", _r("cost"))
+
+
+def _edges_step(spark: SparkSession, sf_dir: str, inputs: dict) -> DataFrame:
+    return percolation.filling_edges(_tubes(spark, sf_dir), _TUBE[2])
+
+
+def _curve_step(spark: SparkSession, sf_dir: str, inputs: dict) -> DataFrame:
+    trials = table(spark, sf_dir, "events", "user_id").select(F.col("user_id").alias("trial"))
+    return percolation.percolation_curve(percolation.fill_of_edges(inputs["cylinder_edges"], trials), FILLS)
+
+
+def _least_step(spark: SparkSession, sf_dir: str, inputs: dict) -> DataFrame:
+    return inference.min_fill(inputs["cylinder_curve"], _TARGET)
+
+
+def _design_step(spark: SparkSession, sf_dir: str, inputs: dict) -> DataFrame:
+    if is_planning():  # what it would search is known from the step before only
+        return optimise.shell(spark, [1.0] * len(_GAINS), _GAINS, 1.0, 0.0, 1.0)
+    return optimise.cheapest_design(spark, _unit_costs(spark, sf_dir), _GAINS, inputs["cylinder_least"].first()[0], _DEAR)[0]
+
+
+CYLINDER_STEPS = (
+    Step("cylinder_edges", _edges_step, checks=lambda: {"bodies": F.col("v") >= 0, "order": F.col("w") > F.col("v")}),
+    Step("cylinder_curve", _curve_step, ("cylinder_edges",), lambda: {"counts": F.col("k").between(0, F.col("trials"))}),
+    Step("cylinder_least", _least_step, ("cylinder_curve",)),
+    Step("cylinder_design", _design_step, ("cylinder_least",), lambda: {"cost": F.col("cost") <= _DEAR}),
+)
+_LOWS = f"""lows AS (SELECT n_fill, k, n, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0 AS t FROM (SELECT n_fill, k, trials AS n FROM ({_CURVE})) WHERE k > 0 UNION ALL
+SELECT n_fill, k, n, CASE WHEN p >= {_LEVEL} THEN a ELSE mid END, CASE WHEN p >= {_LEVEL} THEN mid ELSE b END, t + 1
+FROM (SELECT *, {_TAIL.format(a="k", b="n + 1")} AS p FROM (SELECT *, (a + b) / 2 AS mid FROM lows WHERE t < 60)))"""
+
+
+@query(f"""WITH RECURSIVE {_FILL}, {_LOWS}, u AS ({_UNITS}) SELECT 'cylinder_edges' AS step, (SELECT count(*) FROM touching) + (SELECT count(*) FROM bodies WHERE cx - {_TUBE[0]!r} <= {_TUBE[2]!r}) + (SELECT count(*) FROM bodies WHERE cx + {_TUBE[0]!r} >= 1 - {_TUBE[2]!r}) AS rows, NULL::DOUBLE AS cost
+UNION ALL SELECT 'cylinder_curve', count(*), NULL FROM ({_CURVE}) UNION ALL SELECT 'cylinder_least', 1, NULL
+UNION ALL SELECT 'cylinder_design', count(*), max(cost) FROM ({_sql_design(f'SELECT min(n_fill) FROM lows WHERE t = 60 AND (a + b) / 2 >= {_TARGET}')})""")
+def cylinder_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four questions as steps that read each other's stored results, in two runs."""
+    out = new_path(spark, "steps")
+    made = run_steps(spark, sf_dir, 1, 2, out=out, steps=CYLINDER_STEPS)
+    made |= run_steps(spark, sf_dir, 3, 4, out=out, steps=CYLINDER_STEPS)
+    costs = {"cylinder_design": _r(F.max("cost"))}
+    return reduce(DataFrame.union, [df.agg(F.lit(n).alias("step"), F.count("*").alias("rows"), costs.get(n, F.lit(None).cast("double")).alias("cost")) for n, df in made.items()])

@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Used only in local mode where the session names no checkpoint folder (tests, laptops).
 LOCAL_DEFAULT = "/tmp/seepkit-checkpoints"
+_PLANNING: ContextVar[bool] = ContextVar("planning", default=False)
+
+
+@contextmanager
+def planning() -> Iterator[None]:
+    """Within it nothing is staged: operators get the plan of a table instead, and 0 for its metrics, so that a
+    dry run starts no job. Operators that need rounds give the plan of as many as that."""
+    token = _PLANNING.set(True)
+    try:
+        yield
+    finally:
+        _PLANNING.reset(token)
+
+
+def is_planning() -> bool:
+    return _PLANNING.get()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +52,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def saved_with(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
     """As ``saved``, with aggregates over all rows that are taken while they are written: no second scan."""
+    if _PLANNING.get():
+        return df, defaultdict(int)
     path = new_path(df.sparkSession, name)
     found = write_observed(df, path, **metrics)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -60,3 +82,30 @@ def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder, through Hadoop so that any file system works."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, complete or not there: written under another name first, then renamed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, part = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex[:12]}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"{path} can't be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None if there is none."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return None
+    found = fs.open(target)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(found, "UTF-8")
+    finally:
+        found.close()

@@ -74,6 +74,24 @@ def test_exact_limits():
     assert clopper_pearson_limits(50_000, 100_000, 0.05)[0] == pytest.approx(0.4969, abs=1e-4)
 
 
+@pytest.mark.parametrize("side", ["both", "lower", "upper"])
+def test_limits_in_the_jvm_equal_bisection(spark, side):
+    rows = [(k, n) for n in (1, 2, 7, 60, 1001) for k in sorted({0, 1, n // 3, n // 2, n - 1, n})] + [(1, 10**5), (10, 10**7), (5 * 10**6, 10**7), (10**7 - 3, 10**7)]
+    df = with_clopper_pearson(spark.createDataFrame(rows, "k long, n long"), 0.03, side)
+    assert not any(x in df._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))
+    for r in df.collect():
+        assert (r.lo, r.hi) == pytest.approx(clopper_pearson_limits(r.k, r.n, 0.03, side), abs=1e-11)
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    from seepkit.functions.inference import normal_quantile
+
+    for r in spark.createDataFrame([(0.5,), (0.6,), (0.975,), (0.99999,)], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect():
+        assert r.z == pytest.approx(NormalDist().inv_cdf(r.p), abs=1e-10)
+
+
 def test_limits_of_nothing(spark):
     df = spark.createDataFrame([(0, 0), (None, None)], "k long, n long")
     assert all(r.lo is None for r in with_wilson(df).collect() + with_clopper_pearson(df).collect())

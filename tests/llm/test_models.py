@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,16 +254,40 @@ def test_very_long_texts(spark):
     assert (row.m.n_words, row.base_failed, row.kept) == (2_000_001, True, False)
 
 
-def test_sampled_rows_are_bounded(spark, monkeypatch):
+def test_labelled_documents_are_read_whole_and_once(spark, monkeypatch):
+    """Rows that repeat an id give the driver one; the chain is that of all words, though it gets few."""
     from seepkit.llm import toxicity
 
-    monkeypatch.setattr(toxicity, "LEARNED", 50)
-    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + j // 20)}{chr(97 + j % 20)}" for j in range(400)) + (" slur" * (i % 2))) for i in range(80)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, *x: seen.extend(map(len, rows)))
-    toxicity.train(docs, labels, default_categories())
-    assert seen == [50] * 80
+    r = random.Random(6)
+    texts = [" ".join(f"w{chr(97 + j // 20)}{chr(97 + r.randrange(26))}" for j in range(400)) + (" slur" * (i % 2)) + (" mud" * (i % 5 == 0)) for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 500 + [(900, "slur")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), i % 2) for i in range(80)] + [(3, 1, 1)] * 200, "doc_id long, quality int, toxic int")
+    seen = {}
+
+    def watched(rows, targets, folds):
+        seen.update(rows=rows, targets=targets, folds=folds)
+        return fit_chain(rows, targets, folds)
+
+    monkeypatch.setattr(toxicity, "fit_chain", watched)
+    chain = train(docs, labels, default_categories())
+    assert len(seen["rows"]) == 80
+    assert max(map(len, seen["rows"])) < 300
+    order = [x.doc_id for x in spark.range(80).select(F.col("id").alias("doc_id"), F.xxhash64("id", F.lit(7)).alias("h")).orderBy("h").collect()]
+    whole = fit_chain([word_buckets(texts[i]) for i in order], {"poor": np.asarray([int(i % 5 == 0) for i in order]), "toxic": np.asarray([i % 2 for i in order])}, seen["folds"])
+    for (b1, e1, w1), (b2, e2, w2) in zip(chain.models, whole.models, strict=True):
+        assert np.allclose(b1, b2)
+        assert np.allclose(e1, e2)
+        assert np.allclose(w1, w2)
+
+
+def test_buckets_of_many_texts_are_those_of_each():
+    from seepkit.llm.toxicity import _bucket, bucket_lists
+
+    texts = ["A a ### b, B!", None, "", " \t\u2003x\u00a0y ", "É é 12 3x"]
+    flat, at = bucket_lists(pa.array(texts))
+    for t, a, b in zip(texts, at, at[1:], strict=False):
+        assert flat[a:b].tolist() == sorted({_bucket(w) for w in (t or "").split()} - {-1})
+    assert [x.tolist() for x in bucket_lists(pa.array([], pa.string()))] == [[], [0]]
 
 
 def brute_toxic_chain(rows, targets, folds):

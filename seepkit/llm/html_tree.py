@@ -185,7 +185,9 @@ def measure(nodes: list[Node]) -> None:
 NONE = (False,) * len(FAMILIES)
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 ABOVE = ("article", "main", "nav", "footer", "aside", "header", "form")
-N_FEATURES = len(TAGS) + 2 * len(FAMILIES) + len(ABOVE) + 20
+N_FEATURES = len(TAGS) + 2 * len(FAMILIES) + len(ABOVE) + 22
+#: Whether a family or element speaks against an article: all but the first family, all but the first two elements.
+_AGAINST, _AGAINST_TAGS = slice(1, None), frozenset(ABOVE[2:])
 
 
 def features(nodes: list[Node]) -> list[list[float]]:
@@ -213,5 +215,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
             one_hot[_TAG_AT[x.tag]] = 1.0
         chars = max(1, x.chars)
         parent = x.parent.chars if x.parent is not None else x.chars
-        rows.append([*one_hot, *x.families, *families, *tags, depth, log(x.chars), x.chars / total, x.links / chars, log(x.elements), log(x.chars / (x.elements + 1)), log(x.paragraphs), x.punctuation / chars, n, i / n, i, log(before), log(after), x.chars / max(1, parent), log(x.inputs), log(x.headings), x.start / total, (x.start + x.chars) / total, log(total), float(x.chars == 0)])
+        marked = any(families[_AGAINST]) or any(tags[2:])
+        marks = (float(marked or any(x.families[_AGAINST]) or x.tag in _AGAINST_TAGS), float(marked))
+        rows.append([*marks, *one_hot, *x.families, *families, *tags, depth, log(x.chars), x.chars / total, x.links / chars, log(x.elements), log(x.chars / (x.elements + 1)), log(x.paragraphs), x.punctuation / chars, n, i / n, i, log(before), log(after), x.chars / max(1, parent), log(x.inputs), log(x.headings), x.start / total, (x.start + x.chars) / total, log(total), float(x.chars == 0)])
     return rows

@@ -25,12 +25,18 @@ from seepkit.llm.boosting import Booster
 from seepkit.llm.html_tree import features, measure, parse, walk
 
 #: Pages that the boosters learn from, and the generator's seed.
-PAGES, SEED = 500, 2024
+PAGES, SEED = 600, 2024
 MARK = ""  # in generated pages, before text that belongs to the article
 
 
+@cache
+def _vocabulary() -> list[str]:
+    r = random.Random(SEED)
+    return ["".join(r.choices("aeioustrnlmdpc", k=r.randint(2, 9))) for _ in range(4_000)]
+
+
 def _words(r: random.Random, n: int) -> str:
-    return " ".join("".join(r.choice("aeioustrnlmdpc") for _ in range(r.randint(2, 9))) for _ in range(n))
+    return " ".join(r.choices(_vocabulary(), k=n))
 
 
 def _sentence(r: random.Random, low: int = 4, high: int = 22) -> str:
@@ -72,24 +78,31 @@ def _article(r: random.Random) -> str:
     parts = []
     if r.random() < 0.8:
         parts.append(f"<h1>{MARK}{_words(r, r.randint(2, 9))}</h1>")
-    for _ in range(r.choice([1, 2, 3, 5, 8, 12, 20])):
+    for _ in range(r.choice([1, 2, 2, 3, 3, 5, 8, 12, 20])):
         text = MARK + (" ".join(_sentence(r) for _ in range(r.choice([1, 1, 2, 4, 8, 15]))) if r.random() < 0.85 else _words(r, r.randint(1, 4)) + ".")
         if r.random() < 0.15:
             text = text.replace(" ", "&amp;&amp; ", 3)
         if r.random() < 0.15:
             text = text.replace(" ", f' <a href="/{_words(r, 1)}">x</a> ', 1)
         parts.append(r.choice([f"<p>{text}</p>"] * 6 + [f"<p><b>{text}<br>", f"<p>{text}", f"<h2>{text[:40]}</h2>", f"<blockquote><p>{text}</p></blockquote>", f"<ul><li>{text}</li><li>{MARK}{_sentence(r)}</li></ul>", f"<div>{text}</div>", f"<pre>{text}</pre>", f"<table><tr><td>{text}</td><td>{MARK}{_words(r, 2)}</td></tr></table>"]))
-    for kind in ("advert", "share", "notice", "form", "comments", "side"):
+    if r.random() < 0.25:  # lists of links that the article itself has: sources, reports, contents
+        items = [f"<li>{r.choice(['', '', _words(r, 1) + ' '])}<a href=\"/{_words(r, 1)}\">{MARK}{_words(r, r.randint(2, 7)).capitalize()}</a></li>" for _ in range(r.choice([1, 1, 2, 3, 4, 7]))]
+        items = [x.replace("<li>", f"<li>{MARK}") for x in items]
+        parts.insert(r.randint(1, len(parts)), f"<{r.choice(['ul', 'ul', 'ol'])}>{''.join(items)}</ul>")
+    for kind in ("advert", "share", "notice", "form", "comments", "side", "footer"):
         if r.random() < 0.12:
-            parts.insert(r.randint(1, len(parts)) if kind not in ("comments", "share") else len(parts), _side(r, kind))
+            parts.insert(r.randint(1, len(parts)) if kind not in ("comments", "share", "footer") else len(parts), _side(r, kind))
     body = "".join(parts)
     k = r.random()
-    if k < 0.45:
+    if k < 0.4:
         return f"<article>{body}</article>"
-    if k < 0.65:
+    if k < 0.55:
         return f"<main>{r.choice(['', '<div>'])}{body}</main>"
-    if k < 0.93:
+    if k < 0.77:
         return f"<div{_attribute(r, 'article content post entry story main')}>{body}</div>"
+    if k < 0.93:
+        tag = r.choice(["div", "div", "section"])
+        return f"<{tag}>{body}</{tag}>"
     return body
 
 

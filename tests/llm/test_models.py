@@ -374,6 +374,43 @@ def test_pages_by_their_own_rule(spark):
     assert len(want) > 0.9 * len(rows)
     assert np.mean([got[k] == v for k, v in want.items()]) > 0.98
 
+SENTENCES = [
+    "The tram line through the old town was closed on Monday.",
+    "Workers found a cracked rail below the market bridge, and the city sent every car to the depot.",
+    "Nobody was hurt, said the mayor, but repairs will take about two weeks.",
+    "Buses run instead, every ten minutes until midnight.",
+    "The last such closure was nine years ago, after the flood of that spring.",
+]
+MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/about">About us</a></li></ul></nav>'
+BOTTOM = "<footer>&copy; 2024 The Daily Tram. All rights reserved.</footer>"
+AROUND = {"div": ("<div>", "</div>"), "section": ("<section>", "</section>"), "wrapped": ("<div><div>", "</div></div>"), "content": ('<div class="content">', "</div>"), "bare": ("", ""), "article": ("<article>", "</article>")}
+
+
+@pytest.mark.parametrize("around", AROUND)
+def test_layouts_by_rule(around):
+    """Articles of one to five paragraphs, with and without an element or name of their own, with notices, adverts,
+    footers and link lists beside and in them."""
+    pages, want = [], []
+    for n in (1, 2, 3, 5):
+        for extra in ("", "cookie", "links", "one link", "footer", "advert", "heading"):
+            body, text, before = [f"<p>{x}</p>" for x in SENTENCES[:n]], SENTENCES[:n], MENU
+            if extra == "cookie":
+                before += '<div class="cookie-consent"><p>We use cookies to improve this site.</p><button>Accept</button></div>'
+            elif extra == "heading":
+                body, text = ["<h1>Tram line closed</h1>", *body], ["Tram line closed", *text]
+            elif extra in ("links", "one link"):
+                links = ["Report on the tram", "Minutes of the council"][: 1 if extra == "one link" else 2]
+                body += ["<ul>" + "".join(f'<li><a href="/r">{x}</a></li>' for x in links) + "</ul>", "<p>End of the story.</p>"]
+                text = [*text, *links, "End of the story."]
+            elif extra == "advert":
+                body.insert(1, '<div class="advert"><p>Buy new shoes today and save a lot.</p></div>')
+            elif extra == "footer":
+                body.append("<footer>Filed under trams</footer>")
+            pages.append(f"<html><head><title>x</title></head><body>{before}{AROUND[around][0]}{''.join(body)}{AROUND[around][1]}{BOTTOM}</body></html>")
+            want.append((n, extra, "\n".join(text)))
+    got = extract_batch(pages, model())
+    assert [(n, extra, g) for (n, extra, _), g in zip(want, got, strict=True)] == want
+
 
 def test_decoding_finds_the_best_labelling():
     """All labellings of small trees, against the best of those that hold together."""

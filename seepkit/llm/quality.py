@@ -3,18 +3,20 @@
 Every rule is a Column that votes 1 (good), 0 (bad) or null (abstains). Votes of all documents are
 counted per vote pattern - at most 3^rules rows reach the driver, whatever the corpus - and
 expectation-maximisation on those counts estimates, without labels, the share of good documents, the
-share of those that are bad in the way that each rule looks for, and each rule's accuracies. The posterior
+shares of documents that are bad in one of a few ways, and each rule's accuracies. The posterior
 probability of quality of a document is then a Column expression of its votes: no Python touches a row.
 
-A bad document is mostly bad in one way, so rules' votes depend on each other among bad documents: a bad
-document is of one *kind*, and votes of rules for other kinds come out as among good documents. One bad
-vote may be a kind or a false alarm; votes alone can't tell these apart, so false alarms have a prior.
-Its strength is stated (``ALARMS``) and in proportion to the votes, so the data weigh as much at every
-size; no estimate is cut off at a limit.
+A bad document is mostly bad in one way, so rules come in groups that look for the same kind of bad
+document by different measures. Within a kind their evidence multiplies, good votes included; votes of
+other groups' rules come out as among good documents. So a rule's accuracy shows in whether its group
+agrees with it: bad votes that the others contradict are learned to be false alarms, however many, and
+those that the others share are learned to be a kind, however few. Priors stand for a fixed number of
+votes and fade as the corpus grows.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,18 +30,19 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Words in a block of which variety is measured: a share of distinct words means the same at one length only.
-SPAN = 400
+#: A long word has more code points than ``LONG``.
+SPAN, LONG = 400, 15
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _windows(words: Column, n: Column) -> Column:
-    """64-bit hashes of the windows of eight words, by doubling: pairs, fours, eights."""
-    one = F.transform(words, lambda w: F.xxhash64(w))
+def _joined(h: Column, step: int, size: Column) -> Column:
+    """Hashes of each place's with that ``step`` further on; there are ``size``."""
+    return F.zip_with(F.slice(h, 1, F.greatest(size, F.lit(0))), F.slice(h, 1 + step, F.greatest(size, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
-    def doubled(h: Column, step: int, size: Column) -> Column:
-        return F.zip_with(F.slice(h, 1, F.greatest(size, F.lit(0))), F.slice(h, 1 + step, F.greatest(size, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
-    return doubled(doubled(doubled(one, 1, n - 1), 2, n - 3), 4, n - 7)
+def _windows(pairs: Column, n: Column) -> Column:
+    """64-bit hashes of the windows of eight words, from those of pairs: fours, eights."""
+    return _joined(_joined(pairs, 2, n - 3), 4, n - 7)
 
 
 def _distinct(words: Column, n: Column) -> Column:
@@ -69,7 +72,8 @@ def _measured(docs: DataFrame) -> DataFrame:
     spaced = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(" ")), SPACE[1:], F.col("__t"))
     step = step.withColumn("__w", F.filter(F.split(spaced, " "), lambda w: w != ""))
     step = step.withColumn("__n", F.size("__w"))
-    step = step.withColumn("__h", F.when(F.col("__n") >= 2 * WINDOW - 7, _windows(F.col("__w"), F.col("__n"))))
+    step = step.withColumn("__q", _joined(F.transform("__w", lambda w: F.xxhash64(w)), 1, F.col("__n") - 1))
+    step = step.withColumn("__h", F.when(F.col("__n") >= 2 * WINDOW - 7, _windows(F.col("__q"), F.col("__n"))))
     # windows that occur twice are rare: only then are their places looked for
     step = step.withColumn("__r", F.coalesce(F.size("__h") - F.size(F.array_distinct("__h")), F.lit(0)))
     placed = F.array_sort(F.zip_with("__h", F.sequence(F.lit(0), F.size("__h") - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -92,6 +96,9 @@ def _measured(docs: DataFrame) -> DataFrame:
         "n_repeat_words": F.when(F.col("__r") > 0, covered).otherwise(0),
         "n_lines": F.size("__l"),
         "n_distinct": _distinct(F.col("__w"), F.col("__n")),
+        "n_pairs": F.when(F.col("__n") > 1, _distinct(F.col("__q"), F.col("__n") - 1)).otherwise(0),
+        "n_marked": F.regexp_count("__t", F.lit(f"[{SYMBOLS}][^ \\t\\n\\x0B\\f\\r]*")),
+        "n_long": F.size(F.filter("__w", lambda w: F.length(w) > LONG)),
         "n_capitals": F.regexp_count("__t", F.lit("[A-ZÀ-ÖØ-Þ]{3,}")),
         "n_shouts": F.length("__t") - F.length(_without(F.col("__t"), "!")),
     }
@@ -113,70 +120,74 @@ def rules(m: Column) -> dict[str, Column]:
     """The rules: each votes 1, 0 or null. Thresholds are shares of words or characters."""
     n, chars = F.greatest(m["n_words"], F.lit(1)), F.greatest(m["word_chars"], F.lit(1))
     length = chars / n
-    in_blocks = F.when(n <= SPAN, n).otherwise(F.ceil(n / SPAN) * SPAN)
+    in_blocks = lambda k: F.when(k <= SPAN, k).otherwise(F.ceil(k / SPAN) * SPAN)
     return {
         "symbols": _vote(m["n_symbols"] / n, 0.05, 0.3),
+        "marked": _vote(m["n_marked"] / n, 0.05, 0.2),
         "capitals": _vote(m["n_capitals"] / n, 0.1, 0.3),
         "shouts": _vote(m["n_shouts"] / n, 0.05, 0.2),
         "lines": _vote(m["n_dup_lines"] / F.greatest(m["n_lines"], F.lit(1)), 0.1, 0.3),
-        "variety": _vote(-m["n_distinct"] / in_blocks, -0.45, -0.3),
+        "variety": _vote(-m["n_distinct"] / in_blocks(n), -0.45, -0.3),
+        "pairs": _vote(-m["n_pairs"] / in_blocks(F.greatest(n - 1, F.lit(1))), -0.65, -0.5),
+        "long_words": _vote(m["n_long"] / n, 0.1, 0.3),
         "word_length": F.when((length >= 3) & (length <= 9), 1).when((length < 2) | (length > 14), 0),
     }
 
 
-#: Where EM starts: the share of bad documents, P(bad vote | no such kind) and P(good vote | that kind).
-#: ALARMS: the strength of the prior of the second, which is its start: votes that it stands for, as a
-#: multiple of those that a rule casts. KINDS: that of the third, in votes.
-BAD, ALARM, MISS, ALARMS, KINDS = 0.2, 0.002, 0.1, 1.0, 20.0
+#: Rules that look for the same kind of bad document.
+GROUPS = (("symbols", "marked"), ("capitals", "shouts"), ("lines", "variety", "pairs"), ("long_words", "word_length"))
+#: Where EM starts, and its priors: the share of bad documents, P(bad vote | not that kind) and P(good vote | that
+#: kind). ALARMS and KINDS: the votes that the priors of the second and of the others stand for.
+BAD, ALARM, MISS, ALARMS, KINDS = 0.2, 0.002, 0.1, 1000.0, 20.0
 
 
 class Votes:
-    """good: share of good documents; of each rule j, kinds[j]: share of documents bad in its way, alarm[j]:
-    P(bad vote | not that kind), miss[j]: P(good vote | that kind)."""
+    """good: share of good documents; kinds[g]: share of documents that are bad as group g's rules look for; of
+    each rule j, alarm[j]: P(bad vote | not its group's kind), miss[j]: P(good vote | that kind)."""
 
-    def __init__(self, rules: int):
-        self.good = 1 - BAD
-        self.kinds, self.alarm, self.miss = [BAD / max(1, rules)] * rules, [ALARM] * rules, [MISS] * rules
+    def __init__(self, groups: list[list[int]]):
+        self.groups = groups
+        rules = sum(map(len, groups))
+        self.good, self.kinds = 1 - BAD, [BAD / max(1, len(groups))] * len(groups)
+        self.alarm, self.miss = [ALARM] * rules, [MISS] * rules
 
     def odds(self, j: int, vote: int | None) -> float:
-        """How much likelier than a good document one of kind j casts rule j's vote, by their shares; its
-        other votes are as likely."""
-        ratio = 1.0 if vote is None else self.miss[j] / (1 - self.alarm[j]) if vote else (1 - self.miss[j]) / self.alarm[j]
-        return self.kinds[j] / self.good * ratio
+        """How much likelier than a good document one of rule j's kind casts its vote."""
+        return 1.0 if vote is None else self.miss[j] / (1 - self.alarm[j]) if vote else (1 - self.miss[j]) / self.alarm[j]
 
     def posterior(self, votes: tuple) -> list[float]:
         """Probabilities: good, then bad of each kind."""
-        odds = [1.0, *(self.odds(j, v) for j, v in enumerate(votes))]
+        odds = [1.0, *(math.prod((self.odds(j, votes[j]) for j in g), start=share / self.good) for g, share in zip(self.groups, self.kinds, strict=True))]
         return [x / sum(odds) for x in odds]
 
     def quality(self, votes: list[Column]) -> Column:
         """The first of them, of votes in columns."""
-        odds = [F.when(v == 1, self.odds(j, 1)).when(v == 0, self.odds(j, 0)).otherwise(self.odds(j, None)) for j, v in enumerate(votes)]
-        return 1 / reduce(lambda a, b: a + b, odds, F.lit(1.0))
+        each = [F.when(v == 1, self.odds(j, 1)).when(v == 0, self.odds(j, 0)).otherwise(1.0) for j, v in enumerate(votes)]
+        kinds = [reduce(lambda a, b: a * b, (each[j] for j in g), F.lit(share / self.good)) for g, share in zip(self.groups, self.kinds, strict=True)]
+        return 1 / reduce(lambda a, b: a + b, kinds, F.lit(1.0))
 
 
-def fit_votes(counts: list[tuple[tuple, int]], rounds: int = 500, still: float = 1e-9) -> Votes:
+def fit_votes(counts: list[tuple[tuple, int]], groups: list[list[int]], rounds: int = 500, still: float = 1e-9) -> Votes:
     """EM on (vote pattern, documents), until no estimate moves by more than ``still``."""
-    k = len(counts[0][0]) if counts else 0
-    model, total = Votes(k), sum(c for _, c in counts)
+    model, total, k = Votes(groups), sum(c for _, c in counts), sum(map(len, groups))
     for _ in range(rounds if total else 0):
-        kinds = [0.0] * k
+        kinds = [0.0] * len(groups)
         cast, alarms, misses, of_kind = ([0.0] * k for _ in range(4))
         for votes, c in counts:
             p = model.posterior(votes)
-            for j, v in enumerate(votes):
-                mine = c * p[1 + j]
-                kinds[j] += mine
-                if v is not None:
-                    cast[j] += c - mine
-                    alarms[j] += (c - mine) * (1 - v)
-                    of_kind[j] += mine
-                    misses[j] += mine * v
+            for g, members in enumerate(groups):
+                mine = c * p[1 + g]
+                kinds[g] += mine
+                for j in members:
+                    if votes[j] is not None:
+                        cast[j] += c - mine
+                        alarms[j] += (c - mine) * (1 - votes[j])
+                        of_kind[j] += mine
+                        misses[j] += mine * votes[j]
         before = [model.good, *model.kinds, *model.alarm, *model.miss]
-        prior = KINDS * BAD / max(1, k)
-        model.kinds = [(x + prior) / (total + KINDS) for x in kinds]
+        model.kinds = [(x + KINDS * BAD / len(groups)) / (total + KINDS) for x in kinds]
         model.good = 1 - sum(model.kinds)
-        model.alarm = [(x + ALARMS * n * ALARM + ALARM) / (n + ALARMS * n + 1) for x, n in zip(alarms, cast, strict=True)]
+        model.alarm = [(x + ALARMS * ALARM) / (n + ALARMS) for x, n in zip(alarms, cast, strict=True)]
         model.miss = [(x + KINDS * MISS) / (n + KINDS) for x, n in zip(misses, of_kind, strict=True)]
         if max(abs(a - b) for a, b in zip(before, [model.good, *model.kinds, *model.alarm, *model.miss], strict=True)) < still:
             break
@@ -195,9 +206,10 @@ def _scored(docs: DataFrame, text: str, least: float, with_text: bool) -> DataFr
     # written, so that the measures are taken once, for the votes and for the verdicts
     measured = materialize(measured if with_text else measured.drop("text"), "measures")
     names = list(rules(F.col("m")))
-    model = fit_votes(sorted(((tuple(r[k] for k in names), r["c"]) for r in voted(measured).collect()), key=str))
+    groups = [[names.index(r) for r in g] for g in GROUPS]
+    model = fit_votes(sorted(((tuple(r[k] for k in names), r["c"]) for r in voted(measured).collect()), key=str), groups)
     scored = measured.withColumn("base_failed", base_failed(F.col("m")))
-    scored = scored.withColumn("quality", model.quality(list(rules(F.col("m")).values())) if model.kinds else F.lit(1.0))
+    scored = scored.withColumn("quality", model.quality(list(rules(F.col("m")).values())))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 

@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -38,6 +40,10 @@ def test_quality_measures_equal_brute_force(spark):
     assert score(df).columns == ["doc_id", "text", "n_words", *SCORES]  # a column ``quality`` is replaced
     for x in rows:
         assert tuple(x.m[c] for c in BASE) == brute_base(texts[x.doc_id])
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[x.doc_id] or "")
+        assert x.m.n_pairs == len(set(itertools.pairwise(words)))
+        assert x.m.n_marked == sum(any(c in w for c in "#*$%&|<>") for w in words)
+        assert x.m.n_long == sum(len(w) > 15 for w in words)
         n, rep = x.m.n_words, x.m.n_repeat_words
         assert x.base_failed == (n < 20 or 100 * rep > 30 * n)
         assert not (x.base_failed and x.kept)
@@ -58,6 +64,9 @@ def test_variety_votes_at_every_length(spark):
         w = texts[x.n, x.k].split()
         blocks = [w] if x.n <= 400 else [w[min(i, x.n - 400) :][:400] for i in range(0, x.n, 400)]
         assert x.m.n_distinct == sum(len(set(b)) for b in blocks)
+        p = list(itertools.pairwise(w))
+        blocks = [p] if len(p) <= 400 else [p[min(i, len(p) - 400) :][:400] for i in range(0, len(p), 400)]
+        assert x.m.n_pairs == sum(len(set(b)) for b in blocks)
         assert x.vote == x.k
 
 
@@ -69,64 +78,80 @@ def test_quality_against_labels(spark):
     assert share[0] < 0.1
 
 
-COUNTS = [((1, 1, 1), 800), ((0, 1, 1), 50), ((1, 0, 1), 3), ((1, 1, None), 100), ((0, 0, 1), 10)]
+COUNTS = [((1, 1, 1, 1), 800), ((0, 0, 1, 1), 50), ((1, 0, 1, 1), 3), ((1, 1, None, 1), 100), ((0, None, 1, 1), 10), ((1, 1, 0, 0), 4), ((1, 1, 0, 1), 12)]
+PAIRS = [[0, 1], [2, 3]]
 
 
-def brute_em(counts, rounds):
+def brute_em(counts, groups, rounds):
     """The same model on single documents, by what each kind of document would vote."""
     docs = [v for v, c in counts for _ in range(c)]
-    k, total = len(docs[0]), len(docs)
-    share = [1 - quality.BAD] + [quality.BAD / k] * k
+    k, g, total = len(docs[0]), len(groups), len(docs)
+    share = [1 - quality.BAD] + [quality.BAD / g] * g
     alarm, miss = [quality.ALARM] * k, [quality.MISS] * k
     for _ in range(rounds):
         told = []
         for v in docs:
             p = []
-            for kind in range(k + 1):
+            for kind in range(g + 1):
                 x = share[kind]
                 for j, vote in enumerate(v):
-                    bad = 1 - miss[j] if kind == j + 1 else alarm[j]
+                    bad = 1 - miss[j] if kind and j in groups[kind - 1] else alarm[j]
                     x *= 1 if vote is None else 1 - bad if vote else bad
                 p.append(x)
             told.append([x / sum(p) for x in p])
-        kinds = [(sum(p[j + 1] for p in told) + quality.KINDS * quality.BAD / k) / (total + quality.KINDS) for j in range(k)]
-        for j in range(k):
-            cast = [(p[j + 1], v[j]) for p, v in zip(told, docs, strict=True) if v[j] is not None]
-            others = sum(1 - p for p, _ in cast)
-            mine = sum(p for p, _ in cast)
-            alarm[j] = (sum(1 - p for p, v in cast if not v) + quality.ALARM * (quality.ALARMS * others + 1)) / ((1 + quality.ALARMS) * others + 1)
-            miss[j] = (sum(p for p, v in cast if v) + quality.KINDS * quality.MISS) / (mine + quality.KINDS)
+        kinds = [(sum(p[i + 1] for p in told) + quality.KINDS * quality.BAD / g) / (total + quality.KINDS) for i in range(g)]
+        for i, members in enumerate(groups):
+            for j in members:
+                cast = [(p[i + 1], v[j]) for p, v in zip(told, docs, strict=True) if v[j] is not None]
+                alarm[j] = (sum(1 - p for p, v in cast if not v) + quality.ALARMS * quality.ALARM) / (sum(1 - p for p, _ in cast) + quality.ALARMS)
+                miss[j] = (sum(p for p, v in cast if v) + quality.KINDS * quality.MISS) / (sum(p for p, _ in cast) + quality.KINDS)
         share = [1 - sum(kinds), *kinds]
     return share, alarm, miss
 
 
 def test_em_equals_brute_force():
-    model = fit_votes(COUNTS, rounds=12, still=0)
-    share, alarm, miss = brute_em(COUNTS, 12)
+    model = fit_votes(COUNTS, PAIRS, rounds=12, still=0)
+    share, alarm, miss = brute_em(COUNTS, PAIRS, 12)
     assert [model.good, *model.kinds] == pytest.approx(share)
     assert model.alarm == pytest.approx(alarm)
     assert model.miss == pytest.approx(miss)
 
 
 def test_em_tells_kinds_from_alarms():
-    model = fit_votes(COUNTS)
-    assert model.posterior((1, 1, 1))[0] > 0.99
-    assert model.posterior((0, 1, 1))[0] < 0.1  # frequent: a kind of document
-    assert model.posterior((0, 0, 1))[0] < 0.1
-    assert sum(model.posterior((None, 1, 0))) == pytest.approx(1)
-    noisy = fit_votes([((1, 1, 1), 100_000), ((1, 0, 1), 100)])
-    assert noisy.posterior((1, 0, 1))[0] > 0.5  # rarer than false alarms are
-    many = fit_votes([(v, 1000 * c) for v, c in COUNTS])
-    assert many.alarm == pytest.approx(fit_votes([(v, 10**6 * c) for v, c in COUNTS]).alarm, rel=0.05)
-    assert fit_votes([]).good == pytest.approx(0.8)
+    """Bad votes that the group shares are a kind, those that it contradicts are alarms, at every size and share."""
+    groups = [[0, 1], [2, 3, 4]]
+    good, symbols, lines, salad = (1, 1, 1, 1, 1), (0, 0, 1, 1, 1), (1, 1, 0, 1, 1), (1, 1, 1, 0, 0)
+    for n in (10**4, 10**6, 10**9):
+        for share in (0.001, 0.05):
+            model = fit_votes([(good, int(n * (0.9 - share))), (symbols, int(n * 0.08)), (lines, int(n * 0.004)), (salad, int(n * share))], groups)
+            told = {v: model.posterior(v)[0] for v in (good, symbols, lines, salad)}
+            assert [told[v] > 0.9 for v in told] == [True, False, True, False], (n, share, told)
+            assert max(told[symbols], told[salad]) < 0.1
+    assert sum(fit_votes(COUNTS, PAIRS).posterior((None, 1, 0, 0))) == pytest.approx(1)
+    assert fit_votes([], PAIRS).good == pytest.approx(0.8)
 
 
 def test_quality_column_equals_the_model(spark):
-    model = fit_votes(COUNTS)
-    votes = [(a, b, c) for a in (0, 1, None) for b in (0, 1, None) for c in (0, 1, None)]
-    df = spark.createDataFrame(votes, "a int, b int, c int").withColumn("q", model.quality([F.col(x) for x in "abc"]))
-    assert all(x.q == pytest.approx(model.posterior((x.a, x.b, x.c))[0]) for x in df.collect())
-    assert Votes(0).posterior(()) == [1.0]
+    model = fit_votes(COUNTS, PAIRS)
+    votes = [(a, b, c, d) for a in (0, 1, None) for b in (0, 1, None) for c in (0, 1, None) for d in (0, None)]
+    df = spark.createDataFrame(votes, "a int, b int, c int, d int").withColumn("q", model.quality([F.col(x) for x in "abcd"]))
+    assert all(x.q == pytest.approx(model.posterior((x.a, x.b, x.c, x.d))[0]) for x in df.collect())
+    assert Votes([]).posterior(()) == [1.0]
+
+
+def test_planted_salads_at_any_share(spark):
+    """The same salads go whether they are one in a thousand or one in twenty; a repeated line alone stays."""
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(3000)]
+    prose = lambda: " ".join(r.choices(words, k=120))
+    salads = [" ".join(w for w in r.sample(words, 9) for _ in range(7)) for _ in range(40)]
+    lines = [f"{x}\n{prose()}\n{x}" for x in (" ".join(r.choices(words, k=7)) for _ in range(40))]
+    for clean, bad in ((1960, 2), (760, 40)):
+        rows = [(i, prose()) for i in range(clean)] + [(10_000 + i, x) for i, x in enumerate(salads[:bad])] + [(20_000 + i, x) for i, x in enumerate(lines[: bad if bad > 2 else 8])]
+        got = score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), with_text=False).select("doc_id", "kept", "base_failed").collect()
+        assert not any(x.base_failed for x in got)
+        assert {x.kept for x in got if 10_000 <= x.doc_id < 20_000} == {False}
+        assert {x.kept for x in got if not 10_000 <= x.doc_id < 20_000} == {True}
 
 
 def test_language_held_out(spark):

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Used only in local mode where the session names no checkpoint folder (tests, laptops).
 LOCAL_DEFAULT = "/tmp/seepkit-checkpoints"
+#: Staged tables that no one has discarded; they go when the driver's process ends.
+_LEFT: set[str] = set()
 _PLANNING: ContextVar[bool] = ContextVar("planning", default=False)
 
 
@@ -55,6 +59,9 @@ def saved_with(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame,
     if _PLANNING.get():
         return df, defaultdict(int)
     path = new_path(df.sparkSession, name)
+    if not _LEFT:
+        atexit.register(clear_staged)
+    _LEFT.add(path)
     found = write_observed(df, path, **metrics)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged = path
@@ -76,6 +83,24 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         if path := getattr(t, "_staged", None):
             delete(t.sparkSession, path)
+            _LEFT.discard(path)
+
+
+def clear_staged() -> None:
+    """Delete the saved tables that are left, those that results are read from included; done when the process
+    ends, so write a result elsewhere to keep it."""
+    gateway = SparkContext._gateway
+    left, running = sorted(_LEFT), SparkContext._active_spark_context
+    _LEFT.clear()
+    if gateway is None:
+        return
+    try:
+        conf = running._jsc.hadoopConfiguration() if running else gateway.jvm.org.apache.hadoop.conf.Configuration()
+        for path in left:
+            target = gateway.jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+    except Exception as e:  # the JVM may be gone before the process is
+        print(f"staged tables are left in the shared folder: {e}")
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -1,5 +1,9 @@
 import json
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +85,28 @@ def test_gates_are_counted_while_the_rows_are_written(spark, tmp_path):
     assert jobs_of(spark, "freeze", lambda: freeze(df, str(tmp_path / "d"))) == 1
 
 
+def test_staged_tables_go_with_the_process(tmp_path):
+    code = """
+import sys
+from pyspark.sql import SparkSession
+from seepkit.sources.shared import discard, saved
+spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', sys.argv[1]).getOrCreate()
+a, b = saved(spark.range(3), 'a'), saved(spark.range(4), 'b')
+discard(a)
+import os
+assert b.count() == 4 and sum(x.startswith('seepkit-') for x in os.listdir(sys.argv[1])) == 1
+if sys.argv[2] == 'stop':
+    spark.stop()
+"""
+    root = str(Path(__file__).resolve().parent.parent)
+    for stop in ("stop", "run"):
+        folder = tmp_path / stop
+        folder.mkdir()
+        made = subprocess.run([sys.executable, "-c", code, str(folder), stop], capture_output=True, text=True, check=False, env={**os.environ, "PYTHONPATH": root})
+        assert made.returncode == 0, made.stderr
+        assert not [x for x in os.listdir(folder) if x.startswith("seepkit-")]
+
+
 def test_planning_stages_nothing(spark):
     df = spark.range(5)
     with planning():

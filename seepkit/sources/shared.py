@@ -68,14 +68,28 @@ def saved_with(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame,
     return out, found
 
 
+#: Spark's setting to remove a query's shuffle files when it ends, instead of when the driver's JVM has collected
+#: their handles: what is written as a table is not read from its shuffles again.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    was = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, was) if was in ("true", "false") else spark.conf.unset(TIDY)
+
+
 def write_observed(df: DataFrame, path: str, **metrics: Column) -> dict:
     """Write ``df`` as Parquet and return the aggregates over the rows written."""
-    if not metrics:
-        df.write.mode("overwrite").parquet(path)
-        return {}
     seen = Observation()
-    df.observe(seen, *(c.alias(k) for k, c in metrics.items())).write.mode("overwrite").parquet(path)
-    return seen.get
+    made = df.observe(seen, *(c.alias(k) for k, c in metrics.items())) if metrics else df
+    with _tidied(df.sparkSession):
+        made.write.mode("overwrite").parquet(path)
+    return seen.get if metrics else {}
 
 
 def discard(*tables: DataFrame) -> None:

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from seepkit.sources.shared import delete, discard, new_path, saved, shared_dir
 
-__all__ = ["delete", "discard", "file_system", "materialize", "new_path", "release", "shared_dir"]
+__all__ = ["delete", "discard", "file_system", "materialize", "new_path", "shared_dir"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the reread table.
-
-    Afterwards the finished job's shuffle files are released: Spark removes them once the driver's
-    JVM has collected the handles, which on an idle driver may otherwise take half an hour.
-    """
-    out = saved(df, name)
-    del df
-    release(out.sparkSession)
-    return out
-
-
-def release(spark: SparkSession, wait: float = 0.4) -> None:
-    """Let finished jobs' shuffle files go, and wait for the cleaner's thread before more are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(wait)
+    """Write ``df`` as Parquet in the shared folder and return the reread table. The job's shuffle files go when it
+    ends (``saved``), so that disk holds one step's shuffles."""
+    return saved(df, name)
 
 
 def file_system(uri: str):

@@ -1,6 +1,6 @@
 """Connected components of an edge list, without gathering it anywhere.
 
-Alternating large-star and small-star rounds (Kiveris et al. 2014): each node's neighbours are
+Each task first joins its own edges, some at a time, into stars (``LOCAL``). Then alternating large-star and small-star rounds (Kiveris et al. 2014): each node's neighbours are
 linked to the least of them, which keeps components and shortens paths until every node points at
 the least node of its component. A hot node's edges are never listed in one task: each round needs
 the least neighbour by node - an aggregate with map-side combining - and a join that Spark can
@@ -9,16 +9,51 @@ split. Every round is written to the shared folder, so that a lost executor repe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seepkit.operators.sets import UnionFind
 from seepkit.sources.shared import discard, saved, saved_with
 
 
+#: Edges that a task joins at a time.
+LOCAL = 250_000
+
+
 class NotConverged(RuntimeError):
     """Rounds ran out before the components were found."""
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """u, v with the same nodes and components: of each run of a task's edges every node points at the least of
+    those it hangs together with there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held, kinds = UnionFind(), 0, None
+
+        def made() -> pa.RecordBatch:
+            nodes = list(sets.up)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, kinds[0]), pa.array([sets.find(x) for x in nodes], kinds[1])], ["u", "v"])
+
+        for batch in batches:
+            kinds = batch.schema.types
+            for lo in range(0, len(batch), LOCAL):
+                some = batch.slice(lo, LOCAL)
+                for u, v in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    sets.join(u, v)
+                held += len(some)
+                if held >= LOCAL:
+                    yield made()
+                    sets, held = UnionFind(), 0
+        if held:
+            yield made()
+
+    return edges.mapInArrow(run, edges.schema)
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 100) -> DataFrame:
     """(node, comp): every node of an edge and the least node of its component.
 
@@ -28,8 +63,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
     shared folder.
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
-    # edges point from the larger node to the smaller; loops stand for themselves
-    first = saved(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    # edges point from the larger node to the smaller; a star's middle is a loop
+    first = saved(_stars(both).distinct(), "edges")
     graph, last = first.filter("u <> v"), None
     stale: DataFrame | None = None
     for _ in range(most_rounds):

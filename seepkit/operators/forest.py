@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seepkit.operators.sets import UnionFind
 from seepkit.sources.shared import discard, saved, saved_with
 
 #: Edges of a trial that one task reduces at once; larger trials are dealt to several tasks by hash.
@@ -25,27 +26,6 @@ EDGE = "trial long, u long, v long, w long"
 MOST = 100
 
 
-class UnionFind:
-    """Sets of hashable items, with paths halved on the way."""
-
-    def __init__(self):
-        self.up: dict = {}
-
-    def find(self, x):
-        up = self.up
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up[y]
-            x = up[x]
-        return x
-
-    def join(self, a, b) -> bool:
-        """Whether the two were in different sets."""
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _edges(edges: DataFrame) -> DataFrame:
     """Edges with u < v, written once; loops and rows with a null are left out."""
     known = edges.select(*(F.col(c).cast("long") for c in ("trial", "u", "v", "w"))).dropna().filter("u <> v")

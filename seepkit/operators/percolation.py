@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from seepkit.functions.rng import u01
 from seepkit.operators.contact import contacts, touches
-from seepkit.operators.forest import UnionFind, bottlenecks
+from seepkit.operators.forest import bottlenecks
+from seepkit.operators.sets import UnionFind
 
 
 def sample_points(spark: SparkSession, seed: int, trials: int, n: int) -> DataFrame:
@@ -102,6 +103,24 @@ def cylinder_fill(bodies: DataFrame, tol: float, axis: str = "x", low: float = 0
     return fill_of_edges(filling_edges(bodies, tol, axis, low, high), bodies)
 
 
+def point_contacts(points: DataFrame, reach: float) -> DataFrame:
+    """trial, i, j with i < j of points at distance <= reach: cells of that width, an equi-join with the 9 around."""
+    cells = points.select("trial", "i", "x", "y", *(F.floor(F.col(c) / reach).cast("long").alias(k) for c, k in (("x", "p"), ("y", "q"))))
+    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    others = cells.select("trial", F.col("i").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), "p", "q", steps.alias("o"))
+    others = others.select("trial", "j", "bx", "by", (F.col("p") + F.col("o.a")).alias("p"), (F.col("q") + F.col("o.b")).alias("q"))
+    dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
+    return cells.join(others, ["trial", "p", "q"]).filter((F.col("i") < F.col("j")) & (dx * dx + dy * dy <= reach * reach)).select("trial", "i", "j")
+
+
+def point_fill(points: DataFrame, reach: float) -> DataFrame:
+    """As ``critical_fill``, for trials of any size: a bottleneck of all contacts instead of a group a trial."""
+    edges = point_contacts(points, reach).select("trial", F.col("i").alias("u"), F.col("j").alias("v"), (F.col("j") + 1).alias("w"))
+    for face, near in zip(FACES, (F.col("x") <= reach, F.col("x") >= 1 - reach), strict=True):
+        edges = edges.union(points.filter(near).select("trial", F.lit(face).alias("u"), F.col("i").alias("v"), (F.col("i") + 1).alias("w")))
+    return fill_of_edges(edges, points)
+
+
 def spans(crit: DataFrame, n: int) -> DataFrame:
     """trial, hit: whether the design of n particles spans."""
     return crit.select("trial", F.coalesce(F.col("crit") <= n, F.lit(False)).alias("hit"))

@@ -226,6 +226,12 @@ def critical_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percolation.critical_fill(_points(spark, sf_dir), REACH)
 
 
+@query(f"WITH RECURSIVE {_CRIT} SELECT trial, crit FROM crit")
+def point_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by bottlenecks of spanning forests."""
+    return percolation.point_fill(_points(spark, sf_dir), REACH)
+
+
 @query(f"WITH RECURSIVE {_CRIT} SELECT trial, CASE WHEN crit <= 40 THEN crit END AS crit FROM crit")
 def prefix_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percolation.critical_fill(percolation.prefix(_points(spark, sf_dir), 40), REACH)
@@ -253,11 +259,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spans_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans by incremental union-find, against components of the contact graph of the same design."""
     points = percolation.prefix(_points(spark, sf_dir), 30)
-    cells = points.withColumns({"p": F.floor(F.col("x") / REACH), "q": F.floor(F.col("y") / REACH)})
-    around = F.explode(F.array(*(F.struct((F.col("p") + i).alias("p"), (F.col("q") + j).alias("q")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    others = cells.select("trial", F.col("i").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), around.alias("c")).select("trial", "j", "bx", "by", "c.p", "c.q")
-    dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
-    edges = cells.join(others, ["trial", "p", "q"]).filter(F.col("i") < F.col("j")).filter(dx * dx + dy * dy <= REACH * REACH).select("trial", "i", "j")
+    edges = percolation.point_contacts(points, REACH)
     hits = contact.connected(edges, points.filter(F.col("x") <= REACH).select("trial", "i"), points.filter(F.col("x") >= 1 - REACH).select("trial", "i"))
     graph = points.select("trial").distinct().join(hits, "trial", "left").select("trial", F.coalesce("hit", F.lit(False)).alias("hit"))
     return agreement(spans(spark, sf_dir), graph, ["trial"])

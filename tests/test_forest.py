@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from seepkit.operators import forest
 from seepkit.operators.contact import FIELDS, contacts, touches
-from seepkit.operators.forest import UnionFind, bottlenecks, spanning_forest
-from seepkit.operators.percolation import cylinder_fill, sample_cylinders
+from seepkit.operators.forest import bottlenecks, spanning_forest
+from seepkit.operators.percolation import critical_fill, cylinder_fill, point_fill, sample_cylinders, sample_points
+from seepkit.operators.sets import UnionFind
 
 SCHEMA = "trial long, u long, v long, w long"
 
@@ -110,3 +111,10 @@ def test_bodies_of_mixed_size_meet(spark):
     got = [(x.trial, x.i, x.j) for x in contacts(df, 0.02).collect()]
     assert len(got) == len(set(got))
     assert set(got) == want
+
+
+def test_points_fill_as_groups_do(spark):
+    points = sample_points(spark, 9, 8, 50)
+    want = {r.trial: r.crit for r in critical_fill(points, 0.25).collect()}
+    assert {r.trial: r.crit for r in point_fill(points, 0.25).collect()} == want
+    assert any(want.values())

@@ -39,6 +39,17 @@ def test_components(spark, edges):
     assert {r.node: r.comp for r in components(df).collect()} == least(edges)
 
 
+def test_components_of_stars(spark, monkeypatch):
+    """Whatever a task joins at a time, and for names as nodes."""
+    from seepkit.operators import connectivity
+
+    monkeypatch.setattr(connectivity, "LOCAL", 7)
+    r = random.Random(1)
+    edges = [tuple(f"n{x}" for x in r.sample(range(150), 2)) for _ in range(120)] + [("n7", "n7"), ("z", "z")]
+    df = spark.createDataFrame(edges, "src string, dst string").repartition(5)
+    assert {x.node: x.comp for x in components(df).collect()} == least(edges)
+
+
 def test_components_say_when_rounds_run_out(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
     with pytest.raises(NotConverged):

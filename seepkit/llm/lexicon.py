@@ -32,7 +32,7 @@ from seepkit.llm.staging import delete, file_system, new_path
 #: Words in a lexicon, at most: the most frequent; and the bytes of the longest. Others are merged.
 WORDS, LONGEST = 1 << 18, 48
 #: Bytes of text that are encoded at a time; widest rows of the merging in blocks.
-RUN, WIDE = 8_000_000, 64
+RUN, WIDE = 4_000_000, 64
 #: No merge: above every rank.
 NONE = np.iinfo(np.int32).max
 _MODELS: dict = {}
@@ -456,7 +456,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in _slices(batch.column(0), 4 * RUN):
+            for lo, hi in _slices(batch.column(0), 2 * RUN):
                 seen = pc.value_counts(_piece_lists(batch.column(0).slice(lo, hi - lo), "bytes").flatten())
                 words, n = seen.field(0).cast(pa.large_binary()), seen.field(1)
                 size = pc.binary_length(words)

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import zlib
@@ -78,7 +79,7 @@ def test_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def brute_quality(rows):
@@ -92,18 +93,24 @@ def brute_quality(rows):
         n, chars, symbols, same_lines, repeated = brute_base(t)
         w = t.split()
         lines = [x for x in t.split("\n") if x.strip()]
-        blocks = [w] if n <= 400 else [w[min(i, n - 400) :][:400] for i in range(0, n, 400)]
+        def shares(items):
+            blocks = [items] if len(items) <= 400 else [items[min(i, len(items) - 400) :][:400] for i in range(0, len(items), 400)]
+            return sum(len(set(b)) for b in blocks) / max(sum(map(len, blocks)), 1)
+
         length = chars / max(n, 1)
         votes = (
             vote(symbols / max(n, 1), 0.05, 0.3),
+            vote(sum(any(c in x for c in "#*$%&|<>") for x in w) / max(n, 1), 0.05, 0.2),
             vote(len(re.findall("[A-ZÀ-ÖØ-Þ]{3,}", t)) / max(n, 1), 0.1, 0.3),
             vote(t.count("!") / max(n, 1), 0.05, 0.2),
             vote(same_lines / max(len(lines), 1), 0.1, 0.3),
-            vote(-sum(len(set(b)) for b in blocks) / max(sum(map(len, blocks)), 1), -0.45, -0.3),
+            vote(-shares(w), -0.45, -0.3),
+            vote(-shares(list(itertools.pairwise(w))), -0.65, -0.5),
+            vote(sum(len(x) > 15 for x in w) / max(n, 1), 0.1, 0.3),
             1 if 3 <= length <= 9 else 0 if length < 2 or length > 14 else None,
         )
         judged.append((k, t, votes, n < 20 or 100 * repeated > 30 * n))
-    model = fit_votes(sorted(Counter(v for _, _, v, failed in judged if not failed).items(), key=str))
+    model = fit_votes(sorted(Counter(v for _, _, v, failed in judged if not failed).items(), key=str), [[0, 1], [2, 3], [4, 5, 6], [7, 8]])
     return [(k, t) for k, t, v, failed in judged if not failed and model.posterior(v)[0] >= 0.5]
 
 

@@ -161,7 +161,8 @@ def beta_quantile(share: Column, a: Column, b: Column) -> Column:
 
     def bracket(v: Column) -> Column:
         high = v["f"]["below"] >= v["share"]
-        return _let({"lo": F.when(high, v["lo"]).otherwise(v["x"]), "hi": F.when(high, v["x"]).otherwise(v["hi"]), "to": v["x"] - (v["f"]["below"] - v["share"]) / v["f"]["density"], **{k: v[k] for k in ("x", "share", "a", "b", "scale")}}, moved)
+        newton = F.when(v["f"]["density"] > 0, v["x"] - (v["f"]["below"] - v["share"]) / v["f"]["density"])  # a null, far out where the density underflows, is not inside
+        return _let({"lo": F.when(high, v["lo"]).otherwise(v["x"]), "hi": F.when(high, v["x"]).otherwise(v["hi"]), "to": newton, **{k: v[k] for k in ("x", "share", "a", "b", "scale")}}, moved)
 
     def moved(v: Column) -> Column:
         inside = (v["to"] > v["lo"]) & (v["to"] < v["hi"])

@@ -94,6 +94,14 @@ def test_limits_in_the_jvm_equal_bisection(spark, side):
         assert (r.lo, r.hi) == pytest.approx(clopper_pearson_limits(r.k, r.n, 0.03, side), abs=1e-11)
 
 
+def test_limits_where_the_density_underflows(spark):
+    """Newton's first step for 1,490 of 1,500 starts so far out that the density is 0 there."""
+    rows = [(1490, 1500), (10, 1500), (1499, 1500), (2995, 3000)]
+    for side, alpha in (("lower", 0.05 / 7), ("both", 1e-6)):
+        for r in with_clopper_pearson(spark.createDataFrame(rows, "k long, n long"), alpha, side).collect():
+            assert (r.lo, r.hi) == pytest.approx(clopper_pearson_limits(r.k, r.n, alpha, side), abs=1e-11)
+
+
 def test_normal_quantiles(spark):
     from statistics import NormalDist
 

@@ -50,3 +50,14 @@ def test_entry_without_the_corpus_operators(tmp_path):
     made = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=False, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert made.returncode == 0, made.stderr
     assert int(made.stdout) == len(catalog.QUERIES)
+
+
+def test_capsule_pairs_by_rounded_gaps(spark, tmp_path):
+    """Two bodies whose gap, 0.0500000545, rounds to the limit of 0.05, and some others."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT unnest([7012, 8386] || range(60))::BIGINT AS vec_id, 4::INT AS label) TO '{tmp_path}/embeddings.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.sql(f"SELECT trial, i, j, gap FROM ({catalog.ORACLES['capsule_pairs']})").fetchall()
+    got = [tuple(r) for r in catalog.capsule_pairs(spark, str(tmp_path)).select("trial", "i", "j", "gap").collect()]
+    assert (4, 7012, 8386, 0.05) in want
+    assert sorted(got) == sorted(want)

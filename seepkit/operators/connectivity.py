@@ -64,8 +64,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
     # edges point from the larger node to the smaller; a star's middle is a loop
-    first = saved(_stars(both).distinct(), "edges")
-    graph, last = first.filter("u <> v"), None
+    mark = {"n": F.count(F.lit(1)), "total": F.sum(F.hash("u", "v").cast("long")), "mixed": F.bit_xor(F.xxhash64("u", "v"))}
+    link = F.col("u") != F.col("v")
+    begin = {"n": F.count_if(link), "total": F.sum(F.when(link, F.hash("u", "v").cast("long"))), "mixed": F.bit_xor(F.when(link, F.xxhash64("u", "v")))}
+    first, last = saved_with(_stars(both).distinct(), "edges", **begin)
+    graph = first.filter(link)
     stale: DataFrame | None = None
     for _ in range(most_rounds):
         # large star: larger neighbours of u go to the least of u and its neighbours
@@ -76,7 +79,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        graph, state = saved_with(small, "stars", n=F.count(F.lit(1)), total=F.sum(F.hash("u", "v").cast("long")), mixed=F.bit_xor(F.xxhash64("u", "v")))
+        graph, state = saved_with(small, "stars", **mark)
         if stale is not None:
             discard(stale)
         stale = graph

@@ -104,13 +104,16 @@ def cylinder_fill(bodies: DataFrame, tol: float, axis: str = "x", low: float = 0
 
 
 def point_contacts(points: DataFrame, reach: float) -> DataFrame:
-    """trial, i, j with i < j of points at distance <= reach: cells of that width, an equi-join with the 9 around."""
+    """trial, i, j with i < j of points at distance <= reach: cells of that width, an equi-join with 5 of the 9
+    around, since the points in the other 4 ask this one."""
     cells = points.select("trial", "i", "x", "y", *(F.floor(F.col(c) / reach).cast("long").alias(k) for c, k in (("x", "p"), ("y", "q"))))
-    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)))))
     others = cells.select("trial", F.col("i").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), "p", "q", steps.alias("o"))
-    others = others.select("trial", "j", "bx", "by", (F.col("p") + F.col("o.a")).alias("p"), (F.col("q") + F.col("o.b")).alias("q"))
+    others = others.select("trial", "j", "bx", "by", ((F.col("o.a") == 0) & (F.col("o.b") == 0)).alias("own"), (F.col("p") + F.col("o.a")).alias("p"), (F.col("q") + F.col("o.b")).alias("q"))
     dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
-    return cells.join(others, ["trial", "p", "q"]).filter((F.col("i") < F.col("j")) & (dx * dx + dy * dy <= reach * reach)).select("trial", "i", "j")
+    once = ~F.col("own") | (F.col("i") < F.col("j"))
+    met = cells.join(others, ["trial", "p", "q"]).filter(once & (F.col("i") != F.col("j")) & (dx * dx + dy * dy <= reach * reach))
+    return met.select("trial", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
 
 
 def point_fill(points: DataFrame, reach: float) -> DataFrame:

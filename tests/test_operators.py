@@ -50,6 +50,25 @@ def test_components_of_stars(spark, monkeypatch):
     assert {x.node: x.comp for x in components(df).collect()} == least(edges)
 
 
+def test_components_that_tasks_found_take_one_round(spark, monkeypatch):
+    """Stars that a task made whole are known as such: one round confirms them."""
+    from seepkit.operators import connectivity
+
+    names, staged = [], connectivity.saved_with
+    monkeypatch.setattr(connectivity, "saved_with", lambda df, name, **m: names.append(name) or staged(df, name, **m))
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(0, 90) if i % 30 != 29], "src long, dst long").coalesce(1))
+    assert {(r.node, r.comp) for r in got.collect()} == {(i, i // 30 * 30) for i in range(90)}
+    assert names.count("stars") == 1
+
+
+def test_point_contacts_equal_all_pairs(spark):
+    r = random.Random(4)
+    rows = [(t, i, r.random(), r.random()) for t in (0, 1) for i in range(60)] + [(1, 60, 0.5, 0.5), (1, 61, 0.5, 0.5)]
+    want = sorted((t, i, j) for t, i, x, y in rows for s, j, p, q in rows if s == t and i < j and (x - p) ** 2 + (y - q) ** 2 <= 0.04)
+    got = percolation.point_contacts(spark.createDataFrame(rows, "trial long, i int, x double, y double"), 0.2).collect()
+    assert sorted(tuple(x) for x in got) == want
+
+
 def test_components_say_when_rounds_run_out(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
     with pytest.raises(NotConverged):

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from seepkit.llm.names import named, unused
 from seepkit.llm.staging import discard, materialize
 from seepkit.llm.words import grams, mix, slices, word_hashes
+from seepkit.llm.workers import tidy
 from seepkit.operators.connectivity import components
 
 WORDS, PERCENT = 5, 80
@@ -357,7 +358,7 @@ class Classes:
         marks = shared.groupBy("uid").agg(F.collect_list("s").alias("marks"))
         wanted = rows.filter("stands").select("uid", "id", "n", "d1", "d2").join(families, "uid").join(marks, "uid")
         wanted = materialize(wanted, "wanted")
-        sets = self.source.select("id", "t").mapInArrow(_sets(Filter(wanted, "id")), "d1 long, d2 long, tokens array<long>")
+        sets = self.source.select("id", "t").mapInArrow(tidy(_sets(Filter(wanted, "id"))), "d1 long, d2 long, tokens array<long>")
         members = materialize(sets.join(wanted.drop("id"), ["d1", "d2"]).drop("d1", "d2").dropDuplicates(["uid"]), "members")
         discard(shared, wanted)
         links, used = self._links(members)
@@ -371,7 +372,7 @@ class Classes:
 
     def _read(self, shares: tuple, only: frozenset | None = None) -> DataFrame:
         schema = "uid long, id long, x long, n long, d1 long, d2 long, tokens array<long>, counts array<long>"
-        return materialize(self.source.mapInArrow(_sampled(shares, self.percent, 1 + len(OFTEN), only), schema), "sets")
+        return materialize(self.source.mapInArrow(tidy(_sampled(shares, self.percent, 1 + len(OFTEN), only)), schema), "sets")
 
     @staticmethod
     def _owner(rows: DataFrame) -> DataFrame:
@@ -382,11 +383,11 @@ class Classes:
         """(uid, level, s): the signatures of each class, null where a sample was too small."""
         tokens = rows.filter("tokens is not null")
         repeated = materialize(tokens.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
-        likely = tokens.select("uid", "tokens").mapInArrow(_likely(Filter(repeated, "h")), "uid long, h long")
+        likely = tokens.select("uid", "tokens").mapInArrow(tidy(_likely(Filter(repeated, "h"))), "uid long, h long")
         found = likely.join(repeated, "h").groupBy("uid").agg(F.collect_list(F.struct("df", "h")).alias("found"))
         counted = rows.filter("counts is not null").select("uid", "n", "counts").join(owner.select("uid"), "uid")
         ready = counted.join(found, "uid", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<df:bigint,h:bigint>>")))
-        signed = materialize(ready.select("uid", "n", "counts", "found").mapInArrow(_signed(shares, self.percent, OFTEN, only), "uid long, level int, s long"), "signatures")
+        signed = materialize(ready.select("uid", "n", "counts", "found").mapInArrow(tidy(_signed(shares, self.percent, OFTEN, only)), "uid long, level int, s long"), "signatures")
         discard(repeated)
         return signed
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from seepkit.llm.staging import materialize
 from seepkit.llm.tokens import encoder
+from seepkit.llm.workers import tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -79,7 +80,7 @@ def token_pieces(docs: DataFrame, encode_path: str, end_id: int, capacity: int,
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *(["ids"] if with_ids else [])]
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "encoders"), PIECES + ", ids binary" * with_ids)
 
 
 def patterns(capacity: int) -> np.ndarray:
@@ -247,4 +248,4 @@ def pack(docs: DataFrame, encode_path: str, end_id: int = 0, capacity: int = 204
 
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
-    return pieces.join(bases, ["part", "length"]).select(*kept, "rank", "base").mapInArrow(run, schema)
+    return pieces.join(bases, ["part", "length"]).select(*kept, "rank", "base").mapInArrow(tidy(run), schema)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from seepkit.llm.names import named, unused
 from seepkit.llm.staging import discard, materialize
 from seepkit.llm.words import grams, long_grams, slices, word_hashes
+from seepkit.llm.workers import tidy
 
 WINDOW, ANCHOR = 35, 8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -169,7 +170,7 @@ class Duplicates:
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text"):
         source = keyed(docs, key, text)
-        self.seen = materialize(source.select("__id", "__t", "k1", "k2").mapInArrow(_anchored, "id long, k1 long, k2 long, n long, sha string, carries boolean, anchors array<long>"), "anchors")
+        self.seen = materialize(source.select("__id", "__t", "k1", "k2").mapInArrow(tidy(_anchored), "id long, k1 long, k2 long, n long, sha string, carries boolean, anchors array<long>"), "anchors")
         least = F.lit(-(1 << 63)).cast("long")
         carriers = self.seen.filter("carries").groupBy("k1", "k2").agg(F.min(F.coalesce("id", least)).alias("rep"))
         counts = self.seen.groupBy("k1", "k2").agg(F.count("*").alias("cnt"))
@@ -184,11 +185,11 @@ class Duplicates:
         hits = materialize(hits.join(self.blocks.select("uid", "k1", "k2", "rep"), "uid"), "hits")
         mine = source.select("__t", "k1", "k2", F.coalesce("__id", least).alias("rep"))
         self.texts = materialize(mine.join(hits, ["k1", "k2", "rep"]).select("uid", "__t", "picked").dropDuplicates(["uid"]), "texts")
-        windows = materialize(self.texts.mapInArrow(_windows, "uid long, p int, first int, w long"), "windows")
+        windows = materialize(self.texts.mapInArrow(tidy(_windows), "uid long, p int, first int, w long"), "windows")
         index = windows.groupBy("w").agg(F.count("*").alias("c"), F.min("uid").alias("block"), F.min_by("first", "uid").alias("place"))
         index = materialize(index.filter("c > 1").select("w", "block", "place"), "index")
         found = windows.select("uid", "p", "w").join(index, "w").groupBy("uid").agg(F.collect_list(F.struct("p", "block", "place")).alias("found"))
-        self.spans = materialize(found.mapInArrow(_spans, "uid long, a array<int>, b array<int>"), "spans")
+        self.spans = materialize(found.mapInArrow(tidy(_spans), "uid long, a array<int>, b array<int>"), "spans")
         discard(twice, hits, windows, index)
 
     def partial(self) -> DataFrame:
@@ -230,7 +231,7 @@ def substring_digest(docs: DataFrame) -> DataFrame:
             gone = [sum(y) - sum(x) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(gone, pa.int64()), pa.array(sha)], ["uid", "gone", "kept"])
 
-    cut = found.partial().mapInArrow(digest, "uid long, gone long, kept string")
+    cut = found.partial().mapInArrow(tidy(digest), "uid long, gone long, kept string")
     by_text = found.blocks.join(cut, "uid", "left").select("k1", "k2", "cnt", "gone", "kept")
     rows = found.seen.select("id", "k1", "k2", "n", "sha").join(by_text, ["k1", "k2"])
     whole = (F.col("cnt") > 1) & (F.col("n") >= WINDOW)
@@ -257,7 +258,7 @@ def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text")
             made = [kept_text(t, a, b).decode() for t, a, b in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(made, pa.string())], ["uid", "new"])
 
-    texts = found.partial().mapInArrow(cut, "uid long, new string")
+    texts = found.partial().mapInArrow(tidy(cut), "uid long, new string")
     long = found.seen.filter((F.col("n") >= WINDOW) & F.col("carries")).select("k1", "k2").distinct()
     whole = found.blocks.filter("cnt > 1").join(long, ["k1", "k2"], "left_semi").select("k1", "k2", F.lit("").alias("new"))
     k1, k2, new = unused(docs, "k1", "k2", "new")

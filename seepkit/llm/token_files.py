@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from seepkit.llm.staging import file_system, new_path
 from seepkit.llm.tokens import encoder, largest_id
+from seepkit.llm.workers import tidy
 
 NULL_KEY = np.iinfo(np.int64).min
 #: Bytes of the table that a shard is made of, at most about; sizes from which Spark means that it knows none.
@@ -64,7 +65,7 @@ def write_tokens(docs: DataFrame, encode_path: str, kind: str, end_id: int, path
 
     keyed = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     dealt = keyed.repartitionByRange(shards or shards_for(keyed), "k").sortWithinPartitions("k", "t")
-    rows = sorted(dealt.mapInArrow(write, "shard long, n_docs long, n_tokens long").collect())
+    rows = sorted(dealt.mapInArrow(tidy(write, "encoders"), "shard long, n_docs long, n_tokens long").collect())
     base, shards = 0, []
     for number, n_docs, n_tokens in rows:
         shards.append({"shard": number, "base": base, "n_docs": n_docs, "n_tokens": n_tokens})

@@ -9,14 +9,15 @@ import numpy as np
 import pyarrow as pa
 
 from seepkit.llm.chunks import TwoGenerations, encode_texts, plain
+from seepkit.llm.workers import cache
 
 #: Missing chunks joined into one call of the library.
 JOIN = 1_000
-_ENCODERS: dict = {}
+_ENCODERS = cache("encoders")
 
 
 def encoder(path: str, kind: str, special_as_text: bool = False) -> TextEncoder:
-    """One encoder per worker process, file and kind."""
+    """One encoder per worker process, file and kind, until a task of another operator needs the memory."""
     key = (path, kind, special_as_text)
     if key not in _ENCODERS:
         _ENCODERS[key] = TextEncoder(*key)

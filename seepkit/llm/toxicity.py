@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from seepkit.llm.names import folded, named, unfolded
 from seepkit.llm.staging import discard, materialize
 from seepkit.llm.words import slices
+from seepkit.llm.workers import tidy
 
 #: Hashed features, features kept by category, documents learned from, folds, ridge penalty.
 BUCKETS, KEPT, SAMPLE, FOLDS, RIDGE = 1 << 18, 256, 30_000, 4, 1e-2
@@ -180,7 +181,7 @@ def _bucket_counts(sample: DataFrame, marks: list[str]) -> tuple[np.ndarray, np.
                 counts = [np.bincount(back, w, len(places)).astype(np.int64) for w in (None, *(some.column(m).to_numpy().astype(float)[row] for m in marks))]
                 yield pa.RecordBatch.from_arrays([pa.array(places), *map(pa.array, counts)], ["place", "n", *marks])
 
-    counted = sample.mapInArrow(run, "place long, n long, " + ", ".join(f"{m} long" for m in marks))
+    counted = sample.mapInArrow(tidy(run), "place long, n long, " + ", ".join(f"{m} long" for m in marks))
     table = counted.groupBy("place").agg(*(F.sum(c).alias(c) for c in ("n", *marks))).toArrow()
     out = np.zeros((1 + len(marks), FOLDS * (BUCKETS + 1)), np.int64)
     for i, c in enumerate(("n", *marks)):
@@ -225,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)])[at].astype(np.int32)), pa.array(flat[kept]))
                 yield pa.RecordBatch.from_arrays([lists, *batch.slice(lo, hi - lo).columns[1:]], ["b", *batch.schema.names[1:]])
 
-    table = read.mapInArrow(own, "b array<int>, fold long, h long, " + ", ".join(f"{m} int" for m in marks)).toArrow()
+    table = read.mapInArrow(tidy(own), "b array<int>, fold long, h long, " + ", ".join(f"{m} int" for m in marks)).toArrow()
     discard(read)
     order = np.argsort(table["h"].to_numpy(), kind="stable")
     lists = table["b"].combine_chunks()
@@ -249,7 +250,7 @@ def _scored(docs: DataFrame, chain: Chain, text: str) -> DataFrame:
                 p = shared.value.predict_flat(*bucket_lists(texts.slice(lo, hi - lo)))
                 yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(p[:, j]) for j in range(len(names)))], [*some.schema.names, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:

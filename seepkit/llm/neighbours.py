@@ -7,16 +7,19 @@ walks the tree through a priority queue ordered by the distance to centres and v
 it has seen as many as calibration asks for: leaf visits are doubled, then refined, until sample
 queries find ``TARGET`` of their true neighbours within the sample.
 
-Equal vectors are one point of the index with the ids that can matter (the k + 1 least). Neighbouring
-leaves are searched together in bundles of up to ``LEAF_BLOCK`` vectors; a larger leaf, or a bundle
-with more than ``QUERY_BLOCK`` queries, is split in parts, so no leaf is gathered in one task. The
-tree and the leaves' bundles, of bounded size, are broadcast.
+Equal vectors are one point of the index with the ids that can matter (the k + 1 least). Leaves in
+tree order form about ``LANES`` lanes of vectors, queries blocks of at most ``QUERY_BLOCK`` by the leaf
+that they visit first; a lane meets the blocks that visit its leaves, and a task reads its vectors as a
+stream, so a query returns one list of k + 1 a lane however large the table is. Lanes and blocks that
+one leaf makes larger are split in parts. The tree, each leaf's lane and its block, of bounded size,
+are broadcast.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 from seepkit.llm.staging import materialize
 
 #: Vectors that the tree is fitted on, those that calibrate it, the share of true neighbours they
-#: must find, branches of a node, rows aimed at per leaf, and the sizes of blocks.
-SAMPLE, CALIBRATE, TARGET, BRANCHES, LEAF, LEAF_BLOCK, QUERY_BLOCK = 20_000, 300, 0.97, 8, 200, 2_048, 2_048
+#: must find, branches of a node, rows aimed at per leaf, vectors compared at once, queries of a block
+#: and lanes of vectors.
+SAMPLE, CALIBRATE, TARGET, BRANCHES, LEAF, LEAF_BLOCK, QUERY_BLOCK, LANES = 20_000, 300, 0.97, 8, 200, 2_048, 8_192, 8
 
 
 class Tree:
@@ -125,8 +129,8 @@ def calibrate(tree: Tree, points: np.ndarray, queries: np.ndarray, k: int, norm:
 
 
 def bundles(counts: dict[int, int], leaves: int, most: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Bundle of each leaf - runs of leaves with ``most`` vectors at most, or one larger leaf - and the
-    parts that each bundle's vectors are split in."""
+    """Bundle of each leaf - runs of leaves with ``most`` rows at most, or one larger leaf - and the
+    parts that each bundle's rows are split in."""
     bundle, parts, at, held = np.zeros(max(1, leaves), np.int64), {0: 1}, 0, 0
     for leaf in range(leaves):
         n = counts.get(leaf, 0)
@@ -138,6 +142,80 @@ def bundles(counts: dict[int, int], leaves: int, most: int) -> tuple[np.ndarray,
     return bundle, parts
 
 
+class Block:
+    """The ``keep`` best vectors of each query, of those in leaves that it visits; vectors come a few at a time."""
+
+    def __init__(self, k1: np.ndarray, k2: np.ndarray, q: np.ndarray, seen: np.ndarray, keep: int, norm: float):
+        self.k1, self.k2, self.q, self.seen, self.keep = k1, k2, q, seen, keep
+        self.bar = np.full(len(q), -np.inf)
+        self.slack = 1e-12 * norm * np.sqrt((q**2).sum(1))  # more than a product's rounding
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.more = 0
+
+    def see(self, leaf: int, ids: np.ndarray, x: np.ndarray) -> None:
+        who = np.flatnonzero(self.seen[:, leaf >> 3] >> (leaf & 7) & 1)
+        for lo in range(0, len(who), 256):
+            w = who[lo : lo + 256]
+            s = self.q[w] @ x.T
+            s[~np.isfinite(s)] = -np.inf
+            bar = self.bar[w]
+            if len(x) > self.keep:
+                bar = np.maximum(bar, np.partition(s, -self.keep, 1)[:, -self.keep])
+            i, j = np.nonzero((s >= (bar - self.slack[w])[:, None]) & (s > -np.inf))
+            # summed alike for each pair, so that equal vectors tie
+            score = (self.q[w[i]] * x[j]).sum(1)
+            self.held.append((w[i], ids[j], score))
+            self.more += len(i)
+        if self.more > 100_000 + 4 * self.keep * len(self.q):
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        who, ids, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((ids, -score, who))
+        order = order[np.isfinite(score[order])]
+        at = np.searchsorted(who[order], np.arange(len(self.q)))
+        rank = np.arange(len(order)) - at[who[order]]
+        order, rank = order[rank < self.keep], rank[rank < self.keep]
+        last = order[rank == self.keep - 1]
+        self.bar[who[last]] = score[last]
+        self.held, self.more = [(who[order], ids[order], score[order])], 0
+        return self.held[0]
+
+    def found(self) -> pa.RecordBatch:
+        who, ids, score = self.best()
+        return pa.RecordBatch.from_arrays([pa.array(self.k1[who]), pa.array(self.k2[who]), pa.array(ids), pa.array(score)], schema=FOUND)
+
+
+def compared(keep: int, norm: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of each unit (lane, part, block, part), whose queries come first (k1, k2, v and the bits of the
+    leaves they visit), then its vectors by leaf (id as k1, leaf as k2, v)."""
+    now, asked, block = None, [], None
+    for batch in batches:
+        unit = np.stack([batch.column(c).to_numpy() for c in (*UNIT, "kind")], 1)
+        first, second = (batch.column(c).to_numpy() for c in ("k1", "k2"))
+        opens = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]).any(1))) if len(unit) else []
+        for lo, hi in zip(opens, [*opens[1:], len(unit)], strict=True):
+            if tuple(unit[lo, :-1]) != now:
+                if block:
+                    yield block.found()
+                now, asked, block = tuple(unit[lo, :-1]), [], None
+            x = _matrix(batch.column("v").slice(lo, hi - lo))
+            if not unit[lo, -1]:
+                bits = np.stack([np.frombuffer(b, np.uint8) for b in batch.column("seen").slice(lo, hi - lo).to_pylist()])
+                asked.append((first[lo:hi], second[lo:hi], x, bits))
+                continue
+            if asked and not block:
+                block = Block(*(np.concatenate(c) for c in zip(*asked, strict=True)), keep, norm)
+            ids, leaf = first[lo:hi], second[lo:hi]
+            ends = np.flatnonzero(np.append(leaf[1:] != leaf[:-1], True)) + 1
+            for a, b in zip([0, *ends[:-1]], ends, strict=True) if block else []:
+                for c in range(a, b, LEAF_BLOCK):
+                    d = min(b, c + LEAF_BLOCK)
+                    block.see(int(leaf[c]), ids[c:d], x[c:d])
+    if block:
+        yield block.found()
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -187,58 +265,47 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
 
     indexed = materialize(points.select("id", "v").mapInArrow(index, "id long, v array<double>, leaf long"), "indexed")
 
-    # leaves in tree order share bundles, so that a query returns one list a bundle and not a leaf;
-    # there are at most as many as the tree has leaves
+    # leaves in tree order share a lane, so that a query returns one list a lane and not a leaf
     counts = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    bundle, parts = bundles(counts, tree.leaves, LEAF_BLOCK)
-    shared_bundle = spark.sparkContext.broadcast(bundle)
+    lane, lane_parts = bundles(counts, tree.leaves, -(-n // LANES))
+    shared_lane = spark.sparkContext.broadcast(lane)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            home, lanes, seen = [], [], []
             x = _matrix(batch.column("v"))
-            who, where, leaves = [], [], []
-            for i, q in enumerate(np.concatenate([x, np.zeros((len(x), 1))], 1)):
-                bins = np.sort(shared.value.best_bins(q, visits))
-                at = shared_bundle.value[bins]
-                for u in np.unique(at):
-                    who.append(i)
-                    where.append(int(u))
-                    leaves.append(bins[at == u])
-            rows = batch.select(["k1", "k2", "v"]).take(pa.array(who, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(where, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], ["k1", "k2", "v", "bundle", "leaves"])
+            for q in np.concatenate([x, np.zeros((len(x), 1))], 1):
+                bins = shared.value.best_bins(q, visits)
+                bits = np.zeros(max(1, shared.value.leaves), bool)
+                bits[bins] = True
+                home.append(bins[0])
+                lanes.append(np.unique(shared_lane.value[bins]))
+                seen.append(np.packbits(bits, bitorder="little").tobytes())
+            rows = batch.select(["k1", "k2", "v"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(home, pa.int64()), pa.array(lanes, pa.list_(pa.int64())), pa.array(seen, pa.binary())], ["k1", "k2", "v", "leaf", "lanes", "seen"])
 
     asked_once = queries.dropDuplicates(["k1", "k2"]).select("k1", "k2", "v")
-    visiting = materialize(asked_once.mapInArrow(walk, "k1 long, k2 long, v array<double>, bundle long, leaves array<long>"), "visits")
-    asking = {r["bundle"]: r["m"] for r in visiting.groupBy("bundle").agg(F.count("*").alias("m")).collect()}
-    sizes = [(int(u), int(bundle_parts), -(-asking[u] // QUERY_BLOCK)) for u, bundle_parts in parts.items() if u in asking]
-    held = F.broadcast(spark.createDataFrame(sizes, "bundle long, bs int, qs int"))  # a row a bundle
-    by_leaf = F.broadcast(spark.createDataFrame([(int(x), int(bundle[x])) for x in counts], "leaf long, bundle long"))
-    here = indexed.join(by_leaf, "leaf").join(held, "bundle").select("bundle", F.pmod(F.xxhash64("id"), F.col("bs")).alias("b"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("g"), "leaf", "id", "v")
-    there = visiting.join(held, "bundle")
-    there = there.select("bundle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bs").cast("long") - 1)).alias("b"), F.pmod(F.xxhash64("k1"), F.col("qs")).cast("int").alias("g"), "k1", "k2", "v", "leaves")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return FOUND.empty_table()
-        ids = left["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")  # ids ascend, so ties go to the least
-        ids, leaf = ids[order], left["leaf"].to_numpy()[order]
-        x, q = _matrix(left["v"].combine_chunks())[order], _matrix(right["v"].combine_chunks())
-        lists = right["leaves"].to_pylist()
-        out = []
-        for lo in range(0, len(q), 256):
-            s = q[lo : lo + 256] @ x.T
-            for i, seen in enumerate(lists[lo : lo + 256]):
-                s[i, ~np.isin(leaf, seen)] = -np.inf
-            best = np.argsort(-s, 1, kind="stable")[:, : k + 1]
-            score = np.take_along_axis(s, best, 1)
-            good = np.isfinite(score)
-            who = np.repeat(np.arange(lo, lo + len(s)), best.shape[1]).reshape(best.shape)
-            out.append((who[good], ids[best][good], score[good]))
-        who, found, score = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"k1": right["k1"].to_numpy()[who], "k2": right["k2"].to_numpy()[who], "vec_id": found, "score": score}, schema=FOUND)
-
-    found = here.groupBy("bundle", "b", "g").cogroup(there.groupBy("bundle", "b", "g")).applyInArrow(compare, "k1 long, k2 long, vec_id long, score double")
+    visiting = materialize(asked_once.mapInArrow(walk, "k1 long, k2 long, v array<double>, leaf long, lanes array<long>, seen binary"), "visits")
+    asking = {r["leaf"]: r["m"] for r in visiting.groupBy("leaf").agg(F.count("*").alias("m")).collect()}
+    block, block_parts = bundles(asking, tree.leaves, QUERY_BLOCK)
+    by_home = F.broadcast(spark.createDataFrame([(x, int(block[x]), block_parts[int(block[x])]) for x in asking] or [(-1, 0, 1)], "leaf long, block long, qs long"))
+    by_leaf = F.broadcast(spark.createDataFrame([(x, int(lane[x]), lane_parts[int(lane[x])]) for x in counts], "leaf long, lane long, bs long"))
+    by_lane = F.broadcast(spark.createDataFrame(list(lane_parts.items()), "lane long, bs long"))
+    blocks = visiting.join(by_home, "leaf").withColumn("g", F.pmod(F.xxhash64("k1"), "qs"))
+
+    def visited(asked: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in asked["seen"].to_pylist()])
+        leaves = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+        return pa.table({"block": pa.array([asked["block"][0].as_py()] * len(leaves)), "g": pa.array([asked["g"][0].as_py()] * len(leaves)), "leaf": pa.array(leaves)})
+
+    # a row a block and leaf, from the bits of at most QUERY_BLOCK queries
+    wanted = blocks.select("block", "g", "seen").groupBy("block", "g").applyInArrow(visited, "block long, g long, leaf long")
+    part = F.pmod(F.xxhash64("id"), "bs").alias("b")
+    here = indexed.join(by_leaf, "leaf").join(wanted, "leaf").select("lane", part, "block", "g", F.lit(1).alias("kind"), F.col("id").alias("k1"), F.col("leaf").alias("k2"), "v", F.lit(None).cast("binary").alias("seen"))
+    there = blocks.select("block", "g", "k1", "k2", "v", "seen", F.explode("lanes").alias("lane")).join(by_lane, "lane")
+    there = there.select("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bs") - 1)).alias("b"), "block", "g", F.lit(0).alias("kind"), "k1", "k2", "v", "seen")
+    units = here.unionByName(there).repartition(*UNIT).sortWithinPartitions(*UNIT, "kind", "k2", "k1")
+    found = units.mapInArrow(partial(compared, k + 1, norm), "k1 long, k2 long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("r", place).filter(F.col("r") <= k + 1)
     lists = best.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("l"))
@@ -247,4 +314,5 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     return mine.select("query_id", F.posexplode(others).alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
+UNIT = ["lane", "b", "block", "g"]
 FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])

@@ -519,3 +519,34 @@ def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("n", [300, 1500])
+def test_neighbours_lists_a_query(spark, monkeypatch, n):
+    """A query returns few lists before they are merged, however large the table."""
+    from seepkit.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "LEAF", 20)
+    monkeypatch.setattr(neighbours, "LEAF_BLOCK", 40)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 16)
+    x = np.random.default_rng(5).normal(size=(n, 16))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    from pyspark.sql import Observation
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    made = []
+
+    def counted(f):
+        def apply(self, func, schema, *rest, **more):
+            out = f(self, func, schema, *rest, **more)
+            if "score" not in str(schema):
+                return out
+            made.append(Observation())
+            return out.observe(made[-1], F.count("*").alias("n"))
+
+        return apply
+
+    for kind, name in ((type(df), "mapInArrow"), (PandasCogroupedOps, "applyInArrow")):
+        monkeypatch.setattr(kind, name, counted(getattr(kind, name)))
+    assert len(nearest(df, F.col("vec_id") % 20 == 0, 3, target=1.0).collect()) == 3 * n // 20
+    assert 4 * n // 20 <= made[0].get["n"] <= 4 * 18 * n // 20

@@ -430,8 +430,8 @@ reach AS (SELECT trial, i FROM low UNION SELECT r.trial, b.j FROM reach r JOIN b
 ends AS (SELECT trial FROM low UNION SELECT trial FROM high UNION SELECT trial FROM touching)
 SELECT trial, trial IN (SELECT r.trial FROM reach r JOIN high h ON h.trial = r.trial AND h.i = r.i) AS hit FROM ends""")
 def cylinder_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = _bodies(spark, sf_dir)
-    return contact.connected(contact.contacts(bodies, 0.02), contact.touches(bodies, "x", 0.1, -1), contact.touches(bodies, "x", 0.9, 1))
+    bodies = saved(_bodies(spark, sf_dir), "bodies")
+    return contact.connected(contact.contact_chains(bodies, 0.02), contact.touches(bodies, "x", 0.1, -1), contact.touches(bodies, "x", 0.9, 1))
 
 
 _KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id"}

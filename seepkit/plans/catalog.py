@@ -211,8 +211,8 @@ reach AS (SELECT trial, i FROM bodies WHERE cx - {_THICK[0]} <= 0.0 UNION SELECT
 ends AS (SELECT trial FROM bodies WHERE cx - {_THICK[0]} <= 0.0 UNION SELECT trial FROM bodies WHERE cx + {_THICK[0]} >= 1.0 UNION SELECT trial FROM touching)
 SELECT trial, trial IN (SELECT r.trial FROM reach r JOIN bodies b ON b.trial = r.trial AND b.i = r.i WHERE b.cx + {_THICK[0]} >= 1.0) AS hit FROM ends""")
 def upright_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = _thick(spark, sf_dir)
-    edges = contact.contacts(bodies, _THICK[2])
+    bodies = saved(_thick(spark, sf_dir), "bodies")  # read several times, and dear to place
+    edges = contact.contact_chains(bodies, _THICK[2])
     return contact.connected(edges, contact.touches(bodies, "x", 0.0, -1), contact.touches(bodies, "x", 1.0, 1))
 
 

@@ -401,7 +401,7 @@ gaps AS (SELECT trial, i, j, sqrt({apart}) AS dist FROM ({last}))"""
 
 @query(f"WITH RECURSIVE {_BODIES}, {_sql_distances(0.0)} SELECT trial, i, j, round(dist, 6) AS dist FROM gaps WHERE dist <= 1e-8")
 def cylinder_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contact.contacts(_bodies(spark, sf_dir)).withColumn("dist", _r("dist", 6))
+    return contact.contacts(saved(_bodies(spark, sf_dir), "bodies"), slack=1e-8).withColumn("dist", _r("dist", 6))
 
 
 _NEAR = 0.02
